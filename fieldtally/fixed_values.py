@@ -114,52 +114,49 @@ SECOND_SOURCE_HEADER = {
 # --- fixed values: column names of the warehouse tables ---------------------------------
 WAREHOUSE_COLUMNS = {
     "FactAnalyseSetOccurrence": {
-        "surveykey": "survey_key",
-        "locationwvkey": "location_key",
-        "seasonkey": "season_key",
-        "eventkey": "event_key",
-        "samplekey": "sample_key",
-        "taxonwvkey": "taxon_key",
-        "Taxoncount": "individuals",
-        "Analysesetkey": "analysis_set",
+        "surveykey": ("survey_key", "bigint"),
+        "locationwvkey": ("location_key", "bigint"),
+        "seasonkey": ("season_key", "bigint"),
+        "eventkey": ("event_key", "bigint"),
+        "samplekey": ("sample_key", "bigint"),
+        "taxonwvkey": ("taxon_key", "bigint"),
+        "Taxoncount": ("individuals", "bigint"),
+        "Analysesetkey": ("analysis_set", "int"),
+    },
+    "DimSurvey": {
+        "surveykey": ("survey_key", "bigint"),
+        "SurveyCode": ("survey_code", "string"),
+        "SurveyNaam": ("survey", "string"),
     },
-    "DimSurvey": {"surveykey": "survey_key", "SurveyCode": "survey_code", "SurveyNaam": "survey"},
     "DimLocationWV": {
-        "locationwvkey": "location_key",
-        "RegioWVCode": "region_code",
-        "RegioWVNaam": "region",
-        "LocationWVCode": "location_code",
-        "LocationWVNaam": "location",
+        "locationwvkey": ("location_key", "bigint"),
+        "RegioWVCode": ("region_code", "string"),
+        "RegioWVNaam": ("region", "string"),
+        "LocationWVCode": ("location_code", "string"),
+        "LocationWVNaam": ("location", "string"),
+    },
+    "DimSeason": {
+        "seasonkey": ("season_key", "bigint"),
+        "Seasonname": ("season", "string"),
     },
-    "DimSeason": {"seasonkey": "season_key", "Seasonname": "season"},
     "DimEvent": {
-        "eventkey": "event_key",
-        "EventCode": "round_code",
-        "EventLabel": "round",
-        "SortOrder": "round_order",
+        "eventkey": ("event_key", "bigint"),
+        "EventCode": ("round_code", "string"),
+        "EventLabel": ("round", "string"),
+        "SortOrder": ("round_order", "int"),
     },
     "DimSample": {
-        "samplekey": "sample_key",
-        "sampleDate": "sample_date",
-        "CoverageCode": "coverage",
-        "samplestatus": "sample_status",
+        "samplekey": ("sample_key", "bigint"),
+        "sampleDate": ("sample_date", "date"),
+        "CoverageCode": ("coverage", "string"),
+        "samplestatus": ("sample_status", "string"),
     },
     "DimTaxonWV": {
-        "taxonwvkey": "taxon_key",
-        "Commonname": "taxon",
-        "scientificname": "scientific_name",
-        "TaxonGroupCode": "taxon_group_code",
-        "TaxonGroupDescription": "taxon_group",
-    },
-    "FactLocationGroup": {
-        "LocationGroupCode": "area_code",
-        "LocationGroupNaam": "area_name",
-        "LocationGroupTypeCode": "area_type_code",
-        "LocationGroupTypeNaam": "area_type",
-        "LocationWVCode": "location_code",
-        "LocationWVNaam": "location",
-        "StartDate": "valid_from",
-        "EndDate": "valid_to",
-        "IsDeleted": "is_deleted",
+        "taxonwvkey": ("taxon_key", "bigint"),
+        "Commonname": ("taxon", "string"),
+        "scientificname": ("scientific_name", "string"),
+        "TaxonGroupCode": ("taxon_group_code", "string"),
+        "TaxonGroupDescription": ("taxon_group", "string"),
     },
+    "FactLocationGroup": {**MEMBERSHIP_HEADER, "IsDeleted": ("is_deleted", "int")},
 }

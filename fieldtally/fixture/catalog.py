@@ -16,40 +16,19 @@ from fieldtally.sources.warehouse import taxon_groups
 Tables = m.SurveyTables
 CENSOR_LIMITS = (0, 3000)
 TARGET = 500
+#: Rows of the sf0.01 tables; other sizes are reported as not agreeing.
+EXPECTED_ROWS = {"all": 11189, "period": 8603}
 
 
-def _with_survey_totals(plan, of: study.Study, *args):
+def _in_study(plan, of: study.Study, *args):
     return lambda t: plan(t.counts(of), t.members(), of, *args)
 
 
-def _listed(plan, clusters_too: bool = False):
-    def run(t: Tables) -> DataFrame:
-        counts, members = t.counts(m.PER_SPECIES), t.members()
-        chosen = species.species_list(
-            counts, members, m.PER_SPECIES, 12, m.LEFT_OUT, m.LATER
-        )
-        if clusters_too:
-            return plan(counts, members, t.clusters(), m.PER_SPECIES, chosen)
-        return plan(counts, members, m.PER_SPECIES, chosen)
-
-    return run
-
-
 def _cold_gear(t: Tables) -> DataFrame:
     counts = t.counts(m.STUDY).filter(F.col("taxon") == "cold gear")
     return areas.winter_means(counts, t.members(), m.STUDY)
 
 
-def _row_count_checks(t: Tables) -> DataFrame:
-    counts = t.counts()
-    frames = {
-        "all": counts,
-        "period": study.period_counts(counts, m.STUDY),
-        "valley": areas.valley_counts(counts, t.members(), m.STUDY),
-    }
-    return checks.row_count_checks(frames, {"all": 11189, "period": 8018})
-
-
 def _merged(t: Tables) -> DataFrame:
     return merged.merged_counts(t.counts(), t.second(), m.REPLACED, m.REPLACED_AFTER).select(
         "location", "season", "season_start", "round", "sample_date", "taxon", "taxon_group",
@@ -80,7 +59,9 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "period_counts": lambda t: study.period_counts(t.counts(m.STUDY), m.STUDY),
     "unknown_groups": lambda t: checks.unknown_groups(t.counts(), "STANDARD"),
     "rows_per_survey": lambda t: totals.row_counts(t.counts_with_survey(), ["survey"]),
-    "row_count_checks": _row_count_checks,
+    "row_count_checks": lambda t: study.row_count_checks(
+        t.counts(), t.members(), m.STUDY, EXPECTED_ROWS
+    ),
     "completeness_check": lambda t: checks.completeness(
         species.composition(t.counts(m.WITH_WADERS), t.members(), m.WITH_WADERS),
         ["season_start", "species"],
@@ -91,44 +72,44 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
         merging.append_membership(t.members(), t.second()), "location"
     ),
     # areas
-    "valley_counts": _with_survey_totals(areas.valley_counts, m.STUDY),
-    "valley_counts_as_of": _with_survey_totals(areas.valley_counts, m.STUDY, "sample_date"),
+    "valley_counts": _in_study(areas.valley_counts, m.STUDY),
+    "valley_counts_as_of": _in_study(areas.valley_counts, m.STUDY, "sample_date"),
     "round_totals": lambda t: totals.round_totals(
         study.exclude_codes(study.period_counts(t.counts(m.STUDY), m.STUDY), m.STUDY), areas.CELL
     ),
-    "area_round_totals": _with_survey_totals(areas.area_round_totals, m.STUDY),
-    "joined_round_totals": _with_survey_totals(areas.joined_round_totals, m.STUDY),
-    "winter_means": _with_survey_totals(areas.winter_means, m.STUDY),
-    "winter_means_with_waders": _with_survey_totals(areas.winter_means, m.WITH_WADERS),
+    "area_round_totals": _in_study(areas.area_round_totals, m.STUDY),
+    "joined_round_totals": _in_study(areas.joined_round_totals, m.STUDY),
+    "winter_means": _in_study(areas.winter_means, m.STUDY),
+    "winter_means_with_waders": _in_study(areas.winter_means, m.WITH_WADERS),
     "winter_means_one_taxon": _cold_gear,
-    "long_area_means": _with_survey_totals(areas.long_area_means, m.STUDY),
-    "area_shares": _with_survey_totals(areas.area_shares, m.STUDY),
-    "class_winter_means": _with_survey_totals(areas.class_winter_means, m.STUDY),
-    "overlapping_classes": _with_survey_totals(areas.overlapping_class_totals, m.STUDY),
-    "moving_winter_mean": _with_survey_totals(areas.moving_winter_mean, m.STUDY),
-    "target_gap": _with_survey_totals(areas.target_gap, m.STUDY, TARGET),
-    "counted_areas": _with_survey_totals(areas.counted_areas, m.STUDY),
-    "counted_areas_by_class": _with_survey_totals(areas.counted_areas_by_class, m.STUDY),
+    "long_area_means": _in_study(areas.long_area_means, m.STUDY),
+    "area_shares": _in_study(areas.area_shares, m.STUDY),
+    "class_winter_means": _in_study(areas.class_winter_means, m.STUDY),
+    "overlapping_classes": _in_study(areas.overlapping_class_totals, m.STUDY),
+    "moving_winter_mean": _in_study(areas.moving_winter_mean, m.STUDY),
+    "target_gap": _in_study(areas.target_gap, m.STUDY, TARGET),
+    "counted_areas": _in_study(areas.counted_areas, m.STUDY),
+    "counted_areas_by_class": _in_study(areas.counted_areas_by_class, m.STUDY),
     # species
-    "species_season_stats": _with_survey_totals(species.species_season_stats, m.STUDY),
-    "top20_concentrations": _with_survey_totals(species.top_concentrations, m.STUDY),
-    "top20_totals": _with_survey_totals(species.top_concentrations, m.STUDY, "total"),
-    "top20_species": _with_survey_totals(species.top_concentration_species, m.STUDY),
-    "top20_total_species": _with_survey_totals(
+    "species_season_stats": _in_study(species.species_season_stats, m.STUDY),
+    "top20_concentrations": _in_study(species.top_concentrations, m.STUDY),
+    "top20_totals": _in_study(species.top_concentrations, m.STUDY, "total"),
+    "top20_species": _in_study(species.top_concentration_species, m.STUDY),
+    "top20_total_species": _in_study(
         species.top_concentration_species, m.STUDY, "total"
     ),
-    "top5_species": _with_survey_totals(species.top_species, m.STUDY, 5),
-    "top_species_other": _with_survey_totals(species.composition, m.WITH_WADERS),
-    "valley_composition": _with_survey_totals(
-        species.composition, m.WITH_WADERS, 10, "Andere", False
+    "top5_species": _in_study(species.top_species, m.STUDY, 5),
+    "top_species_other": _in_study(species.composition, m.WITH_WADERS),
+    "valley_composition": _in_study(
+        species.composition, m.WITH_WADERS, 10, "Andere", "valley"
     ),
-    "stacked_composition": _with_survey_totals(species.stacked_composition, m.WITH_WADERS),
-    "species_list": lambda t: species.species_list(
-        t.counts(m.PER_SPECIES), t.members(), m.PER_SPECIES, 12, m.LEFT_OUT, m.LATER
+    "stacked_composition": _in_study(species.stacked_composition, m.WITH_WADERS),
+    "species_list": _in_study(species.species_list, m.PER_SPECIES, m.CHOICE),
+    "species_shares": _in_study(species.species_shares, m.PER_SPECIES, m.CHOICE),
+    "species_by_class": _in_study(species.species_by_class, m.PER_SPECIES, m.CHOICE),
+    "species_by_cluster": lambda t: species.species_by_cluster(
+        t.counts(m.PER_SPECIES), t.members(), t.clusters(), m.PER_SPECIES, m.CHOICE
     ),
-    "species_shares": _listed(species.species_shares),
-    "species_by_class": _listed(species.species_by_class),
-    "species_by_cluster": _listed(species.species_by_cluster, clusters_too=True),
     "fixed_effort_means": lambda t: totals.fixed_effort_means(
         study.period_counts(t.counts(m.PER_SPECIES), m.PER_SPECIES), ["taxon", "season_start"]
     ),
@@ -152,11 +133,11 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "site_type_totals": _site_types(),
     "reclassified_totals": _site_types("Sigma-Estuarien"),
     # trends
-    "smoothed_trend": _with_survey_totals(trends.round_trend, m.STUDY),
-    "censored_trend": _with_survey_totals(trends.round_trend, m.STUDY, CENSOR_LIMITS),
-    "class_trend": _with_survey_totals(trends.class_trend, m.STUDY),
-    "species_trend": _with_survey_totals(trends.species_trend, m.STUDY),
-    "smoothed_band": _with_survey_totals(trends.round_band, m.STUDY),
+    "smoothed_trend": _in_study(trends.round_trend, m.STUDY),
+    "censored_trend": _in_study(trends.round_trend, m.STUDY, CENSOR_LIMITS),
+    "class_trend": _in_study(trends.class_trend, m.STUDY),
+    "species_trend": _in_study(trends.species_trend, m.STUDY),
+    "smoothed_band": _in_study(trends.round_band, m.STUDY),
     "residual_scale": lambda t: residual_scale(
         trends.round_series(t.counts(m.STUDY), t.members(), m.STUDY),
         ["series"],

@@ -6,12 +6,13 @@ market segments are surveys. ``fixture.oracle`` states the same mapping in SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally import fixed_values as fixed
 from fieldtally.functions.labels import relabel, season_label, season_of_date, within_winters
 from fieldtally.operators.merging import wrangle_second_source
+from fieldtally.plans.species import SpeciesChoice
 from fieldtally.plans.study import Study
 from fieldtally.sources.warehouse import COUNT_COLUMNS, membership, star_counts
 
@@ -23,24 +24,37 @@ REPLACED = "NATION_1"
 REPLACED_AFTER = 1997
 UNRANKED = ("blue anvil",)
 SECOND_GROUPS = {"PROMO family": "PROMO"}
-LATER = {"cold gear": 1996, "red widget": 1997}
-LEFT_OUT = ("blue bolt",)
-CLUSTER_NAMES = (
-    "Burchtse Weel",
-    "Dijlemonding",
-    "Durme",
-    "Kalkense Meersen",
-    "Polders Kruibeke",
-    "Noordelijk Gebied",
-    "Wal-Zwijn",
-    "Elders",
+CHOICE = SpeciesChoice(
+    n=12, left_out=("blue bolt",), later={"cold gear": 1996, "red widget": 1997}
 )
+CLUSTER_NAMES = {
+    "BW": "Burchtse Weel",
+    "DM": "Dijlemonding",
+    "DU": "Durme",
+    "KM": "Kalkense Meersen",
+    "KBR": "Polders Kruibeke",
+    "NG": "Noordelijk Gebied",
+    "OV": "Overige",
+    "WZ": "Elders",
+}
 AREA_NAMES = {"SEST": "Sigma-Estuarien", "WETL": "Sigma-Wetland"}
 
 STUDY = Study(1994, 2001, excluded_groups=("PROMO",), excluded_codes=("SMALL",))
 WITH_WADERS = Study(1996, 2001, excluded_groups=("PROMO",))
 PER_SPECIES = Study(1994, 2001, excluded_groups=("PROMO",))
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_returnflag string, l_shipdate timestamp_ntz",
+}
+
 _SEASONAL = ("season_start", *COUNT_COLUMNS[6:], "taxon_group_code", "taxon_group")
 COLUMNS = ("location_code", "location", *_SEASONAL)
 
@@ -53,56 +67,56 @@ class SurveyTables:
         self.directory = directory
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        """One test table, its used columns declared rather than inferred from the file."""
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.directory}/{name}.parquet")
 
     def _fact(self) -> DataFrame:
-        return self.table("lineitem").select(
-            F.col("l_orderkey").alias("sample_key"),
-            F.col("l_suppkey").alias("location_key"),
-            F.col("l_partkey").alias("taxon_key"),
-            F.col("l_linenumber").alias("analysis_set"),
-            F.col("l_quantity").cast("bigint").alias("individuals"),
+        return self.table("lineitem").selectExpr(
+            "l_orderkey AS sample_key",
+            "l_suppkey AS location_key",
+            "l_partkey AS taxon_key",
+            "l_linenumber AS analysis_set",
+            "CAST(l_quantity AS bigint) AS individuals",
         )
 
     def _samples(self, after: int | None = None, before: int | None = None) -> DataFrame:
         orders = self.table("orders")
         if after is not None:
             orders = orders.filter(within_winters("o_orderdate", after, before))
-        return orders.select(
-            F.col("o_orderkey").alias("sample_key"),
-            F.col("o_custkey").alias("survey_key"),
-            F.to_date("o_orderdate").alias("sample_date"),
-            F.col("o_orderpriority").alias("coverage"),
-            F.col("o_orderstatus").alias("sample_status"),
-            F.month("o_orderdate").alias("event_key"),
-            season_of_date("o_orderdate", "winter_start").alias("season_key"),
-        )
+        return orders.selectExpr(
+            "o_orderkey AS sample_key",
+            "o_custkey AS survey_key",
+            "CAST(o_orderdate AS date) AS sample_date",
+            "o_orderpriority AS coverage",
+            "o_orderstatus AS sample_status",
+            "month(o_orderdate) AS event_key",
+        ).withColumn("season_key", season_of_date("sample_date", "winter_start"))
 
     def _surveys(self) -> DataFrame:
-        return self.table("customer").select(
-            F.col("c_custkey").alias("survey_key"),
-            F.substring("c_mktsegment", 1, 3).alias("survey_code"),
-            F.col("c_mktsegment").alias("survey"),
+        return self.table("customer").selectExpr(
+            "c_custkey AS survey_key",
+            "substring(c_mktsegment, 1, 3) AS survey_code",
+            "c_mktsegment AS survey",
         )
 
     def _suppliers(self) -> DataFrame:
-        return self.table("supplier").select(
-            F.col("s_suppkey").alias("location_key"), F.col("s_nationkey").alias("nation_key")
+        return self.table("supplier").selectExpr(
+            "s_suppkey AS location_key", "s_nationkey AS nation_key"
         )
 
     def _nations(self) -> DataFrame:
-        return self.table("nation").select(
-            F.col("n_nationkey").alias("nation_key"),
-            F.col("n_nationkey").cast("string").alias("location_code"),
-            F.col("n_name").alias("location"),
-            F.col("n_regionkey").alias("region_key"),
+        return self.table("nation").selectExpr(
+            "n_nationkey AS nation_key",
+            "CAST(n_nationkey AS string) AS location_code",
+            "n_name AS location",
+            "n_regionkey AS region_key",
         )
 
     def _regions(self) -> DataFrame:
-        return self.table("region").select(
-            F.col("r_regionkey").alias("region_key"),
-            F.col("r_regionkey").cast("string").alias("region_code"),
-            F.col("r_name").alias("region"),
+        return self.table("region").selectExpr(
+            "r_regionkey AS region_key",
+            "CAST(r_regionkey AS string) AS region_code",
+            "r_name AS region",
         )
 
     def _events(self) -> DataFrame:
@@ -124,12 +138,12 @@ class SurveyTables:
         )
 
     def taxa(self) -> DataFrame:
-        return self.table("part").select(
-            F.col("p_partkey").alias("taxon_key"),
-            F.col("p_name").alias("taxon"),
-            F.col("p_brand").alias("scientific_name"),
-            F.col("p_type").alias("taxon_group_code"),
-            F.col("p_type").alias("taxon_group"),
+        return self.table("part").selectExpr(
+            "p_partkey AS taxon_key",
+            "p_name AS taxon",
+            "p_brand AS scientific_name",
+            "p_type AS taxon_group_code",
+            "p_type AS taxon_group",
         )
 
     def star_counts(self) -> DataFrame:
@@ -205,78 +219,61 @@ class SurveyTables:
             "taxon", F.substring("taxon_group", 1, 2).alias("taxon_group_code"), "taxon_group"
         )
 
-    def _group_rows(self, codes: Column, names: dict[str, str]) -> DataFrame:
-        nations = self.table("nation").withColumn("area_code", F.explode(F.array_compact(codes)))
-        return nations.select(
-            "area_code",
-            relabel("area_code", names, keep_unlisted=True).alias("area_name"),
-            F.lit("A").alias("area_type_code"),
-            F.lit("area").alias("area_type"),
-            F.col("n_nationkey").cast("string").alias("location_code"),
-            F.col("n_name").alias("location"),
-            F.lit("1990-01-01").cast("date").alias("valid_from"),
-            F.when(F.col("n_nationkey") % 3 == 0, F.lit("1998-03-31").cast("date")).alias(
-                "valid_to"
-            ),
-            F.when(
-                (F.col("n_regionkey") == 4) & (F.col("n_nationkey") % 2 == 1), 1
-            ).otherwise(0).alias("is_deleted"),
-        )
+    def _groups(self, tests: dict[str, str], names: dict[str, str], extra: str) -> DataFrame:
+        """Rows of the bridge table: a nation is in each group whose test it meets.
 
-    def _extra_row(self, groups: DataFrame, code: str, name: str) -> DataFrame:
-        """A location that nobody counts, next to nation 24."""
-        extra = groups.filter(F.col("location") == "NATION_24").limit(1)
-        return extra.withColumns(
-            {
-                "area_code": F.lit(code),
-                "area_name": F.lit(name),
-                "location": F.concat("location", F.lit(EXTRA_SUFFIX)),
-                "location_code": F.concat("location_code", F.lit(EXTRA_SUFFIX)),
-            }
+        Nation 24 has a second location, which nobody counts, in the group ``extra``. Odd nations
+        have left the group NOH: their rows are marked as deleted.
+        """
+        hits = [
+            f"if({test}, named_struct('code', '{code}', 'suffix', ''), NULL)"
+            for code, test in tests.items()
+        ]
+        hits.append(
+            f"if(n_nationkey = 24, named_struct('code', '{extra}', 'suffix', '{EXTRA_SUFFIX}'), "
+            "NULL)"
         )
+        rows = self.table("nation").selectExpr(
+            "n_nationkey", "n_name", f"explode(array_compact(array({', '.join(hits)}))) AS g"
+        )
+        return rows.selectExpr(
+            "g.code AS area_code",
+            "'A' AS area_type_code",
+            "'area' AS area_type",
+            "concat(CAST(n_nationkey AS string), g.suffix) AS location_code",
+            "concat(n_name, g.suffix) AS location",
+            "DATE '1990-01-01' AS valid_from",
+            "if(n_nationkey % 3 = 0, DATE '1998-03-31', NULL) AS valid_to",
+            "if(g.code = 'NOH' AND n_nationkey % 2 = 1, 1, 0) AS is_deleted",
+        ).withColumn("area_name", relabel("area_code", names, keep_unlisted=True))
 
     def members(self) -> DataFrame:
         """Membership in the area groups; region 0 overlaps two groups, two nations are in none."""
-        region, nation = F.col("n_regionkey"), F.col("n_nationkey")
-        codes = F.array(
-            F.when(region == 0, "SEST"),
-            F.when(region == 1, "WETL"),
-            F.when(region == 2, "ZSVAL"),
-            F.when(region == 3, "ZS"),
-            F.when(region == 4, "NOH"),
-            F.when((region == 0) & (nation % 10 == 0), "ZR"),
-        )
-        groups = self._group_rows(codes, AREA_NAMES)
-        extra = self._extra_row(groups, "ZSVAL", "ZSVAL")
-        return membership(groups.unionByName(extra), fixed.AREA_CODES)
+        tests = {
+            "SEST": "n_regionkey = 0",
+            "WETL": "n_regionkey = 1",
+            "ZSVAL": "n_regionkey = 2",
+            "ZS": "n_regionkey = 3",
+            "NOH": "n_regionkey = 4",
+            "ZR": "n_regionkey = 0 AND n_nationkey % 10 = 0",
+        }
+        return membership(self._groups(tests, AREA_NAMES, "ZSVAL"), fixed.AREA_CODES)
 
     def clusters(self) -> DataFrame:
-        codes = F.array(
-            *[
-                F.when(F.col("n_nationkey") % 8 == i, code)
-                for i, code in enumerate(fixed.CLUSTER_CODES)
-            ]
-        )
-        groups = self._group_rows(codes, dict(zip(fixed.CLUSTER_CODES, CLUSTER_NAMES)))
-        groups = groups.withColumn("is_deleted", F.lit(0))
-        extra = self._extra_row(groups, "OV", "Overige")
-        return membership(groups.unionByName(extra), fixed.CLUSTER_CODES)
+        tests = {code: f"n_nationkey % 8 = {i}" for i, code in enumerate(fixed.CLUSTER_CODES)}
+        return membership(self._groups(tests, CLUSTER_NAMES, "OV"), fixed.CLUSTER_CODES)
 
     def _second_rows(self, flag: str, location: str) -> DataFrame:
         lines = self.table("lineitem").filter(F.col("l_returnflag") == flag)
-        rows = lines.select(
-            F.col("l_partkey").alias("p_partkey"),
-            F.to_date("l_shipdate").alias("sample_date"),
-            F.col("l_quantity").cast("bigint").alias("individuals"),
-        ).join(self.table("part").select("p_partkey", "p_name", "p_type"), "p_partkey")
-        return rows.select(
-            F.lit(location).alias("location"),
-            F.col("p_name").alias("taxon"),
-            "sample_date",
-            "individuals",
-            F.when(F.col("p_type") == "PROMO", "PROMO family")
-            .otherwise(F.col("p_type"))
-            .alias("taxon_group"),
+        rows = lines.withColumnRenamed("l_partkey", "p_partkey").join(
+            self.table("part"), "p_partkey"
+        )
+        return rows.selectExpr(
+            f"'{location}' AS location",
+            "p_name AS taxon",
+            "CAST(l_shipdate AS date) AS sample_date",
+            "CAST(l_quantity AS bigint) AS individuals",
+            "if(p_type = 'PROMO', 'PROMO family', p_type) AS taxon_group",
         )
 
     def second(self, rule: str = "calendar_year") -> DataFrame:

@@ -72,7 +72,7 @@ classed AS (
 cluster_names(i, area_code, area_name) AS (
   VALUES (0, 'BW', 'Burchtse Weel'), (1, 'DM', 'Dijlemonding'), (2, 'DU', 'Durme'),
          (3, 'KM', 'Kalkense Meersen'), (4, 'KBR', 'Polders Kruibeke'),
-         (5, 'NG', 'Noordelijk Gebied'), (6, 'OV', 'Wal-Zwijn'), (7, 'WZ', 'Elders')
+         (5, 'NG', 'Noordelijk Gebied'), (6, 'OV', 'Overige'), (7, 'WZ', 'Elders')
 ),
 clusters AS (
   SELECT area_code, area_name, 'A' AS area_type_code, 'area' AS area_type,
@@ -447,7 +447,7 @@ def oracle_sql() -> dict[str, str]:
             """
 SELECT frame, n_rows, CAST(n_expected AS BIGINT) AS n_expected, n_rows = n_expected AS agrees
 FROM (SELECT 'all' AS frame, count(*) AS n_rows, 11189 AS n_expected FROM counts
-      UNION ALL SELECT 'period', count(*), 8018 FROM period
+      UNION ALL SELECT 'period', count(*), 8603 FROM period
       UNION ALL SELECT 'valley', count(*), NULL FROM valley)"""
         ),
         "completeness_check": _query(

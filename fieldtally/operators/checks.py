@@ -5,23 +5,28 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def row_count_checks(frames: Mapping[str, DataFrame], expected: Mapping[str, int]) -> DataFrame:
-    """One row per frame: rows found, rows expected (null if not stated) and whether they agree."""
-    rows = [
-        df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("frame"),
-            "n_rows",
-            F.lit(expected.get(name)).cast("bigint").alias("n_expected"),
-        )
-        for name, df in frames.items()
-    ]
-    return reduce(DataFrame.unionByName, rows).withColumn(
-        "agrees", F.col("n_rows") == F.col("n_expected")
+def row_count_checks(
+    df: DataFrame, frames: Mapping[str, Column], expected: Mapping[str, int]
+) -> DataFrame:
+    """One row per check: rows found, rows expected (null if not stated), whether they agree.
+
+    Each check is given as how many rows a row of ``df`` stands for in it (null for none), so
+    that all of them are counted in one pass.
+    """
+    names = list(frames)
+    counted = df.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in frames.items()])
+    wanted = F.create_map(
+        *[F.lit(v) for n in names for v in (n, expected.get(n))]
+    )
+    return (
+        counted.unpivot([], names, "frame", "n_rows")
+        .withColumn("n_expected", F.element_at(wanted, F.col("frame")).cast("bigint"))
+        .withColumn("agrees", F.col("n_rows") == F.col("n_expected"))
     )
 
 

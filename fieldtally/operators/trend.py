@@ -8,18 +8,21 @@ the fit is a projection over that array: no point-by-grid rows, no self-join, no
 The fit at x0 is linear in y. With tricube weights w inside the distance h of the q-th nearest
 point, dx = x - x0 and A_k = sum(w dx^k), a point at x has the weight
 
-    l(x) = w ((A2 A4 - A3^2) - (A1 A4 - A2 A3) dx + (A1 A3 - A2^2) dx^2) / D
-    D    = A0 (A2 A4 - A3^2) - A1 (A1 A4 - A2 A3) + A2 (A1 A3 - A2^2)
+    l(x) = w (k0 - k1 dx + k2 dx^2) / (A0 k0 - A1 k1 + A2 k2)
+    k0 = A2 A4 - A3^2,  k1 = A1 A4 - A2 A3,  k2 = A1 A3 - A2^2
 
 and the fitted value is sum(l y). For the band, L holds the weights at the points themselves and
 M = I - L; then d1 = tr(M M'), d2 = tr((M M')^2), s^2 = RSS / d1, se = s sqrt(sum(l^2)) and the
 degrees of freedom are d1^2 / d2. Points at the same x have the same weights, so all these sums
 run over distinct x with multiplicities.
+
+Expressions over arrays are written as SQL text, one column per step, so that no step is worked
+out twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +32,68 @@ from fieldtally.functions.student import t_quantile_975
 
 #: Distinct x with positive weight that a quadratic needs.
 MIN_SUPPORT = 3
-_ENTRY = "entries"
+
+# One element per distinct x, in ascending order: x, points c, sum of y sy, squared deviations ss.
+_ENTRIES = "sort_array(collect_list(struct(x, c, sy, ss)))"
+
+# Distance of the q-th nearest point to x0, points at the same x counted one by one.
+_REACH = """
+aggregate(
+  array_sort(transform(entries, e -> named_struct('d', abs(e.x - x0), 'c', e.c))),
+  named_struct('seen', 0D, 'h', 0D),
+  (a, e) -> named_struct('seen', a.seen + e.c, 'h', if(a.seen < q, e.d, a.h))
+).h"""
+
+_KERNEL = """
+transform(entries, e -> if(abs(e.x - p.x0) < p.h, pow(1 - pow(abs(e.x - p.x0) / p.h, 3), 3), 0D))
+"""
+
+# Moments A0..A4 of the kernel weights at one place.
+_MOMENTS = """
+aggregate(
+  zip_with(entries, p.w, (e, w) -> named_struct('cw', e.c * w, 'dx', e.x - p.x0)),
+  named_struct('a0', 0D, 'a1', 0D, 'a2', 0D, 'a3', 0D, 'a4', 0D),
+  (a, t) -> named_struct(
+    'a0', a.a0 + t.cw,
+    'a1', a.a1 + t.cw * t.dx,
+    'a2', a.a2 + t.cw * t.dx * t.dx,
+    'a3', a.a3 + t.cw * t.dx * t.dx * t.dx,
+    'a4', a.a4 + t.cw * t.dx * t.dx * t.dx * t.dx))
+"""
+
+_COFACTORS = """
+named_struct(
+  'k0', p.a.a2 * p.a.a4 - p.a.a3 * p.a.a3,
+  'k1', p.a.a1 * p.a.a4 - p.a.a2 * p.a.a3,
+  'k2', p.a.a1 * p.a.a3 - p.a.a2 * p.a.a2)
+"""
+
+_FIT_WEIGHTS = f"""
+if(size(filter(p.w, w -> w > 0)) >= {MIN_SUPPORT},
+   zip_with(entries, p.w, (e, w) ->
+     w * (p.k.k0 - p.k.k1 * (e.x - p.x0) + p.k.k2 * (e.x - p.x0) * (e.x - p.x0))
+     / (p.a.a0 * p.k.k0 - p.a.a1 * p.k.k1 + p.a.a2 * p.k.k2)),
+   NULL)
+"""
+
+
+def _sum(values: str) -> str:
+    return f"aggregate({values}, 0D, (total, v) -> total + v)"
+
+
+def _fitted(weights: str) -> str:
+    """Fitted value from the weights of the entries at one place."""
+    return _sum(f"zip_with(entries, {weights}, (e, l) -> e.sy * l)")
+
+
+def _squares(weights: str) -> str:
+    """Sum of squared weights over all points."""
+    return _sum(f"zip_with(entries, {weights}, (e, l) -> e.c * l * l)")
+
+
+def _over_entries(term: str) -> str:
+    """Sum of a term over the entry numbers ``j``."""
+    return _sum(f"transform(numbers, j -> {term})")
 
 
 def censor(df: DataFrame, value: str, low: float, high: float) -> DataFrame:
@@ -42,12 +106,11 @@ def target_gap(df: DataFrame, value: str, target: float) -> DataFrame:
     return df.withColumn("target", F.lit(target)).withColumn("gap", F.col(value) - F.lit(target))
 
 
-def _total(values: Column, term: Callable[[Column], Column]) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda total, v: total + term(v))
-
-
-def _dot(left: Column, right: Column) -> Column:
-    return _total(F.zip_with(left, right, lambda a, b: a * b), lambda v: v)
+def _steps(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add columns one after another; each may use those before it."""
+    for name, text in columns.items():
+        df = df.withColumn(name, F.expr(text))
+    return df
 
 
 def _series_key(by: Sequence[str]) -> Column:
@@ -65,127 +128,53 @@ def _series(df: DataFrame, by: Sequence[str], x: str, y: str, span: float) -> Da
     The columns that name a series travel as the struct ``series``, so they may have any name.
     """
     points = (
-        df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy(_series_key(by), F.col(x).cast("double").alias("x"))
+        df.select(
+            _series_key(by), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
+        )
+        .filter("x IS NOT NULL AND y IS NOT NULL")
+        .groupBy("series", "x")
         .agg(
-            F.count(F.lit(1)).cast("double").alias("c"),
-            F.sum(F.col(y).cast("double")).alias("sy"),
-            (F.var_pop(y) * F.count(F.lit(1))).alias("ss"),
+            F.expr("cast(count(1) AS double) AS c"),
+            F.expr("sum(y) AS sy"),
+            F.expr("var_pop(y) * count(1) AS ss"),
         )
     )
-    return (
-        points.groupBy("series")
-        .agg(F.sort_array(F.collect_list(F.struct("x", "c", "sy", "ss"))).alias(_ENTRY))
-        .withColumn("n", _total(F.col(_ENTRY), lambda e: e["c"]))
-        .withColumn("q", F.floor(F.col("n") * span + 1e-5))
-        .withColumn("x_min", F.element_at(_ENTRY, 1)["x"])
-        .withColumn("x_max", F.element_at(_ENTRY, -1)["x"])
+    return _steps(
+        points.groupBy("series").agg(F.expr(_ENTRIES).alias("entries")),
+        {
+            "n": _sum("transform(entries, e -> e.c)"),
+            "q": f"floor(n * {span!r}D + 1e-5D)",
+            "x_min": "entries[0].x",
+            "x_max": "entries[size(entries) - 1].x",
+        },
     )
 
 
 def _with_grid(df: DataFrame, points: int) -> DataFrame:
-    step = (F.col("x_max") - F.col("x_min")) / (points - 1)
     return df.withColumn(
         "grid",
-        F.transform(
-            F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("x_min") + i * step
+        F.expr(
+            f"transform(sequence(0, {points - 1}), "
+            f"i -> x_min + i * ((x_max - x_min) / {points - 1}))"
         ),
     )
 
 
-def _reach(x0: Column) -> Column:
-    """Distance of the q-th nearest point to x0, counting points at the same x one by one."""
-    near = F.array_sort(
-        F.transform(
-            F.col(_ENTRY), lambda e: F.struct(F.abs(e["x"] - x0).alias("d"), e["c"].alias("c"))
-        )
-    )
-    start = F.struct(F.lit(0.0).alias("seen"), F.lit(0.0).alias("h"))
-    return F.aggregate(
-        near,
-        start,
-        lambda acc, e: F.struct(
-            (acc["seen"] + e["c"]).alias("seen"),
-            F.when(acc["seen"] < F.col("q"), e["d"]).otherwise(acc["h"]).alias("h"),
-        ),
-    )["h"]
-
-
-def _tricube(dx: Column, h: Column) -> Column:
-    return F.when(F.abs(dx) < h, F.pow(1 - F.pow(F.abs(dx) / h, 3), 3)).otherwise(F.lit(0.0))
-
-
 def _with_fit_weights(df: DataFrame, places: str, out: str) -> DataFrame:
-    """Add ``out``: per place in the array ``places``, the weights l of the entries (or null).
-
-    Built in steps, one column each, so that no step is worked out twice.
-    """
-    reach, kernel, sums = f"{out}_h", f"{out}_w", f"{out}_s"
-
-    def moment(weights: Column, x0: Column, power: int) -> Column:
-        terms = F.zip_with(
-            F.col(_ENTRY),
-            weights,
-            lambda e, w: e["c"] * w * (F.pow(e["x"] - x0, power) if power else F.lit(1.0)),
-        )
-        return _total(terms, lambda v: v)
-
-    def fit(s: Column) -> Column:
-        k0 = s["a2"] * s["a4"] - s["a3"] * s["a3"]
-        k1 = s["a1"] * s["a4"] - s["a2"] * s["a3"]
-        k2 = s["a1"] * s["a3"] - s["a2"] * s["a2"]
-        det = s["a0"] * k0 - s["a1"] * k1 + s["a2"] * k2
-        weights = F.zip_with(
-            F.col(_ENTRY),
-            s["w"],
-            lambda e, w: w
-            * (k0 - k1 * (e["x"] - s["x0"]) + k2 * (e["x"] - s["x0"]) * (e["x"] - s["x0"]))
-            / det,
-        )
-        return F.when(s["support"] >= MIN_SUPPORT, weights)
-
-    return (
-        df.withColumn(
-            reach,
-            F.transform(places, lambda x0: F.struct(x0.alias("x0"), _reach(x0).alias("h"))),
-        )
-        .withColumn(
-            kernel,
-            F.transform(
-                reach,
-                lambda p: F.struct(
-                    p["x0"].alias("x0"),
-                    F.transform(
-                        F.col(_ENTRY), lambda e: _tricube(e["x"] - p["x0"], p["h"])
-                    ).alias("w"),
-                ),
-            ),
-        )
-        .withColumn(
-            sums,
-            F.transform(
-                kernel,
-                lambda p: F.struct(
-                    p["x0"].alias("x0"),
-                    p["w"].alias("w"),
-                    F.size(F.filter(p["w"], lambda w: w > 0)).alias("support"),
-                    *[moment(p["w"], p["x0"], k).alias(f"a{k}") for k in range(5)],
-                ),
-            ),
-        )
-        .withColumn(out, F.transform(sums, fit))
-        .drop(reach, kernel, sums)
-    )
-
-
-def _fitted(weights: Column) -> Column:
-    """Fitted value from the weights at one place."""
-    return _total(F.zip_with(F.col(_ENTRY), weights, lambda e, v: e["sy"] * v), lambda v: v)
-
-
-def _squares(weights: Column) -> Column:
-    """Sum of squared weights over all points."""
-    return _total(F.zip_with(F.col(_ENTRY), weights, lambda e, v: e["c"] * v * v), lambda v: v)
+    """Add ``out``: per place in the array ``places``, the weights l of the entries (or null)."""
+    reach, kernel, moments, cofactors = (f"{out}_{part}" for part in ("h", "w", "a", "k"))
+    return _steps(
+        df,
+        {
+            reach: f"transform({places}, x0 -> named_struct('x0', x0, 'h', {_REACH}))",
+            kernel: f"transform({reach}, p -> named_struct('x0', p.x0, 'w', {_KERNEL}))",
+            moments: f"transform({kernel}, p -> "
+            f"named_struct('x0', p.x0, 'w', p.w, 'a', {_MOMENTS}))",
+            cofactors: f"transform({moments}, p -> "
+            f"named_struct('x0', p.x0, 'w', p.w, 'a', p.a, 'k', {_COFACTORS}))",
+            out: f"transform({cofactors}, p -> {_FIT_WEIGHTS})",
+        },
+    ).drop(reach, kernel, moments, cofactors)
 
 
 def smoothed_trend(
@@ -201,63 +190,44 @@ def smoothed_trend(
     Null where fewer than three distinct x carry weight. Series with one distinct x are left out.
     """
     fitted = _with_fit_weights(_with_grid(_series(df, by, x, y, span), points), "grid", "grid_l")
-    curve = F.arrays_zip(
-        F.col("grid").alias("x"), F.transform("grid_l", _fitted).alias("fit")
-    )
+    curve = f"zip_with(grid, grid_l, (x0, l) -> named_struct('x', x0, 'fit', {_fitted('l')}))"
     return (
-        fitted.filter(F.size(_ENTRY) > 1)
-        .select("series", F.posexplode(curve).alias("step", "point"))
-        .select(
-            *_series_columns(by),
-            "step",
-            F.col("point.x").alias("x"),
-            F.col("point.fit").alias("fit"),
-        )
-    )
-
-
-def _with_residual_scale(df: DataFrame) -> DataFrame:
-    """Add ``d1``, ``d2``, ``rss``, ``s`` and ``df`` of each series from the weights ``node_l``."""
-    numbers = F.sequence(F.lit(0), F.size(_ENTRY) - 1)
-    entry = F.col(_ENTRY)
-    hat = F.col("node_l")
-
-    def overlap(j: Column) -> Column:
-        """Row j of L + L' - LL'."""
-        return F.transform(
-            numbers,
-            lambda k: hat[j][k]
-            + hat[k][j]
-            - _dot(F.col("scaled_l")[j], hat[k]),
-        )
-
-    scaled = F.transform(hat, lambda row: F.zip_with(entry, row, lambda e, v: e["c"] * v))
-    own = _total(numbers, lambda j: entry[j]["c"] * hat[j][j])
-    squares = _total(numbers, lambda j: entry[j]["c"] * _squares(hat[j]))
-    misfit = _total(
-        numbers,
-        lambda j: entry[j]["ss"]
-        + entry[j]["c"]
-        * F.pow(entry[j]["sy"] / entry[j]["c"] - _fitted(hat[j]), 2),
-    )
-    trace = _total(numbers, lambda j: entry[j]["c"] * F.col("overlap")[j][j])
-    square_sum = _total(numbers, lambda j: entry[j]["c"] * _squares(F.col("overlap")[j]))
-    return (
-        df.withColumn("scaled_l", scaled)
-        .withColumn("overlap", F.transform(numbers, overlap))
-        .withColumn("d1", F.col("n") - 2 * own + squares)
-        .withColumn("d2", F.col("n") - 2 * trace + square_sum)
-        .withColumn("rss", misfit)
-        .withColumn("s", F.when(F.col("d1") > 0, F.sqrt(F.col("rss") / F.col("d1"))))
-        .withColumn("df", F.try_divide(F.col("d1") * F.col("d1"), F.col("d2")))
+        fitted.filter("size(entries) > 1")
+        .select("series", F.expr(f"posexplode({curve}) AS (step, point)"))
+        .select(*_series_columns(by), "step", "point.x", "point.fit")
     )
 
 
 def _residual_scale(
     df: DataFrame, by: Sequence[str], x: str, y: str, span: float
 ) -> DataFrame:
-    series = _series(df, by, x, y, span).withColumn("nodes", F.transform(_ENTRY, lambda e: e["x"]))
-    return _with_residual_scale(_with_fit_weights(series, "nodes", "node_l"))
+    """Series with the weights ``hat`` at their own points and the scale of their residuals."""
+    series = _steps(
+        _series(df, by, x, y, span),
+        {
+            "nodes": "transform(entries, e -> e.x)",
+            "numbers": "sequence(0, size(entries) - 1)",
+        },
+    )
+    # overlap is L + L' - LL': M M' = I - overlap.
+    product = _sum("zip_with(scaled[j], hat[k], (a, b) -> a * b)")
+    return _steps(
+        _with_fit_weights(series, "nodes", "hat"),
+        {
+            "scaled": "transform(hat, row -> zip_with(entries, row, (e, l) -> e.c * l))",
+            "overlap": f"""transform(numbers, j -> transform(numbers, k ->
+                hat[j][k] + hat[k][j] - {product}))""",
+            "d1": f"n - 2 * {_over_entries('scaled[j][j]')} "
+            f"+ {_over_entries('entries[j].c * ' + _squares('hat[j]'))}",
+            "d2": f"n - 2 * {_over_entries('entries[j].c * overlap[j][j]')} "
+            f"+ {_over_entries('entries[j].c * ' + _squares('overlap[j]'))}",
+            "misfit": f"transform(numbers, j -> entries[j].sy / entries[j].c "
+            f"- {_fitted('hat[j]')})",
+            "rss": _over_entries("entries[j].ss + entries[j].c * misfit[j] * misfit[j]"),
+            "s": "if(d1 > 0, sqrt(rss / d1), NULL)",
+            "df": "try_divide(d1 * d1, d2)",
+        },
+    )
 
 
 def residual_scale(
@@ -284,25 +254,24 @@ def smoothed_band(
     points: int = SMOOTH_POINTS,
 ) -> DataFrame:
     """Fitted curve with standard error and 95% band; null band below three degrees of freedom."""
-    scaled = _with_grid(_residual_scale(df, by, x, y, span), points)
-    fitted = _with_fit_weights(scaled, "grid", "grid_l")
-    curve = F.arrays_zip(
-        F.col("grid").alias("x"),
-        F.transform("grid_l", _fitted).alias("fit"),
-        F.transform("grid_l", _squares).alias("squares"),
+    fitted = _with_fit_weights(
+        _with_grid(_residual_scale(df, by, x, y, span), points), "grid", "grid_l"
+    )
+    curve = (
+        "zip_with(grid, grid_l, (x0, l) -> named_struct("
+        f"'x', x0, 'fit', {_fitted('l')}, 'spread', sqrt({_squares('l')})))"
     )
     return (
-        fitted.filter(F.size(_ENTRY) > 1)
+        fitted.filter("size(entries) > 1")
         .withColumn("half", t_quantile_975("df") * F.col("s"))
-        .select("series", "s", "half", F.posexplode(curve).alias("step", "point"))
-        .withColumn("spread", F.sqrt("point.squares"))
+        .select("series", "s", "half", F.expr(f"posexplode({curve}) AS (step, point)"))
         .select(
             *_series_columns(by),
             "step",
-            F.col("point.x").alias("x"),
-            F.col("point.fit").alias("fit"),
-            (F.col("s") * F.col("spread")).alias("se"),
-            (F.col("point.fit") - F.col("half") * F.col("spread")).alias("lower"),
-            (F.col("point.fit") + F.col("half") * F.col("spread")).alias("upper"),
+            "point.x",
+            "point.fit",
+            F.expr("s * point.spread AS se"),
+            F.expr("point.fit - half * point.spread AS lower"),
+            F.expr("point.fit + half * point.spread AS upper"),
         )
     )

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from fieldtally import fixed_values as fixed
 from fieldtally.functions.labels import relabel, season_start
+from fieldtally.operators import checks
+from fieldtally.operators.joins import null_safe_join
 
 
 @dataclass(frozen=True)
@@ -73,3 +75,22 @@ def with_class(membership: DataFrame, study: Study) -> DataFrame:
 def area_classes(membership: DataFrame, study: Study) -> DataFrame:
     """Which code stands for which class."""
     return with_class(membership, study).select("area_code", "area_class").distinct()
+
+
+def row_count_checks(
+    counts: DataFrame, membership: DataFrame, study: Study, expected: Mapping[str, int]
+) -> DataFrame:
+    """Rows in all, in the study's period and groups, and of those in the valley; one pass."""
+    copies = membership.groupBy("location").agg(F.count(F.lit(1)).alias("copies"))
+    kept = in_period(study)
+    for group in study.excluded_groups:
+        kept = kept & (F.col("taxon_group") != group)
+    return checks.row_count_checks(
+        null_safe_join(with_season_start(counts), copies, ["location"], "left"),
+        {
+            "all": F.lit(1),
+            "period": F.when(kept, 1),
+            "valley": F.when(kept, F.col("copies")),
+        },
+        expected,
+    )

@@ -30,13 +30,21 @@ COUNT_COLUMNS = (
 
 
 def read_tables(spark: SparkSession, base: str, tables: Sequence[str]) -> dict[str, DataFrame]:
-    """Warehouse tables kept as Parquet under ``base``, with the column names used here."""
-    return {
-        name: spark.read.parquet(f"{base}/{name}").withColumnsRenamed(
-            fixed.WAREHOUSE_COLUMNS[name]
-        )
-        for name in tables
-    }
+    """Warehouse tables kept as Parquet under ``base``, with the column names used here.
+
+    Schemas are declared, so that no file footer is read while the query is put together.
+    """
+    found = {}
+    for name in tables:
+        columns = fixed.WAREHOUSE_COLUMNS[name]
+        schema = ", ".join(f"{source} {kind}" for source, (_, kind) in columns.items())
+        found[name] = _renamed(spark.read.schema(schema).parquet(f"{base}/{name}"), name)
+    return found
+
+
+def _renamed(df: DataFrame, table: str) -> DataFrame:
+    names = {source: name for source, (name, _) in fixed.WAREHOUSE_COLUMNS[table].items()}
+    return df.withColumnsRenamed(names)
 
 
 def read_jdbc_table(
@@ -56,7 +64,7 @@ def read_jdbc_table(
         df = spark.read.jdbc(
             url, table, split_on, low, high, parts, properties=dict(properties)
         )
-    return df.withColumnsRenamed(fixed.WAREHOUSE_COLUMNS.get(table, {}))
+    return _renamed(df, table)
 
 
 def star_counts(
