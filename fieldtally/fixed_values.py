@@ -73,6 +73,30 @@ SMOOTH_SPAN = 0.75
 SMOOTH_POINTS = 80
 NORMAL_975 = 1.959964
 
+# --- fixed values: axis limits of the charts, outside of which points are not fitted ----
+LIMITS_WITHOUT_WADERS = {
+    "site_means": (0, 20000),
+    "valley_means": (0, 125000),
+    "region_means": (0, 320000),
+    "site_and_valley_means": (0, 125000),
+    "valley_and_region_means": (0, 320000),
+    "site_share_of_valley": (0, 0.4),
+    "valley_share_of_region": (0, 0.5),
+    "site_share_of_region": (0, 0.1),
+}
+LIMITS_WITH_WADERS = {
+    "site_means": (0, 20000),
+    "valley_means": (0, 125000),
+    "region_means": (0, 320000),
+    "site_and_valley_means": (0, 125000),
+    "valley_and_region_means": (0, 370000),
+    "site_share_of_valley": (0, 0.4),
+    "valley_share_of_region": (0, 0.5),
+    "site_share_of_region": (0, 0.1),
+}
+LIMITS_MOVING_MEANS = (0, 50000)
+LIMITS_SITE_TYPES = (0, 15000)
+
 # --- fixed values: column headers of the exported files ---------------------------------
 COUNTS_HEADER = {
     "ProjectCode": ("survey_code", "string"),

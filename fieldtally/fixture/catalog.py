@@ -14,7 +14,7 @@ from fieldtally.plans import areas, clusters, merged, species, study, trends
 from fieldtally.sources.warehouse import taxon_groups
 
 Tables = m.SurveyTables
-CENSOR_LIMITS = (0, 3000)
+CENSOR_LIMITS = (0, 0.5)
 TARGET = 500
 #: Rows of the sf0.01 tables; other sizes are reported as not agreeing.
 EXPECTED_ROWS = {"all": 11189, "period": 8603}
@@ -65,6 +65,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "completeness_check": lambda t: checks.completeness(
         species.composition(t.counts(m.WITH_WADERS), t.members(), m.WITH_WADERS),
         ["season_start", "species"],
+        "mean",
     ),
     "areas_without_counts": lambda t: joins.areas_without_counts(t.members(), t.counts()),
     "area_classes": lambda t: study.area_classes(t.members(), m.STUDY),
@@ -121,7 +122,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
         t.counts(m.WITH_WADERS), t.members(), t.clusters(), m.WITH_WADERS
     ),
     # second source
-    "second_source": lambda t: t.second(),
+    "second_source": lambda t: t.second_files(),
     "second_source_winter_rule": lambda t: totals.round_totals(
         t.second("winter_start"), ["area_name", "season_start", "round"]
     ),
@@ -134,7 +135,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "reclassified_totals": _site_types("Sigma-Estuarien"),
     # trends
     "smoothed_trend": _in_study(trends.round_trend, m.STUDY),
-    "censored_trend": _in_study(trends.round_trend, m.STUDY, CENSOR_LIMITS),
+    "censored_trend": _in_study(trends.share_trend, m.STUDY, CENSOR_LIMITS),
     "class_trend": _in_study(trends.class_trend, m.STUDY),
     "species_trend": _in_study(trends.species_trend, m.STUDY),
     "smoothed_band": _in_study(trends.round_band, m.STUDY),

@@ -263,28 +263,35 @@ class SurveyTables:
         tests = {code: f"n_nationkey % 8 = {i}" for i, code in enumerate(fixed.CLUSTER_CODES)}
         return membership(self._groups(tests, CLUSTER_NAMES, "OV"), fixed.CLUSTER_CODES)
 
-    def _second_rows(self, flag: str, location: str) -> DataFrame:
-        lines = self.table("lineitem").filter(F.col("l_returnflag") == flag)
+    def _second_rows(self, flags: tuple[str, ...]) -> DataFrame:
+        lines = self.table("lineitem").filter(F.col("l_returnflag").isin(*flags))
         rows = lines.withColumnRenamed("l_partkey", "p_partkey").join(
             self.table("part"), "p_partkey"
         )
         return rows.selectExpr(
-            f"'{location}' AS location",
+            "if(l_returnflag = 'R', 'NORTH', 'SOUTH') AS location",
             "p_name AS taxon",
             "CAST(l_shipdate AS date) AS sample_date",
             "CAST(l_quantity AS bigint) AS individuals",
             "if(p_type = 'PROMO', 'PROMO family', p_type) AS taxon_group",
         )
 
+    def second_files(self) -> DataFrame:
+        """The second source as two files, each wrangled with its area, then stacked."""
+        north = wrangle_second_source(
+            self._second_rows(("R",)), "Sigma-Estuarien", fixed.ROUNDS, SECOND_GROUPS
+        )
+        south = wrangle_second_source(
+            self._second_rows(("A",)), "Sigma-Wetland", fixed.ROUNDS, SECOND_GROUPS
+        )
+        return north.unionByName(south)
+
     def second(self, rule: str = "calendar_year") -> DataFrame:
-        """Both files of the second source, wrangled and stacked."""
-        parts = [
-            wrangle_second_source(
-                self._second_rows(flag, location), area, fixed.ROUNDS, SECOND_GROUPS, rule
-            )
-            for flag, location, area in (
-                ("R", "NORTH", "Sigma-Estuarien"),
-                ("A", "SOUTH", "Sigma-Wetland"),
-            )
-        ]
-        return parts[0].unionByName(parts[1])
+        """The same rows read once, the area worked out from the location."""
+        return wrangle_second_source(
+            self._second_rows(("R", "A")),
+            relabel("location", {"NORTH": "Sigma-Estuarien", "SOUTH": "Sigma-Wetland"}),
+            fixed.ROUNDS,
+            SECOND_GROUPS,
+            rule,
+        )

@@ -368,8 +368,10 @@ series_points AS (
 )"""
 _CENSORED = """
 censored AS (
-  SELECT series, season_start, CASE WHEN total BETWEEN 0 AND 3000 THEN total END AS total
-  FROM series_points
+  SELECT series, season_start, CASE WHEN share BETWEEN 0 AND 0.5 THEN share END AS total
+  FROM (SELECT 'site_valley_share' AS series, season_start, site_valley_share AS share FROM cells
+        UNION ALL SELECT 'site_region_share', season_start, site_region_share FROM cells
+        UNION ALL SELECT 'valley_region_share', season_start, valley_region_share FROM cells)
 )"""
 _SPECIES_POINTS = """
 species_points AS (
@@ -452,7 +454,8 @@ FROM (SELECT 'all' AS frame, count(*) AS n_rows, 11189 AS n_expected FROM counts
         ),
         "completeness_check": _query(
             """
-SELECT count(*) AS n_rows, count(DISTINCT season_start) AS n_season_start,
+SELECT count(*) AS n_rows, count(*) - count(mean) AS n_missing,
+       count(DISTINCT season_start) AS n_season_start,
        count(DISTINCT species) AS n_species,
        count(DISTINCT season_start) * count(DISTINCT species) AS n_complete,
        count(*) = count(DISTINCT season_start) * count(DISTINCT species) AS is_complete
@@ -665,7 +668,7 @@ FROM top_counts a FULL JOIN top_second b ON a.position = b.position""",
             "CASE WHEN m.location = 'NATION_1' THEN 'Sigma-Estuarien' ELSE a.area_name END"
         ),
         "smoothed_trend": _trend("series_points", "series", *trend_points),
-        "censored_trend": _trend("censored", "series", *trend_points, _CENSORED),
+        "censored_trend": _trend("censored", "series", *_CELLS, _CENSORED),
         "class_trend": _trend("class_cells", "area_class", *_NO_WADERS, _CLASS_CELLS),
         "species_trend": _trend("species_points", "taxon", _SPECIES_POINTS),
         "smoothed_band": _query(

@@ -30,10 +30,17 @@ def row_count_checks(
     )
 
 
-def completeness(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows found against the product of the distinct key values (null counts as a value)."""
+def completeness(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows found, and rows without a value, against the product of the distinct key values.
+
+    A null key counts as a value of that key.
+    """
     distinct = [F.count_distinct(F.struct(k)).alias(f"n_{k}") for k in keys]
-    counted = df.agg(F.count(F.lit(1)).alias("n_rows"), *distinct)
+    counted = df.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col(value).isNull()).alias("n_missing"),
+        *distinct,
+    )
     full = reduce(lambda a, b: a * b, [F.col(f"n_{k}") for k in keys])
     return counted.withColumn("n_complete", full).withColumn(
         "is_complete", F.col("n_rows") == F.col("n_complete")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions.labels import relabel, season_of_date
@@ -23,7 +23,7 @@ SECOND_SOURCE_COLUMNS = (
 
 def wrangle_second_source(
     df: DataFrame,
-    area_name: str,
+    area_name: str | Column,
     rounds: Mapping[int, str],
     groups: Mapping[str, str],
     season_rule: str = "calendar_year",
@@ -35,7 +35,7 @@ def wrangle_second_source(
     """
     return df.withColumns(
         {
-            "area_name": F.lit(area_name),
+            "area_name": F.lit(area_name),  # a label, or an expression over the rows
             "season_start": season_of_date("sample_date", season_rule),
             "round": relabel(F.month("sample_date"), rounds),
             "taxon_group": relabel("taxon_group", groups, keep_unlisted=True),

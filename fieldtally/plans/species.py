@@ -24,12 +24,14 @@ def _valley_copies(membership: DataFrame) -> DataFrame:
 
 def species_season_stats(counts: DataFrame, membership: DataFrame, study: Study) -> DataFrame:
     """Per species and season in the valley: rows, total, and total per row."""
-    kept = period_counts(counts, study).select(*SPECIES_SEASON, "location", totals.VALUE)
+    kept = period_counts(counts, study).select(
+        *SPECIES_SEASON, "location", totals.VALUE, totals.rows_behind(counts).alias("rows")
+    )
     joined = null_safe_join(kept, _valley_copies(membership), ["location"], "inner")
     return (
         joined.groupBy(*SPECIES_SEASON)
         .agg(
-            F.sum("copies").alias("n"),
+            F.sum(F.col("copies") * F.col("rows")).alias("n"),
             strict_sum(F.col(totals.VALUE) * F.col("copies")).alias("total"),
         )
         .withColumn("mean", ratio("total", "n"))

@@ -12,6 +12,7 @@ from fieldtally import fixed_values as fixed
 from fieldtally.functions.labels import relabel, season_start
 from fieldtally.operators import checks
 from fieldtally.operators.joins import null_safe_join
+from fieldtally.operators.totals import rows_behind
 
 
 @dataclass(frozen=True)
@@ -85,12 +86,13 @@ def row_count_checks(
     kept = in_period(study)
     for group in study.excluded_groups:
         kept = kept & (F.col("taxon_group") != group)
+    rows = rows_behind(counts)
     return checks.row_count_checks(
         null_safe_join(with_season_start(counts), copies, ["location"], "left"),
         {
-            "all": F.lit(1),
-            "period": F.when(kept, 1),
-            "valley": F.when(kept, F.col("copies")),
+            "all": rows,
+            "period": F.when(kept, rows),
+            "valley": F.when(kept, rows * F.col("copies")),
         },
         expected,
     )

@@ -23,14 +23,26 @@ def round_series(counts: DataFrame, membership: DataFrame, study: Study) -> Data
     )
 
 
-def round_trend(counts, membership, study, limits: tuple[float, float] | None = None) -> DataFrame:
-    """Trend of the round totals per area; totals outside the limits do not enter the fit."""
+def round_trend(counts, membership, study) -> DataFrame:
+    """Trend of the round totals per area."""
     points = round_series(counts, membership, study)
-    if limits is not None:
-        points = trend.censor(points, "total", *limits)
     return trend.smoothed_trend(points, ["series"], "season_start", "total")
 
 
+def share_trend(counts, membership, study, limits: tuple[float, float]) -> DataFrame:
+    """Trend of the round shares; shares outside the limits do not enter the fit."""
+    points = shaping.long_form(
+        areas.area_round_totals(counts, membership, study),
+        areas.CELL,
+        list(areas.SHARES),
+        "series",
+        "share",
+    )
+    return trend.smoothed_trend(
+        trend.censor(points, "share", *limits), ["series"], "season_start", "share"
+    )
+
+
 def round_band(counts, membership, study) -> DataFrame:
     """The same trend with its 95% band."""
     points = round_series(counts, membership, study)

@@ -73,16 +73,17 @@ def with_exported_names(df: DataFrame, header: Mapping[str, tuple[str, str]]) ->
     return df.select(*[F.col(name).alias(source) for source, (name, _) in header.items()])
 
 
-def write_counts(counts: DataFrame, base: str, day: date) -> str:
+def write_counts(counts: DataFrame, base: str, day: date, name: str = "counts") -> str:
     """Counts as Parquet partitioned by season, so that a period filter skips whole seasons.
 
     Rows are rebalanced on the season first: adaptive execution splits a hot season over several
     tasks and files and merges small ones.
     """
-    path = f"{base}/counts/snapshot={day.isoformat()}"
+    path = f"{base}/{name}/snapshot={day.isoformat()}"
+    if "season_start" not in counts.columns:
+        counts = counts.withColumn("season_start", season_start("season"))
     (
-        counts.withColumn("season_start", season_start("season"))
-        .hint("rebalance", "season_start")
+        counts.hint("rebalance", "season_start")
         .write.mode("overwrite")
         .partitionBy("season_start")
         .parquet(path)
