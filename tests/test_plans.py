@@ -38,13 +38,14 @@ def test_valley_counts_need_no_outer_join(spark, testdata):
     assert "Outer" not in plan and "Exchange hashpartitioning" not in plan
 
 
-def test_period_and_predicates_reach_the_scans(spark, testdata):
-    plan = QUERIES["winter_means"](spark, testdata)._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"o_orderdate#\d+ >= 1995-04-01", plan)
-    assert re.search(r"o_orderdate#\d+ < 2001-04-01", plan)
-    assert "In(o_orderstatus, [F,O])" in plan
-    lines = next(s for s in re.findall(r"FileScan parquet \[([^\]]*)\]", plan) if "l_" in s)
-    assert set(re.findall(r"l_\w+", lines)) == {
+def test_period_and_predicates_reach_the_scans(spark, testdata, capsys):
+    QUERIES["winter_means"](spark, testdata).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(o_orderdate,1995-04-01T00:00)" in plan
+    assert "LessThan(o_orderdate,2001-04-01T00:00)" in plan
+    assert "In(o_orderstatus, [F,O])" in plan and "In(l_linenumber, [1,2,3,4,5])" in plan
+    lines = next(s for s in re.findall(r"ReadSchema: struct<(.*)>", plan) if "l_" in s)
+    assert set(re.findall(r"(l_\w+):", lines)) == {
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
     }
 
