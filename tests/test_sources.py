@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 from rows import counts, members
 
+from fieldtally import __main__ as cli
 from fieldtally import fixed_values as fixed
 from fieldtally.operators import totals
-from fieldtally.plans import areas, charts, species, study
+from fieldtally.plans import areas, charts, ingest, species, study
 from fieldtally.sources import snapshots, warehouse
 
 DAY = dt.date(2025, 1, 23)
@@ -87,6 +88,34 @@ def test_membership_and_groups(spark, tmp_path):
     assert groups.count() == 2
 
 
+def test_ingest_and_publish_from_the_command_line(spark, tmp_path, monkeypatch):
+    warehouse_dir, out = tmp_path / "warehouse", tmp_path / "out"
+    _write_star(spark, warehouse_dir)
+    monkeypatch.setattr(cli, "build_session", lambda name: spark)
+    cli.main(["ingest", "--warehouse", str(warehouse_dir), "--out", str(out),
+              "--day", "2025-01-23"])
+    counted = spark.read.parquet(f"{out}/counts/snapshot=2025-01-23")
+    assert sorted((r.taxon, r.taxon_group, r.season_start) for r in counted.collect()) == [
+        ("duck", "Ducks", 1999),
+        ("goose", "Geese", 1999),
+    ]
+    assert ingest.rows_per_survey(counted).collect()[0].n_rows == 2
+    second = tmp_path / "second.csv"
+    second.write_text("location,species name,date,number,family\nP,duck,2014-01-05,12,x\n")
+    published = []
+    monkeypatch.setattr(charts, "write_charts", lambda c, base: published.append((set(c), base)))
+    cli.main([
+        "publish", "--counts", f"{out}/counts/snapshot=2025-01-23",
+        "--areas", f"{out}/areas/snapshot=2025-01-23",
+        "--clusters", f"{out}/clusters/snapshot=2025-01-23",
+        "--second", f"Sigma-Estuarien={second}", "--out", str(out), "--day", "2025-01-23",
+    ])
+    names, base = published[0]
+    assert "species_by_cluster" in names and base == f"{out}/charts"
+    folded = spark.read.parquet(f"{out}/folded_counts/snapshot=2025-01-23")
+    assert folded.agg(F.sum("individuals"), F.sum("n_rows")).collect()[0][:] == (13, 2)
+
+
 CSV = '''"","ProjectCode","Project","RegioCode","Regio","GebiedsCode","Gebied","Telseizoen",\
 "TellingCode","Telling","TellingSortOrder","Teldatum","Telvolledigheid","NedNaam","WetNaam",\
 "Aantal","Groepscode","Groep"
