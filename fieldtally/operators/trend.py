@@ -2,19 +2,23 @@
 
 A series is first reduced to one entry per distinct x: number of points, sum of y and squared
 deviations of y. These combine map-side, so a series with a third of all points shuffles no more
-than any other. The entries of one series (as many as there are seasons) then form one array, and
-the fit is a projection over that array: no point-by-grid rows, no self-join, no further shuffle.
+than any other. The entries of one series (as many as there are seasons) then form one row. Every
+entry meets the fixed number of grid places, and the sums per place need no further shuffle,
+because rows are still partitioned by series.
 
 The fit at x0 is linear in y. With tricube weights w inside the distance h of the q-th nearest
-point, dx = x - x0 and A_k = sum(w dx^k), a point at x has the weight
+point, dx = x - x0, A_k = sum(w dx^k), B_k = sum(w dx^k y) and C_k = sum(w^2 dx^k), a point at x
+has the weight
 
-    l(x) = w (k0 - k1 dx + k2 dx^2) / (A0 k0 - A1 k1 + A2 k2)
-    k0 = A2 A4 - A3^2,  k1 = A1 A4 - A2 A3,  k2 = A1 A3 - A2^2
+    l(x) = w (k0 - k1 dx + k2 dx^2) / det
+    k0 = A2 A4 - A3^2,  k1 = A1 A4 - A2 A3,  k2 = A1 A3 - A2^2,  det = A0 k0 - A1 k1 + A2 k2
 
-and the fitted value is sum(l y). For the band, L holds the weights at the points themselves and
-M = I - L; then d1 = tr(M M'), d2 = tr((M M')^2), s^2 = RSS / d1, se = s sqrt(sum(l^2)) and the
-degrees of freedom are d1^2 / d2. Points at the same x have the same weights, so all these sums
-run over distinct x with multiplicities.
+and the fitted value is sum(l y) = (B0 k0 - B1 k1 + B2 k2) / det; sum(l^2) follows from C_k alike.
+
+For the band, L holds the weights at the points themselves and M = I - L; then d1 = tr(M M'),
+d2 = tr((M M')^2), s^2 = RSS / d1, se = s sqrt(sum(l^2)) and the degrees of freedom are
+d1^2 / d2. Points at the same x have the same weights, so these sums run over distinct x with
+multiplicities, within the row of the series.
 
 Expressions over arrays are written as SQL text, one column per step, so that no step is worked
 out twice.
@@ -36,19 +40,28 @@ MIN_SUPPORT = 3
 # One element per distinct x, in ascending order: x, points c, sum of y sy, squared deviations ss.
 _ENTRIES = "sort_array(collect_list(struct(x, c, sy, ss)))"
 
-# Distance of the q-th nearest point to x0, points at the same x counted one by one.
-_REACH = """
-aggregate(
-  array_sort(transform(entries, e -> named_struct('d', abs(e.x - x0), 'c', e.c))),
-  named_struct('seen', 0D, 'h', 0D),
-  (a, e) -> named_struct('seen', a.seen + e.c, 'h', if(a.seen < q, e.d, a.h))
-).h"""
+# Shortest runs of entries that hold at least q points, by their first and last x. The q nearest
+# points of any place lie in one of them.
+_SPANS = """
+filter(
+  transform(entries, (e, i) -> named_struct('lo', e.x, 'hi',
+    try_element_at(filter(entries, (f, j) -> j >= i AND upto[j] - upto[i] + e.c >= q), 1).x)),
+  s -> s.hi IS NOT NULL)
+"""
+_UPTO = """
+transform(entries, (e, i) -> aggregate(slice(entries, 1, i + 1), 0D, (t, f) -> t + f.c))
+"""
 
+
+def _reach(place: str) -> str:
+    """Distance of the q-th nearest point, points at the same x counted one by one."""
+    return f"array_min(transform(spans, s -> greatest({place} - s.lo, s.hi - {place})))"
+
+
+# Weights of the entries at the entries themselves, for all places of one series.
 _KERNEL = """
 transform(entries, e -> if(abs(e.x - p.x0) < p.h, pow(1 - pow(abs(e.x - p.x0) / p.h, 3), 3), 0D))
 """
-
-# Moments A0..A4 of the kernel weights at one place.
 _MOMENTS = """
 aggregate(
   zip_with(entries, p.w, (e, w) -> named_struct('cw', e.c * w, 'dx', e.x - p.x0)),
@@ -60,14 +73,12 @@ aggregate(
     'a3', a.a3 + t.cw * t.dx * t.dx * t.dx,
     'a4', a.a4 + t.cw * t.dx * t.dx * t.dx * t.dx))
 """
-
 _COFACTORS = """
 named_struct(
   'k0', p.a.a2 * p.a.a4 - p.a.a3 * p.a.a3,
   'k1', p.a.a1 * p.a.a4 - p.a.a2 * p.a.a3,
   'k2', p.a.a1 * p.a.a3 - p.a.a2 * p.a.a2)
 """
-
 _FIT_WEIGHTS = f"""
 if(size(filter(p.w, w -> w > 0)) >= {MIN_SUPPORT},
    zip_with(entries, p.w, (e, w) ->
@@ -123,9 +134,11 @@ def _series_columns(by: Sequence[str]) -> list[Column]:
 
 
 def _series(df: DataFrame, by: Sequence[str], x: str, y: str, span: float) -> DataFrame:
-    """One row per series: its entries by ascending x, number of points, q, and range of x.
+    """One row per series: entries, number of points n, q, and the shortest spans of q points.
 
     The columns that name a series travel as the struct ``series``, so they may have any name.
+    Series are spread over all shuffle partitions: their rows are few but costly, and would
+    otherwise be merged into a handful of tasks for being small.
     """
     points = (
         df.select(
@@ -139,42 +152,83 @@ def _series(df: DataFrame, by: Sequence[str], x: str, y: str, span: float) -> Da
             F.expr("var_pop(y) * count(1) AS ss"),
         )
     )
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = (
+        points.repartition(tasks, "series")
+        .groupBy("series")
+        .agg(F.expr(_ENTRIES).alias("entries"))
+        .filter("size(entries) > 1")
+    )
     return _steps(
-        points.groupBy("series").agg(F.expr(_ENTRIES).alias("entries")),
+        gathered,
         {
             "n": _sum("transform(entries, e -> e.c)"),
             "q": f"floor(n * {span!r}D + 1e-5D)",
-            "x_min": "entries[0].x",
-            "x_max": "entries[size(entries) - 1].x",
+            "upto": _UPTO,
+            "spans": _SPANS,
         },
     )
 
 
-def _with_grid(df: DataFrame, points: int) -> DataFrame:
-    return df.withColumn(
-        "grid",
-        F.expr(
-            f"transform(sequence(0, {points - 1}), "
-            f"i -> x_min + i * ((x_max - x_min) / {points - 1}))"
+def _fits(series: DataFrame, points: int, carried: Sequence[str] = ()) -> DataFrame:
+    """Fitted value and sum of squared weights of each series at the places of its grid.
+
+    ``carried`` columns of the series stay with its places.
+    """
+    key = ["series", *carried]
+    last = points - 1
+    places = series.withColumns(
+        {"lo": F.expr("entries[0].x"), "hi": F.expr("entries[size(entries) - 1].x")}
+    ).selectExpr(
+        *key,
+        "entries",
+        "spans",
+        f"posexplode(transform(sequence(0, {last}), i -> lo + i * ((hi - lo) / {last}))) "
+        "AS (step, x0)",
+    )
+    met = _steps(
+        places.withColumn("h", F.expr(_reach("x0"))).selectExpr(
+            *key, "step", "x0", "h", "inline(entries)"
         ),
+        {
+            "dx": "x - x0",
+            "t": "abs(dx) / h",
+            "u": "1 - t * t * t",
+            "w": "if(abs(dx) < h, u * u * u, 0D)",
+            "dx2": "dx * dx",
+        },
+    )
+    sums = {
+        "a0": "c * w",
+        "a1": "c * w * dx",
+        "a2": "c * w * dx2",
+        "a3": "c * w * dx2 * dx",
+        "a4": "c * w * dx2 * dx2",
+        "b0": "w * sy",
+        "b1": "w * sy * dx",
+        "b2": "w * sy * dx2",
+        "c0": "c * w * w",
+        "c1": "c * w * w * dx",
+        "c2": "c * w * w * dx2",
+        "c3": "c * w * w * dx2 * dx",
+        "c4": "c * w * w * dx2 * dx2",
+    }
+    added = met.groupBy(*key, "step", "x0").agg(
+        F.expr("count_if(w > 0) AS support"),
+        *[F.expr(f"sum({term}) AS {name}") for name, term in sums.items()],
     )
-
-
-def _with_fit_weights(df: DataFrame, places: str, out: str) -> DataFrame:
-    """Add ``out``: per place in the array ``places``, the weights l of the entries (or null)."""
-    reach, kernel, moments, cofactors = (f"{out}_{part}" for part in ("h", "w", "a", "k"))
     return _steps(
-        df,
+        added,
         {
-            reach: f"transform({places}, x0 -> named_struct('x0', x0, 'h', {_REACH}))",
-            kernel: f"transform({reach}, p -> named_struct('x0', p.x0, 'w', {_KERNEL}))",
-            moments: f"transform({kernel}, p -> "
-            f"named_struct('x0', p.x0, 'w', p.w, 'a', {_MOMENTS}))",
-            cofactors: f"transform({moments}, p -> "
-            f"named_struct('x0', p.x0, 'w', p.w, 'a', p.a, 'k', {_COFACTORS}))",
-            out: f"transform({cofactors}, p -> {_FIT_WEIGHTS})",
+            "k0": "a2 * a4 - a3 * a3",
+            "k1": "a1 * a4 - a2 * a3",
+            "k2": "a1 * a3 - a2 * a2",
+            "det": f"if(support >= {MIN_SUPPORT}, a0 * k0 - a1 * k1 + a2 * k2, NULL)",
+            "fit": "(b0 * k0 - b1 * k1 + b2 * k2) / det",
+            "squares": "(k0 * k0 * c0 - 2 * k0 * k1 * c1 + (k1 * k1 + 2 * k0 * k2) * c2 "
+            "- 2 * k1 * k2 * c3 + k2 * k2 * c4) / (det * det)",
         },
-    ).drop(reach, kernel, moments, cofactors)
+    )
 
 
 def smoothed_trend(
@@ -189,38 +243,37 @@ def smoothed_trend(
 
     Null where fewer than three distinct x carry weight. Series with one distinct x are left out.
     """
-    fitted = _with_fit_weights(_with_grid(_series(df, by, x, y, span), points), "grid", "grid_l")
-    curve = f"zip_with(grid, grid_l, (x0, l) -> named_struct('x', x0, 'fit', {_fitted('l')}))"
-    return (
-        fitted.filter("size(entries) > 1")
-        .select("series", F.expr(f"posexplode({curve}) AS (step, point)"))
-        .select(*_series_columns(by), "step", "point.x", "point.fit")
+    return _fits(_series(df, by, x, y, span), points).select(
+        *_series_columns(by), "step", F.col("x0").alias("x"), "fit"
     )
 
 
-def _residual_scale(
-    df: DataFrame, by: Sequence[str], x: str, y: str, span: float
-) -> DataFrame:
+def _residual_scale(series: DataFrame) -> DataFrame:
     """Series with the weights ``hat`` at their own points and the scale of their residuals."""
-    series = _steps(
-        _series(df, by, x, y, span),
-        {
-            "nodes": "transform(entries, e -> e.x)",
-            "numbers": "sequence(0, size(entries) - 1)",
-        },
+    places = _reach("p.x")
+    # overlap is L + L' - LL', of which M M' = I - overlap: symmetric, so one half is enough.
+    product = "aggregate(zip_with(cl, other, (a, b) -> a * b), 0D, (t, v) -> t + v)"
+    pairs = _sum(
+        "transform(overlap[j], (v, k) -> if(k < j, 2, 1) * entries[j].c * entries[k].c * v * v)"
     )
-    # overlap is L + L' - LL': M M' = I - overlap.
-    product = _sum("zip_with(scaled[j], hat[k], (a, b) -> a * b)")
     return _steps(
-        _with_fit_weights(series, "nodes", "hat"),
+        series,
         {
+            "numbers": "sequence(0, size(entries) - 1)",
+            "reached": f"transform(entries, p -> named_struct('x0', p.x, 'h', {places}))",
+            "weighed": f"transform(reached, p -> named_struct('x0', p.x0, 'w', {_KERNEL}))",
+            "summed": f"transform(weighed, p -> "
+            f"named_struct('x0', p.x0, 'w', p.w, 'a', {_MOMENTS}))",
+            "solved": f"transform(summed, p -> "
+            f"named_struct('x0', p.x0, 'w', p.w, 'a', p.a, 'k', {_COFACTORS}))",
+            "hat": f"transform(solved, p -> {_FIT_WEIGHTS})",
             "scaled": "transform(hat, row -> zip_with(entries, row, (e, l) -> e.c * l))",
-            "overlap": f"""transform(numbers, j -> transform(numbers, k ->
-                hat[j][k] + hat[k][j] - {product}))""",
+            "overlap": f"""transform(scaled, (cl, j) -> transform(slice(hat, 1, j + 1),
+                (other, k) -> hat[j][k] + other[j] - {product}))""",
             "d1": f"n - 2 * {_over_entries('scaled[j][j]')} "
             f"+ {_over_entries('entries[j].c * ' + _squares('hat[j]'))}",
             "d2": f"n - 2 * {_over_entries('entries[j].c * overlap[j][j]')} "
-            f"+ {_over_entries('entries[j].c * ' + _squares('overlap[j]'))}",
+            f"+ {_over_entries(pairs)}",
             "misfit": f"transform(numbers, j -> entries[j].sy / entries[j].c "
             f"- {_fitted('hat[j]')})",
             "rss": _over_entries("entries[j].ss + entries[j].c * misfit[j] * misfit[j]"),
@@ -233,8 +286,8 @@ def _residual_scale(
 def residual_scale(
     df: DataFrame, by: Sequence[str], x: str, y: str, span: float = SMOOTH_SPAN
 ) -> DataFrame:
-    """Per series: ``n_points``, ``d1``, ``d2``, residual sum of squares, ``s`` and ``df``."""
-    return _residual_scale(df, by, x, y, span).select(
+    """Per series of two or more x: ``n_points``, ``d1``, ``d2``, ``rss``, ``s`` and ``df``."""
+    return _residual_scale(_series(df, by, x, y, span)).select(
         *_series_columns(by),
         F.col("n").cast("bigint").alias("n_points"),
         "d1",
@@ -254,24 +307,19 @@ def smoothed_band(
     points: int = SMOOTH_POINTS,
 ) -> DataFrame:
     """Fitted curve with standard error and 95% band; null band below three degrees of freedom."""
-    fitted = _with_fit_weights(
-        _with_grid(_residual_scale(df, by, x, y, span), points), "grid", "grid_l"
-    )
-    curve = (
-        "zip_with(grid, grid_l, (x0, l) -> named_struct("
-        f"'x', x0, 'fit', {_fitted('l')}, 'spread', sqrt({_squares('l')})))"
+    scaled = _residual_scale(_series(df, by, x, y, span)).withColumn(
+        "half", t_quantile_975("df") * F.col("s")
     )
     return (
-        fitted.filter("size(entries) > 1")
-        .withColumn("half", t_quantile_975("df") * F.col("s"))
-        .select("series", "s", "half", F.expr(f"posexplode({curve}) AS (step, point)"))
+        _fits(scaled, points, ("s", "half"))
+        .withColumn("spread", F.sqrt("squares"))
         .select(
             *_series_columns(by),
             "step",
-            "point.x",
-            "point.fit",
-            F.expr("s * point.spread AS se"),
-            F.expr("point.fit - half * point.spread AS lower"),
-            F.expr("point.fit + half * point.spread AS upper"),
+            F.col("x0").alias("x"),
+            "fit",
+            F.expr("s * spread AS se"),
+            F.expr("fit - half * spread AS lower"),
+            F.expr("fit + half * spread AS upper"),
         )
     )

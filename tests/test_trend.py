@@ -133,3 +133,19 @@ def test_hot_series_is_combined_before_the_shuffle(spark):
     plan = fitted._jdf.queryExecution().executedPlan().toString()
     assert "partial_var_pop" in plan and "Python" not in plan
     assert plan.count("Exchange hashpartitioning") == 2
+
+
+def test_series_without_a_name_keeps_its_band(spark):
+    rows = [(k, a, float(a % 5 + a)) for k in (None, "x") for a in range(20)]
+    df = spark.createDataFrame(rows, "k string, a int, y double")
+    found = trend.smoothed_band(df, ["k"], "a", "y")
+    assert found.filter("se IS NULL").count() == 0
+    assert {r.k: r["count"] for r in found.groupBy("k").count().collect()} == {None: 80, "x": 80}
+
+
+def test_series_are_spread_over_all_shuffle_partitions(spark):
+    """Small rows, long work: adaptive execution must not merge them into one task."""
+    df = spark.range(64 * 20).selectExpr("id % 64 AS s", "CAST(id DIV 64 AS int) AS x", "id AS y")
+    fitted = trend.smoothed_trend(df, ["s"], "x", "y")
+    tasks = fitted.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
