@@ -75,6 +75,10 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     # areas
     "valley_counts": _in_study(areas.valley_counts, m.STUDY),
     "valley_counts_as_of": _in_study(areas.valley_counts, m.STUDY, "sample_date"),
+    "area_right_join": lambda t: joins.in_areas(t.counts(), t.members(), how="right").select(
+        "location", "area_code", "season_start", "round", "taxon", "individuals"
+    ),
+    "folded_counts": lambda t: totals.fold_counts(t.counts()),
     "round_totals": lambda t: totals.round_totals(
         study.exclude_codes(study.period_counts(t.counts(m.STUDY), m.STUDY), m.STUDY), areas.CELL
     ),
@@ -144,6 +148,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
         ["series"],
         "season_start",
         "total",
+        tasks=trends.FEW_SERIES,
     ),
 }
 

@@ -485,6 +485,15 @@ FROM (SELECT location, count(*) AS n FROM members_all GROUP BY location)""",
             "WHERE v.valid_from <= v.sample_date "
             "AND (v.valid_to IS NULL OR v.sample_date <= v.valid_to)"
         ),
+        "area_right_join": _query(
+            "SELECT m.location, area_code, season_start, round, taxon, individuals "
+            "FROM counts c RIGHT JOIN members m ON c.location IS NOT DISTINCT FROM m.location"
+        ),
+        "folded_counts": _query(
+            "SELECT season_start, round, location, taxon, taxon_group, taxon_group_code, "
+            "CAST(sum(individuals) AS BIGINT) AS individuals, count(*) AS n_rows "
+            "FROM counts GROUP BY ALL"
+        ),
         "round_totals": _query(
             "SELECT season_start, round, CAST(sum(individuals) AS BIGINT) AS total "
             "FROM region_nw GROUP BY ALL",

@@ -133,12 +133,14 @@ def _series_columns(by: Sequence[str]) -> list[Column]:
     return [F.col("series").getField(c).alias(c) for c in by]
 
 
-def _series(df: DataFrame, by: Sequence[str], x: str, y: str, span: float) -> DataFrame:
+def _series(
+    df: DataFrame, by: Sequence[str], x: str, y: str, span: float, tasks: int | None
+) -> DataFrame:
     """One row per series: entries, number of points n, q, and the shortest spans of q points.
 
     The columns that name a series travel as the struct ``series``, so they may have any name.
-    Series are spread over all shuffle partitions: their rows are few but costly, and would
-    otherwise be merged into a handful of tasks for being small.
+    Series are spread over ``tasks``, by default all shuffle partitions: their rows are few but
+    costly, and would otherwise be merged into a handful of tasks for being small.
     """
     points = (
         df.select(
@@ -152,7 +154,8 @@ def _series(df: DataFrame, by: Sequence[str], x: str, y: str, span: float) -> Da
             F.expr("var_pop(y) * count(1) AS ss"),
         )
     )
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if tasks is None:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     gathered = (
         points.repartition(tasks, "series")
         .groupBy("series")
@@ -238,12 +241,13 @@ def smoothed_trend(
     y: str,
     span: float = SMOOTH_SPAN,
     points: int = SMOOTH_POINTS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Fitted curve per series on an even grid: ``step`` from 0, ``x``, ``fit``.
 
     Null where fewer than three distinct x carry weight. Series with one distinct x are left out.
     """
-    return _fits(_series(df, by, x, y, span), points).select(
+    return _fits(_series(df, by, x, y, span, tasks), points).select(
         *_series_columns(by), "step", F.col("x0").alias("x"), "fit"
     )
 
@@ -284,10 +288,15 @@ def _residual_scale(series: DataFrame) -> DataFrame:
 
 
 def residual_scale(
-    df: DataFrame, by: Sequence[str], x: str, y: str, span: float = SMOOTH_SPAN
+    df: DataFrame,
+    by: Sequence[str],
+    x: str,
+    y: str,
+    span: float = SMOOTH_SPAN,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Per series of two or more x: ``n_points``, ``d1``, ``d2``, ``rss``, ``s`` and ``df``."""
-    return _residual_scale(_series(df, by, x, y, span)).select(
+    return _residual_scale(_series(df, by, x, y, span, tasks)).select(
         *_series_columns(by),
         F.col("n").cast("bigint").alias("n_points"),
         "d1",
@@ -305,9 +314,10 @@ def smoothed_band(
     y: str,
     span: float = SMOOTH_SPAN,
     points: int = SMOOTH_POINTS,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Fitted curve with standard error and 95% band; null band below three degrees of freedom."""
-    scaled = _residual_scale(_series(df, by, x, y, span)).withColumn(
+    scaled = _residual_scale(_series(df, by, x, y, span, tasks)).withColumn(
         "half", t_quantile_975("df") * F.col("s")
     )
     return (

@@ -34,13 +34,16 @@ class Chart:
     pages: tuple[str, ...] = ()
     limits: tuple[float, float] | None = None
     smooth: bool = True
+    tasks: int = 8  # a chart has a few dozen series at most
 
     def curve(self) -> DataFrame:
         """Smoothed trend with its band; points outside the limits do not enter the fit."""
         points = self.points
         if self.limits is not None:
             points = trend.censor(points, self.y, *self.limits)
-        return trend.smoothed_band(points, self.by, "season_start", self.y)
+        return trend.smoothed_band(
+            points, self.by, "season_start", self.y, tasks=self.tasks
+        )
 
 
 def area_charts(

@@ -20,6 +20,15 @@ def connect(directory: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def executed_plan(df) -> str:
+    """The plan a frame was run with, after adaptive execution; runs it if need be."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "isFinalPlan=false" in plan:
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[0]
+
+
 def _plain(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None

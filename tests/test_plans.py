@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from compare import executed_plan
 from pyspark.sql import functions as F
 from rows import as_dict, counts, members
 
@@ -12,29 +13,8 @@ from fieldtally.operators import totals
 from fieldtally.plans import areas, species, study
 
 QUERIES = queries()
-#: Reads of the largest table: once, unless sources are compared or merged.
-READS = {"joined_round_totals": 3, "second_source": 2, "merge_sources": 2, "rank_side_by_side": 2,
-         "site_type_totals": 3, "reclassified_totals": 3}
-WITHOUT_COUNTS = {"taxon_groups", "area_membership", "cluster_membership", "area_classes"}
-
-
-def _executed(df):
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return plan.split("== Initial Plan ==")[0]
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - WITHOUT_COUNTS))
-def test_plan_shape(spark, testdata, name):
-    plan = _executed(QUERIES[name](spark, testdata))
-    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
-    assert sum("l_" in s for s in scans) == READS.get(name, 1)
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    assert "Python" not in plan and "ArrowEval" not in plan
-
-
 def test_valley_counts_need_no_outer_join(spark, testdata):
-    plan = _executed(QUERIES["valley_counts"](spark, testdata))
+    plan = executed_plan(QUERIES["valley_counts"](spark, testdata))
     assert "Outer" not in plan and "Exchange hashpartitioning" not in plan
 
 
@@ -51,7 +31,7 @@ def test_period_and_predicates_reach_the_scans(spark, testdata, capsys):
 
 
 def test_species_list_is_read_from_the_same_cells(spark, testdata):
-    plan = _executed(QUERIES["species_shares"](spark, testdata))
+    plan = executed_plan(QUERIES["species_shares"](spark, testdata))
     assert "ReusedExchange" in plan and "TakeOrderedAndProject" in plan
 
 
@@ -94,7 +74,7 @@ def _skewed(spark):
 def test_hot_location_is_split(spark, no_broadcast):
     df, m = _skewed(spark)
     found = areas.valley_counts(df, m, study.WITH_WADERS)
-    plan = _executed(found.select("location", "area_code", "individuals", "note"))
+    plan = executed_plan(found.select("location", "area_code", "individuals", "note"))
     assert "BroadcastHashJoin" not in plan
     assert "skew=true" in plan
 

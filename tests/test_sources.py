@@ -260,7 +260,9 @@ def test_plans_agree_on_folded_counts(spark):
 def test_publish_writes_every_chart(spark, tmp_path):
     full, m = _sample(spark), _areas(spark)
     clusters = members(spark, [("KBR", "est", "Polders van Kruibeke"), ("DU", "wet", "Durme")])
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # dozens of small jobs
     charts.publish(full, m, clusters, _second(spark), str(tmp_path), DAY)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
     wanted = charts.all_charts(full, m, clusters, _second(spark))
     written = {p.name for p in Path(tmp_path, "charts").iterdir()}
     assert written == {f"chart={n}" for n in wanted} | {
