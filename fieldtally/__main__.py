@@ -61,7 +61,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     args = _arguments(argv)
     spark = build_session(f"fieldtally-{args.job}")
     if args.job == "ingest":
-        ingest(read_tables(spark, args.warehouse, list(fixed.WAREHOUSE_COLUMNS)), args.out, args.day)
+        tables = read_tables(spark, args.warehouse, list(fixed.WAREHOUSE_COLUMNS))
+        ingest(tables, args.out, args.day)
     else:
         publish(
             _counts(spark, args.counts),

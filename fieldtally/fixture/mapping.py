@@ -130,12 +130,12 @@ class SurveyTables:
         )
 
     def _seasons(self) -> DataFrame:
-        return (
-            self._samples()
-            .select("season_key")
-            .distinct()
-            .withColumn("season", season_label("season_key"))
-        )
+        """One row per season of the samples.
+
+        Broadcast whatever the samples' size: a date has at most ten thousand years.
+        """
+        seasons = self._samples().select("season_key").distinct()
+        return F.broadcast(seasons.withColumn("season", season_label("season_key")))
 
     def taxa(self) -> DataFrame:
         return self.table("part").selectExpr(

@@ -19,10 +19,6 @@ def season_start(label: Column | str) -> Column:
     return F.substring(as_column(label), 1, 4).try_cast("int")
 
 
-def season_start_text(label: Column | str) -> Column:
-    return F.substring(as_column(label), 1, 4)
-
-
 def season_of_date(day: Column | str, rule: str = "calendar_year") -> Column:
     """Season number of a date.
 

@@ -62,12 +62,6 @@ def write_csv_snapshot(df: DataFrame, base: str, name: str, day: date) -> str:
     return path
 
 
-def write_parquet_snapshot(df: DataFrame, base: str, name: str, day: date) -> str:
-    path = f"{base}/{name}/snapshot={day.isoformat()}"
-    df.write.mode("overwrite").parquet(path)
-    return path
-
-
 def with_exported_names(df: DataFrame, header: Mapping[str, tuple[str, str]]) -> DataFrame:
     """Columns renamed back to the headers of the exported files."""
     return df.select(*[F.col(name).alias(source) for source, (name, _) in header.items()])

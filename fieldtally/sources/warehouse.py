@@ -59,6 +59,8 @@ def read_jdbc_table(
     """A warehouse table over JDBC; a large one is read in ``parts`` ranges of a numeric key."""
     if split_on is None:
         df = spark.read.jdbc(url, table, properties=dict(properties))
+    elif bounds is None:
+        raise ValueError("bounds of the key are needed to split a table")
     else:
         low, high = bounds
         df = spark.read.jdbc(

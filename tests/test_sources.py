@@ -116,6 +116,7 @@ def test_ingest_and_publish_from_the_command_line(spark, tmp_path, monkeypatch):
     assert folded.agg(F.sum("individuals"), F.sum("n_rows")).collect()[0][:] == (13, 2)
 
 
+# fmt: off
 CSV = '''"","ProjectCode","Project","RegioCode","Regio","GebiedsCode","Gebied","Telseizoen",\
 "TellingCode","Telling","TellingSortOrder","Teldatum","Telvolledigheid","NedNaam","WetNaam",\
 "Aantal","Groepscode","Groep"
@@ -257,13 +258,20 @@ def test_plans_agree_on_folded_counts(spark):
         assert _rows(plan(full, m, of)) == _rows(plan(folded, m, of))
 
 
-def test_publish_writes_every_chart(spark, tmp_path):
+def test_publish_writes_every_chart(spark, tmp_path, monkeypatch):
     full, m = _sample(spark), _areas(spark)
     clusters = members(spark, [("KBR", "est", "Polders van Kruibeke"), ("DU", "wet", "Durme")])
+
+    def plain(found):
+        """Without the charts that differ from others in their study only."""
+        return {n: c for n, c in found.items() if not n.endswith("_with_waders")}
+
+    write = charts.write_charts
+    monkeypatch.setattr(charts, "write_charts", lambda found, base: write(plain(found), base))
     spark.conf.set("spark.sql.shuffle.partitions", "2")  # dozens of small jobs
     charts.publish(full, m, clusters, _second(spark), str(tmp_path), DAY)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
-    wanted = charts.all_charts(full, m, clusters, _second(spark))
+    wanted = plain(charts.all_charts(full, m, clusters, _second(spark)))
     written = {p.name for p in Path(tmp_path, "charts").iterdir()}
     assert written == {f"chart={n}" for n in wanted} | {
         f"chart={n}_curve" for n, c in wanted.items() if c.smooth
