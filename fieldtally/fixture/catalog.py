@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,11 +157,21 @@ FITTED = ("smoothed_trend", "censored_trend", "class_trend", "species_trend", "s
           "residual_scale")
 
 
-def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
+#: Whole numbers that may be missing are compared as doubles: engines hand them on differently.
+MAYBE_MISSING = {
+    "max_site", "max_valley", "max_region", "site_total", "valley_total", "region_total",
+    "total_counts", "total_second", "cluster_order",
+}
+MAYBE_MISSING_IN = {"area_right_join": {"season_start", "individuals"}}
+
+
+def comparable(df: DataFrame, digits: int = 6, as_double: Collection[str] = ()) -> DataFrame:
     """Doubles rounded and dates as text, so that results compare across engines."""
     columns = []
     for name, kind in df.dtypes:
-        if kind == "double":
+        if name in as_double:
+            columns.append(F.col(name).cast("double").alias(name))
+        elif kind == "double":
             columns.append(F.round(name, digits).alias(name))
         elif kind == "date":
             columns.append(F.col(name).cast("string").alias(name))
@@ -172,9 +182,10 @@ def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def _registered(name: str, plan: Callable[[Tables], DataFrame]):
     digits = 4 if name in FITTED else 6
+    as_double = MAYBE_MISSING | MAYBE_MISSING_IN.get(name, set())
 
     def query(spark: SparkSession, directory: str) -> DataFrame:
-        return comparable(plan(Tables(spark, directory)), digits)
+        return comparable(plan(Tables(spark, directory)), digits, as_double)
 
     query.__name__ = name
     return query

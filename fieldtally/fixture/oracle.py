@@ -169,14 +169,14 @@ _WINTER = (
     + ", ".join(_mean(f"{a}_total", f"mean_{a}") for a in ("site", "valley", "region"))
     + ", "
     + ", ".join(
-        f"CAST({_strict('max', f'{a}_total')} AS BIGINT) AS max_{a}"
+        f"CAST({_strict('max', f'{a}_total')} AS DOUBLE) AS max_{a}"
         for a in ("site", "valley", "region")
     )
     + f", {_SHARE_MEANS} FROM cells GROUP BY season_start"
 )
 _ROUND_TOTALS = """
-SELECT season_start, round, CAST(site_total AS BIGINT) AS site_total,
-       CAST(valley_total AS BIGINT) AS valley_total, CAST(region_total AS BIGINT) AS region_total,
+SELECT season_start, round, CAST(site_total AS DOUBLE) AS site_total,
+       CAST(valley_total AS DOUBLE) AS valley_total, CAST(region_total AS DOUBLE) AS region_total,
        round(site_valley_share, 6) AS site_valley_share,
        round(site_region_share, 6) AS site_region_share,
        round(valley_region_share, 6) AS valley_region_share
@@ -486,7 +486,8 @@ FROM (SELECT location, count(*) AS n FROM members_all GROUP BY location)""",
             "AND (v.valid_to IS NULL OR v.sample_date <= v.valid_to)"
         ),
         "area_right_join": _query(
-            "SELECT m.location, area_code, season_start, round, taxon, individuals "
+            "SELECT m.location, area_code, CAST(season_start AS DOUBLE) AS season_start, round, "
+            "taxon, CAST(individuals AS DOUBLE) AS individuals "
             "FROM counts c RIGHT JOIN members m ON c.location IS NOT DISTINCT FROM m.location"
         ),
         "folded_counts": _query(
@@ -638,7 +639,8 @@ GROUP BY k.area_name"""
         ),
         "cluster_means": _query(
             f"""
-SELECT season_start, cluster, {_CLUSTER_ORDER} AS cluster_order, round(t / 6, 6) AS mean FROM (
+SELECT season_start, cluster, CAST({_CLUSTER_ORDER} AS DOUBLE) AS cluster_order,
+       round(t / 6, 6) AS mean FROM (
   SELECT season_start, {_CLUSTER_LEVEL} AS cluster, sum(individuals) AS t
   FROM valley_later v RIGHT JOIN clusters k ON v.location = k.location
   WHERE area_class = 'Sigmagebied' GROUP BY ALL)"""
@@ -665,7 +667,8 @@ FROM second GROUP BY ALL"""
         "rank_side_by_side": _query(
             """
 SELECT CAST(coalesce(a.position, b.position) AS INTEGER) AS position,
-       a.taxon AS taxon_counts, a.t AS total_counts, b.taxon AS taxon_second, b.t AS total_second
+       a.taxon AS taxon_counts, CAST(a.t AS DOUBLE) AS total_counts,
+       b.taxon AS taxon_second, CAST(b.t AS DOUBLE) AS total_second
 FROM top_counts a FULL JOIN top_second b ON a.position = b.position""",
             _ranked_cte(
                 "top_counts", "counts", "location = 'NATION_1' AND season_start > 1997"
