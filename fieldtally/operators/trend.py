@@ -82,8 +82,9 @@ named_struct(
 _FIT_WEIGHTS = f"""
 if(size(filter(p.w, w -> w > 0)) >= {MIN_SUPPORT},
    zip_with(entries, p.w, (e, w) ->
-     w * (p.k.k0 - p.k.k1 * (e.x - p.x0) + p.k.k2 * (e.x - p.x0) * (e.x - p.x0))
-     / (p.a.a0 * p.k.k0 - p.a.a1 * p.k.k1 + p.a.a2 * p.k.k2)),
+     try_divide(
+       w * (p.k.k0 - p.k.k1 * (e.x - p.x0) + p.k.k2 * (e.x - p.x0) * (e.x - p.x0)),
+       p.a.a0 * p.k.k0 - p.a.a1 * p.k.k1 + p.a.a2 * p.k.k2)),
    NULL)
 """
 
@@ -195,7 +196,7 @@ def _fits(series: DataFrame, points: int, carried: Sequence[str] = ()) -> DataFr
         ),
         {
             "dx": "x - x0",
-            "t": "abs(dx) / h",
+            "t": "try_divide(abs(dx), h)",
             "u": "1 - t * t * t",
             "w": "if(abs(dx) < h, u * u * u, 0D)",
             "dx2": "dx * dx",
@@ -227,9 +228,9 @@ def _fits(series: DataFrame, points: int, carried: Sequence[str] = ()) -> DataFr
             "k1": "a1 * a4 - a2 * a3",
             "k2": "a1 * a3 - a2 * a2",
             "det": f"if(support >= {MIN_SUPPORT}, a0 * k0 - a1 * k1 + a2 * k2, NULL)",
-            "fit": "(b0 * k0 - b1 * k1 + b2 * k2) / det",
-            "squares": "(k0 * k0 * c0 - 2 * k0 * k1 * c1 + (k1 * k1 + 2 * k0 * k2) * c2 "
-            "- 2 * k1 * k2 * c3 + k2 * k2 * c4) / (det * det)",
+            "fit": "try_divide(b0 * k0 - b1 * k1 + b2 * k2, det)",
+            "squares": "try_divide(k0 * k0 * c0 - 2 * k0 * k1 * c1 "
+            "+ (k1 * k1 + 2 * k0 * k2) * c2 - 2 * k1 * k2 * c3 + k2 * k2 * c4, det * det)",
         },
     )
 

@@ -149,3 +149,13 @@ def test_series_are_spread_over_all_shuffle_partitions(spark):
     fitted = trend.smoothed_trend(df, ["s"], "x", "y")
     tasks = fitted.select(F.spark_partition_id().alias("p")).distinct().count()
     assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_most_points_at_one_x(spark):
+    """The q nearest points all lie at x = 1: no distance, no weight, no fit there, no error."""
+    points = [(1, float(i)) for i in range(30)] + [(a, 1.0) for a in (0, 2, 3, 4)]
+    df = spark.createDataFrame([(float(a), b) for a, b in points], "x double, y double")
+    found = trend.smoothed_band(df, [], "x", "y", points=5).orderBy("step").collect()
+    assert [r.x for r in found] == [0, 1, 2, 3, 4]
+    assert found[1].fit is None and {r.se for r in found} == {None}
+    assert trend.residual_scale(df, [], "x", "y").collect()[0].d1 is None
