@@ -69,6 +69,21 @@ def test_null_safe_outer_joins_keep_one_key(spark, how):
     assert found == wanted
 
 
+def test_chained_left_join_keeps_the_seasons_of_the_first_series(spark):
+    first, second, third = (
+        spark.createDataFrame(rows, f"season int, {name} int")
+        for name, rows in (
+            ("a", [(1, 10), (2, 20), (None, 30)]),
+            ("b", [(2, 21), (3, 31)]),
+            ("c", [(1, 12), (None, 32)]),
+        )
+    )
+    found = joins.chained_join([first, second, third], ["season"], "left").collect()
+    assert {tuple(r) for r in found} == {
+        (1, 10, None, 12), (2, 20, 21, None), (None, 30, None, 32),
+    }
+
+
 def test_location_in_two_groups_counts_twice(spark):
     df = counts(spark, [(2000, "Maart", "a", 10)])
     m = members(spark, [("SEST", "a"), ("ZR", "a")])
