@@ -5,16 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bitpack, bpe, packing
+from fieldtally.llm import bitpack, bpe, language, packing, pii
 from fieldtally.llm.shared import folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+    def joined(spans: Column) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(
+        "doc_id",
+        *map(of, pii.BASE),
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, end_id=1)
     return pieces.select(
@@ -30,6 +48,18 @@ def op5_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # A document without id is in no fold and is learned from.
+    model = language.fit(docs.where(~F.coalesce(_held_out(), F.lit(False))))
+    held_out = F.coalesce(_held_out(), F.lit(False)).alias("held_out")
+    return language.identify(docs, model, keep=["doc_id"]).select("doc_id", held_out, "lang_pred", "score")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, keep=["doc_id"])
     return encoded.select(
@@ -41,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op5_binary_ids, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_pii, op3_packing, op5_binary_ids, op6_language, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
