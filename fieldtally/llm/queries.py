@@ -8,13 +8,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bitpack, bpe, language, packing, pii
+from fieldtally.llm import bitpack, bpe, language, oracle, packing, pii, quality, shards, vectors
 from fieldtally.llm.shared import folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: Bytes of text per shard.
+SHARD_BYTES = 16 << 20
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def _held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -33,6 +39,22 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from labels outside the held-out third; host: source; path: language within it."""
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(~_held_out())
+    judged = quality.judge(docs, labels, F.col("source"), F.col("lang"), keep=["doc_id"])
+    return judged.select(
+        "doc_id",
+        F.coalesce(_held_out(), F.lit(False)).alias("held_out"),
+        "evidence",
+        "host_rate",
+        "path_rate",
+        "p_quality",
+        (F.col("p_quality") >= 0.5).alias("kept"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, end_id=1)
     return pieces.select(
@@ -48,10 +70,6 @@ def op5_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-
-
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # A document without id is in no fold and is learned from.
@@ -60,6 +78,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep=["doc_id"]).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), RANKS, keep=["doc_id"])
     return encoded.select(
@@ -71,8 +97,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op3_packing, op5_binary_ids, op6_language, op10_byte_bpe)}
+    found = (
+        op1_pii, op2_quality, op3_packing, op5_binary_ids, op6_language, op8_neighbours, op9_sharding,
+        op10_byte_bpe,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
