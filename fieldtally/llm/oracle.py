@@ -42,4 +42,52 @@ SELECT doc_id, n_bytes, CASE WHEN depth = 0 THEN '' ELSE lpad(bin(prefix), depth
 FROM fitting WHERE nth = 1
 """
 
-SQL = {"op8_neighbours": NEIGHBOURS, "op9_sharding": SHARDING}
+LINES = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, source, text, coalesce(text, '') AS t FROM documents
+), split AS (
+    SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+           list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+    FROM docs
+), windows AS (
+    SELECT r, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c
+    FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM split)
+), repeated AS (
+    SELECT r, count(DISTINCT j) AS n
+    FROM (SELECT r, unnest([i, i + 1, i + 2]) AS j
+          FROM (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS times FROM windows)
+          WHERE times > 1)
+    GROUP BY r
+), counts AS (
+    SELECT r, doc_id, source, text, len(w)::BIGINT AS n_words,
+           length(array_to_string(w, ''))::BIGINT AS word_chars,
+           length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+           (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+           coalesce(n, 0)::BIGINT AS n_repeat_words
+    FROM docs JOIN split USING (r) LEFT JOIN repeated USING (r)
+), line AS (
+    SELECT r, doc_id, source, text, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) AS x,
+           len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n
+    FROM (SELECT r, doc_id, source, text, unnest(l) AS x FROM docs JOIN split USING (r))
+), hosts AS (
+    SELECT source, count(DISTINCT text) AS all_docs FROM docs GROUP BY source
+), above AS (
+    SELECT f.source, f.x, f.first
+    FROM (SELECT source, x, count(DISTINCT text) AS n, min(doc_id) AS first FROM line GROUP BY source, x) f
+    JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
+                AND f.n > 5 AND f.n > 0.02 * h.all_docs
+), removed AS (
+    SELECT r, sum(n)::BIGINT AS n_removed_words
+    FROM line l JOIN above a ON l.source IS NOT DISTINCT FROM a.source AND l.x = a.x
+    WHERE l.doc_id IS NULL OR l.doc_id IS DISTINCT FROM a.first
+    GROUP BY r
+), judged AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+    FROM (SELECT c.*, coalesce(n_removed_words, 0)::BIGINT AS n_removed_words
+          FROM counts c LEFT JOIN removed USING (r))
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_removed_words <= 0.7 * n_words AS kept, n_removed_words
+FROM judged
+"""
+SQL = {"op7_lines": LINES, "op8_neighbours": NEIGHBOURS, "op9_sharding": SHARDING}

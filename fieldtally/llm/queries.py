@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bitpack, bpe, language, oracle, packing, pii, quality, shards, vectors
+from fieldtally.llm import bitpack, bpe, language, lines, oracle, packing, pii, quality, shards, vectors
 from fieldtally.llm.shared import folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -78,6 +78,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep=["doc_id"]).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = lines.verdicts(table(spark, sf_dir, "documents"))
+    return judged.select(
+        F.col("_id").alias("doc_id"), *lines.COUNTS, "base_failed", "kept", "n_removed_words"
+    )
+
+
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -98,7 +105,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_pii, op2_quality, op3_packing, op5_binary_ids, op6_language, op8_neighbours, op9_sharding,
+        op1_pii, op2_quality, op3_packing, op5_binary_ids, op6_language, op7_lines, op8_neighbours, op9_sharding,
         op10_byte_bpe,
     )
     return {f.__name__: f for f in found}
