@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bitpack, bpe, language, lines, oracle, packing, pii, quality, shards, vectors
+from fieldtally.llm import bitpack, bpe, jaccard, language, lines, oracle, packing, pii, quality, shards, vectors
 from fieldtally.llm.shared import folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -62,6 +62,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("t")
+
+
 def op5_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark, "token-ids")
     bitpack.write(table(spark, sf_dir, "documents"), path, VOCABULARY, end_id=2)
@@ -105,7 +109,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_pii, op2_quality, op3_packing, op5_binary_ids, op6_language, op7_lines, op8_neighbours, op9_sharding,
+        op1_pii, op2_quality, op3_packing, op4_jaccard, op5_binary_ids, op6_language, op7_lines, op8_neighbours, op9_sharding,
         op10_byte_bpe,
     )
     return {f.__name__: f for f in found}
