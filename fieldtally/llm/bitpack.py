@@ -160,9 +160,8 @@ def write(
             )
 
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in chunks(texts, segment_ids):
-                ids, n, _, _ = encode(texts[a:b])
+            for a, b, texts in chunks(batch.column(2)):
+                ids, n, _, _ = encode(texts)
                 ids, bounds = vocabulary.with_end(ids, n, end_id)
                 names.append(batch.column(0).slice(a, b - a))
                 counts.append(n + 1)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.llm.pretokenise import boundaries, class_table
-from fieldtally.llm.shared import chunks, code_points, lists, mixed, ship
+from fieldtally.llm.shared import chunks, code_points, lists, mixed, ship, with_text
 
 #: Distinct slices whose ids a worker remembers; beyond, those not used for longest are forgotten.
 CACHE = 1 << 20
@@ -317,27 +317,25 @@ def encode(
     each slice of the pre-tokenisation starts. No shuffle; each task reads its rows once.
     """
     ship(docs.sparkSession)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in (ids, offsets)]
-    frame = docs.select(F.col(text).alias("_text"), *kept)
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (ids, offsets)]
+    frame, fields = with_text(docs, text, kept)
     schema = T.StructType(
         [
-            *(T.StructField(f.name, f.dataType) for f in frame.schema.fields[1:]),
+            *fields,
             T.StructField(ids, T.ArrayType(T.IntegerType(), False)),
             T.StructField(offsets, T.ArrayType(T.IntegerType(), False)),
         ]
     )
-    names = [*kept, ids, offsets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rank_encoder(ranks_path)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in chunks(texts):
-                found, n_ids, firsts, n_slices = encoder(texts[a:b])
+            for a, b, texts in chunks(batch.column(0)):
+                found, n_ids, firsts, n_slices = encoder(texts)
                 columns = [batch.column(i + 1).slice(a, b - a) for i in range(len(kept))]
                 columns.append(lists(found.astype(np.int32), n_ids, pa.int32()))
                 columns.append(lists(firsts.astype(np.int32), n_slices, pa.int32()))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return frame.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ of 0.8 or more.
 3. Classes that share a band meet in tiles of bounded size: a large bucket is cut into blocks and
    every two blocks meet. In a tile, the values of two signatures are compared a few at a time. The
    matches so far give a posterior of the similarity (uniform prior); a pair is dropped as soon as
-   the posterior probability of reaching the threshold falls below the tolerance (1e-6). A tile
+   the posterior probability of reaching the threshold falls below the tolerance (1e-9). A tile
    emits a spanning forest of the pairs that pass, never the pairs.
 4. The forests' components hold all pairs that are left. Their classes meet once more in tiles of
    bounded size, are pruned in the same way, and the rest is verified exactly on whole shingle sets.
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.components import components
-from fieldtally.llm.shared import chunks, code_points, mixed, ship, written
+from fieldtally.llm.shared import chunks, code_points, fresh, mixed, named, ship, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -46,7 +46,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Values compared at a time.
 STEP = 16
-TOLERANCE = 1e-6
+TOLERANCE = 1e-9
 #: Classes per block of a bucket, and of a component under verification.
 BLOCK = 1024
 VERIFIED = 512
@@ -207,9 +207,8 @@ def _prepared(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in chunks(texts):
-                made, counts = shingles_of(texts[a:b])
+            for a, b, texts in chunks(batch.column(2)):
+                made, counts = shingles_of(texts)
                 full = counts > 0
                 node = np.zeros(b - a, dtype=np.int64)
                 size = np.zeros(b - a, dtype=np.int32)
@@ -371,9 +370,9 @@ def _sets(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, wanted = batch.column(6).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                made, counts = shingles_of(texts[a:b])
+            wanted = batch.column(1).to_pylist()
+            for a, b, texts in chunks(batch.column(6)):
+                made, counts = shingles_of(texts)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 own = [np.unique(made[bounds[i] : bounds[i + 1]]) for i in range(b - a)]
                 # A repeated doc_id may come with another text of the same hash; that is not the class.
@@ -401,11 +400,12 @@ def join(
     block: int = BLOCK,
     verified: int = VERIFIED,
 ) -> DataFrame:
-    """One row per document: doc_id, class_id, copy_id, n_links, n_texts, t.
+    """One row per document: doc_id, class_id, copy_id, n_links, n_texts, t, stays.
 
     class_id: smallest doc_id of all documents it is linked to, over any number of links, its own
     included. copy_id: smallest doc_id with the same shingle set. n_links: other documents linked
-    to it, copies included. n_texts: other sets linked to it. t: a hash of the text.
+    to it, copies included. n_texts: other sets linked to it. t: a hash of the text. stays: whether
+    it is the first of its class, by doc_id, then by t (null, if it has no words).
     """
     spark = docs.sparkSession
     ship(spark)
@@ -455,26 +455,47 @@ def join(
         .agg(F.sum("classes").alias("n_texts"), F.sum("docs").alias("linked"))
     )
     labels = components(links.where("a <> b").select("a", "b"))
-    named = (
-        classes.select("node", "docs", F.col("first.doc_id").alias("copy_id"))
+    totalled = (
+        classes.select("node", "docs", "first", F.col("first.doc_id").alias("copy_id"))
         .join(labels, "node", "left")
         .join(totals, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
     )
-    least = named.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(least, "label").select(
+    least = totalled.groupBy("label").agg(F.min("first").alias("least"))
+    totalled = totalled.join(least, "label").select(
         "node",
-        "class_id",
+        F.col("least.doc_id").alias("class_id"),
+        F.col("least.t").alias("class_t"),
         "copy_id",
         (F.coalesce("linked", F.lit(0)) + F.col("docs") - 1).alias("n_links"),
         F.coalesce("n_texts", F.lit(0)).alias("n_texts"),
     )
     none = F.col("node").isNull()
-    return known.select("doc_id", "t", "node").join(named, "node", "left").select(
+    return known.select("doc_id", "t", "node").join(totalled, "node", "left").select(
         F.col("doc_id").alias(id_col),
         F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(none, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"),
         "t",
+        (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("t") == F.col("class_t"))).alias("stays"),
     )
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits) -> DataFrame:
+    """The first document of each class, with the same columns; documents without words all stay.
+
+    One of several rows with the same doc_id and text stays.
+    """
+    id_name, hash_name = fresh("id", docs.columns), fresh("t", docs.columns)
+    own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63))
+    keyed = docs.withColumn(id_name, own_id).withColumn(hash_name, F.xxhash64(text))
+    blank = F.length(F.translate(F.coalesce(F.col(text), F.lit("")), " \t\n\x0b\f\r", "")) == 0
+    first = (
+        join(docs, id_col, text, **limits)
+        .where("stays")
+        .select(own_id.alias(id_name), F.col("t").alias(hash_name))
+        .distinct()
+    )
+    kept = keyed.where(~blank).join(first, [id_name, hash_name]).dropDuplicates([id_name, hash_name])
+    return kept.select(*named(docs.columns)).union(keyed.where(blank).select(*named(docs.columns)))

@@ -25,11 +25,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtally.llm.shared import chunks, code_points, mixed, ship
+from fieldtally.llm.shared import chunks, code_points, mixed, ship, with_text
 
 UNKNOWN = "und"
 #: Code points per n-gram; words are read with a blank on either side.
@@ -143,11 +144,10 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, texts = np.array(batch.column(0).to_pylist(), dtype=object), batch.column(1).to_pylist()
-            for name in dict.fromkeys(names.tolist()):
-                own = [texts[i] for i in np.flatnonzero(names == name)]
-                for a, b in chunks(own):
-                    codes, n = np.unique(grams_of(own[a:b])[0], return_counts=True)
+            for name in pc.unique(batch.column(0)).to_pylist():
+                own = batch.column(1).filter(pc.equal(batch.column(0), name))
+                for _, _, texts in chunks(own):
+                    codes, n = np.unique(grams_of(texts)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([name] * len(codes), pa.string()),
@@ -204,11 +204,11 @@ def identify(
     """The columns in `keep` (all, if not given) with the language and its score. No shuffle."""
     spark = docs.sparkSession
     ship(spark)
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in (lang_out, score_out)]
-    frame = docs.select(F.col(text).alias("_text"), *kept)
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (lang_out, score_out)]
+    frame, fields = with_text(docs, text, kept)
     schema = T.StructType(
         [
-            *(T.StructField(f.name, f.dataType) for f in frame.schema.fields[1:]),
+            *fields,
             T.StructField(lang_out, T.StringType()),
             T.StructField(score_out, T.DoubleType()),
         ]
@@ -219,9 +219,8 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*sent.value)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in chunks(texts):
-                names, score = known.predict(texts[a:b])
+            for a, b, texts in chunks(batch.column(0)):
+                names, score = known.predict(texts)
                 columns = [batch.column(i + 1).slice(a, b - a) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(names, pa.string()), pa.array(score)], names=schema.names

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.shared import written
+from fieldtally.llm.shared import fresh, named, written
 
 LEAST_WORDS = 50
 LEAST_DOCS = 5
@@ -112,13 +112,6 @@ def _line_hashes(text: Column) -> Column:
     )
 
 
-def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition &= a[name].eqNullSafe(b[name])
-    return condition
-
-
 KEY = ["_id", "_host", "_t1", "_t2"]
 
 
@@ -179,15 +172,17 @@ def verdicts(
 def cleaned(docs: DataFrame, id_col: str = "doc_id", host: str = "source", text: str = "text", **limits) -> DataFrame:
     """The documents that are kept, with the same columns, their frequent lines removed."""
     judged = verdicts(docs, id_col, host, text, **limits)
-    kept = judged.where("kept").dropDuplicates(KEY).select(*(F.col(k).alias(f"g{k}") for k in KEY), "removed")
+    names = {k: fresh(k, docs.columns) for k in (*KEY, "removed")}
+    kept = judged.where("kept").dropDuplicates(KEY).select(*(F.col(k).alias(n) for k, n in names.items()))
     own = {"_id": F.col(id_col), "_host": F.col(host), "_t1": F.xxhash64(text), "_t2": F.crc32(F.col(text))}
     condition = F.lit(True)
     for k, value in own.items():
-        condition &= value.eqNullSafe(F.col(f"g{k}"))
-    joined = docs.join(kept, condition)
+        condition &= value.eqNullSafe(F.col(names[k]))
+    gone = F.col(names["removed"])
 
     def stays(line: Column) -> Column:
-        return ~_has_word(line) | ~F.array_contains("removed", F.xxhash64(_normalised(line)))
+        return ~_has_word(line) | ~F.array_contains(gone, F.xxhash64(_normalised(line)))
 
     left = F.concat_ws("\n", F.filter(F.split(text, "\n"), stays))
-    return joined.withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(left)).select(docs.columns)
+    joined = docs.join(kept, condition).withColumn(text, F.when(gone.isNull(), F.col(text)).otherwise(left))
+    return joined.select(*named(docs.columns))

@@ -151,9 +151,9 @@ def pack(
         id_kind = None
         for batch in batches:
             id_kind = batch.column(0).type
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                ids, n, _, _ = encode(texts[a:b])
+            names = batch.column(0).to_pylist()
+            for a, b, texts in chunks(batch.column(1)):
+                ids, n, _, _ = encode(texts)
                 ids, bounds = vocabulary.with_end(ids, n, end_id)
                 made: list[tuple] = []
                 for i in range(b - a):

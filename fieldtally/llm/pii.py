@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtally.llm.shared import chunks, ship
+from fieldtally.llm.shared import chunks, named, ship, with_text
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "login", "iban", "key", "secret")
@@ -281,15 +281,14 @@ def _mapped(
 ) -> DataFrame:
     """The columns in `keep`, and one made of the text, task by task and without a shuffle."""
     ship(docs.sparkSession)
-    frame = docs.select(F.col(text).alias("_text"), *keep)
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in frame.schema.fields[1:]), out])
+    frame, fields = with_text(docs, text, keep)
+    schema = T.StructType([*fields, out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in chunks(texts):
+            for a, b, texts in chunks(batch.column(0)):
                 columns = [batch.column(i + 1).slice(a, b - a) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, convert(texts[a:b])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*columns, convert(texts)], names=schema.names)
 
     return frame.mapInArrow(run, schema)
 
@@ -304,7 +303,7 @@ def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, out
         rows = [[(k, a, b, t[a:b]) for a, b, k in spans_of(t)] for t in texts]
         return pa.array([[dict(zip(("kind", "start", "end", "value"), s)) for s in r] for r in rows], kind)
 
-    kept = [c for c in (docs.columns if keep is None else keep) if c != out]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != out]
     return _mapped(docs, text, kept, T.StructField(out, SPANS), convert)
 
 
@@ -315,4 +314,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         docs, text, others, T.StructField(text, T.StringType()),
         lambda texts: pa.array([redacted(t) for t in texts], pa.string()),
     )
-    return made.select(docs.columns)
+    return made.select(*named(docs.columns))

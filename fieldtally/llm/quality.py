@@ -27,6 +27,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldtally.llm.shared import named
+
 #: Labelled documents that the classifier is fitted on, at most (nearly): a sample by hash.
 FIT_ROWS = 20_000
 SYMBOLS = "#*$%&|<>"
@@ -90,11 +92,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return Classifier((w[:-1] / scale).tolist(), float(w[-1] - (w[:-1] * mean / scale).sum()))
 
 
-def measured(docs: DataFrame, host: Column, path: Column, text: str, keep: list[str]) -> DataFrame:
+def measured(
+    docs: DataFrame, host: Column, path: Column, text: str, keep: list[str], key: Column
+) -> DataFrame:
+    """Columns of this module begin with an underscore; those in `keep` must not."""
     return docs.select(
-        *keep,
+        *named(keep),
         host.alias("_host"),
         path.alias("_path"),
+        key.alias("_id"),
         *(c.alias(f"_{name}") for name, c in measures(F.col(text)).items()),
     )
 
@@ -186,6 +192,6 @@ def judge(
         .groupBy(F.col(id_col).alias("_id"))
         .agg(F.round(F.avg(label)).cast("int").alias("_label"))
     )
-    rows = measured(docs.withColumn("_id", F.col(id_col)), host, path, text, [*keep, "_id"])
+    rows = measured(docs, host, path, text, keep, F.col(id_col))
     rows = rows.join(known, "_id", "left").drop("_id")
     return combine(rows, fit(rows, fit_rows=fit_rows))

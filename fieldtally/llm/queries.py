@@ -63,7 +63,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents")).drop("t")
+    return jaccard.join(table(spark, sf_dir, "documents")).drop("t", "stays")
 
 
 def op5_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

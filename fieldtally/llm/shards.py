@@ -134,6 +134,6 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """The documents as one Parquet folder per shard; keys must be distinct and not null."""
-    shards = assigned.select(key, F.when(F.col("shard") == "", "all").otherwise(F.col("shard")).alias("shard"))
+    """The documents as one Parquet folder per shard, `b` and its bits; keys must be distinct and not null."""
+    shards = assigned.select(key, F.concat(F.lit("b"), "shard").alias("shard"))
     docs.drop("shard").join(shards, key).repartition("shard").write.partitionBy("shard").parquet(path)

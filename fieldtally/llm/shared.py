@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
-#: Code points worked on at a time inside a task; one longer text is still taken whole.
-CHUNK = 1 << 20
+#: Bytes of text worked on at a time inside a task; one longer text is still taken whole.
+CHUNK = 1 << 19
 
 
 def ship(spark: SparkSession) -> None:
@@ -30,6 +33,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """The name, or one like it, that none of the columns has (names differ by more than case)."""
+    lowered = {t.lower() for t in taken}
+    while name.lower() in lowered:
+        name += "_"
+    return name
+
+
+def named(columns: Iterable[str]) -> list[Column]:
+    """The columns, whatever signs are in their names."""
+    return [F.col(f"`{c}`") for c in columns]
+
+
+def with_text(docs: DataFrame, text: str, kept: list[str]) -> tuple[DataFrame, list[T.StructField]]:
+    """(the text, then the kept columns, under plain names; the fields of the kept columns)."""
+    columns = [c.alias(f"c{i}") for i, c in enumerate(named([text, *kept]))]
+    return docs.select(*columns), [docs.select(*named(kept)).schema[i] for i in range(len(kept))]
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new place in the folder that all executors share (`spark.checkpoint.dir`).
 
@@ -49,17 +71,20 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def chunks(texts: list[str | None], size: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive runs of texts of about `size` code points, one text at least."""
+def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(start, end, texts) of consecutive runs of about `size` bytes, one text at least.
+
+    Only the run at hand is turned into Python strings.
+    """
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).tolist()
     start = total = 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
+    for i, n in enumerate(sizes):
         if total and total + n > size:
-            yield start, i
+            yield start, i, column.slice(start, i - start).to_pylist()
             start, total = i, 0
         total += n + 1
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes), column.slice(start).to_pylist()
 
 
 def code_points(text: str) -> np.ndarray:
