@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fieldtally.fixture import mapping as m
 from fieldtally.operators import checks, joins, merging, totals
 from fieldtally.operators.trend import residual_scale
-from fieldtally.plans import areas, clusters, merged, species, study, trends
+from fieldtally.plans import areas, charts, clusters, merged, species, study, trends
 from fieldtally.sources.warehouse import taxon_groups
 
 Tables = m.SurveyTables
@@ -43,6 +43,21 @@ def _site_types(reclassify: str | None = None):
     )
 
 
+def _species_curve(name: str):
+    def curve(t: Tables) -> DataFrame:
+        of = m.SPECIES_CURVES
+        found = charts.species_charts(t.counts(of), t.members(), t.clusters(), of, m.CHOICE)
+        return found[name].curve()
+
+    return curve
+
+
+def _area_curve(name: str):
+    return lambda t: charts.area_charts(
+        t.counts(m.CURVES), t.members(), m.CURVES, m.CURVE_LIMITS
+    )[name].curve()
+
+
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     # sources
     "star_counts": lambda t: t.star_counts(),
@@ -57,6 +72,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
         study.exclude_groups(t.counts(), m.STUDY), m.STUDY
     ),
     "period_counts": lambda t: study.period_counts(t.counts(m.STUDY), m.STUDY),
+    "period_counts_from_label": lambda t: study.period_counts(t.counts_from_label(), m.STUDY),
     "unknown_groups": lambda t: checks.unknown_groups(t.counts(), "STANDARD"),
     "rows_per_survey": lambda t: totals.row_counts(t.counts_with_survey(), ["survey"]),
     "row_count_checks": lambda t: study.row_count_checks(
@@ -122,11 +138,14 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "cluster_row_counts": lambda t: clusters.cluster_row_counts(
         t.counts(m.WITH_WADERS), t.members(), t.clusters(), m.WITH_WADERS
     ),
+    "cluster_counts_renamed": lambda t: clusters.cluster_counts_renamed(
+        t.counts(m.WITH_WADERS), t.members(), t.clusters(), m.WITH_WADERS
+    ),
     "cluster_means": lambda t: clusters.cluster_means(
         t.counts(m.WITH_WADERS), t.members(), t.clusters(), m.WITH_WADERS
     ),
     # second source
-    "second_source": lambda t: t.second_files(),
+    "second_source": lambda t: t.second(),
     "second_source_winter_rule": lambda t: totals.round_totals(
         t.second("winter_start"), ["area_name", "season_start", "round"]
     ),
@@ -135,6 +154,18 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "rank_side_by_side": lambda t: merged.source_ranking(
         t.counts(), t.second(), m.REPLACED, m.REPLACED_AFTER, m.UNRANKED
     ),
+    "rows_per_area_name": lambda t: merged.rows_per_area_name(
+        t.counts(), t.members(), t.second(), m.REPLACED, m.REPLACED_AFTER, "Sigma-Estuarien"
+    ),
+    "replaced_location_rows": lambda t: merged.replaced_rows(t.counts(), m.REPLACED),
+    "replaced_location_areas": lambda t: merged.areas_of(t.members(), m.REPLACED),
+    "listings": lambda t: checks.listings(
+        {
+            "survey": (t.counts_with_survey(), "survey"),
+            "group": (t.taxa(), "taxon_group"),
+            "family": (t.second_raw(), "taxon_group"),
+        }
+    ),
     "site_type_totals": _site_types(),
     "reclassified_totals": _site_types("Sigma-Estuarien"),
     # trends
@@ -148,13 +179,28 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
         ["series"],
         "season_start",
         "total",
-        tasks=trends.FEW_SERIES,
     ),
+    # curves of the charts: one point per season
+    "winter_mean_trend": _area_curve("site_and_valley_means"),
+    "share_mean_trend": _area_curve("site_share_of_valley"),
+    "class_mean_trend": _area_curve("class_means"),
+    "moving_mean_trend": lambda t: charts.target_charts(
+        t.counts(m.CURVES), t.members(), m.CURVES, m.CURVE_LIMITS["moving_means"]
+    )["moving_means_and_target"].curve(),
+    "species_mean_trend": _species_curve("species_mean_site"),
+    "species_share_trend": _species_curve("species_site_valley_share"),
+    "species_class_trend": _species_curve("species_by_class"),
+    "site_type_trend": lambda t: charts.site_type_charts(
+        t.counts(m.SPECIES_CURVES), t.members(), t.second(), m.SPECIES_CURVES,
+        m.REPLACED, m.REPLACED_AFTER, m.CURVE_LIMITS["site_types"],
+    )["site_types"].curve(),
 }
 
 #: Fitted values carry rounding noise from sums in another order; they are compared to 4 digits.
 FITTED = ("smoothed_trend", "censored_trend", "class_trend", "species_trend", "smoothed_band",
-          "residual_scale")
+          "residual_scale", "winter_mean_trend", "share_mean_trend", "class_mean_trend",
+          "moving_mean_trend", "species_mean_trend", "species_share_trend", "species_class_trend",
+          "site_type_trend")
 
 
 #: Whole numbers that may be missing are compared as doubles: engines hand them on differently.

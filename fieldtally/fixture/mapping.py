@@ -33,7 +33,7 @@ CLUSTER_NAMES = {
     "DU": "Durme",
     "KM": "Kalkense Meersen",
     "KBR": "Polders Kruibeke",
-    "NG": "Noordelijk Gebied",
+    "NG": "Haven bij Kruibeke",
     "OV": "Overige",
     "WZ": "Elders",
 }
@@ -42,6 +42,10 @@ AREA_NAMES = {"SEST": "Sigma-Estuarien", "WETL": "Sigma-Wetland"}
 STUDY = Study(1994, 2001, excluded_groups=("PROMO",), excluded_codes=("SMALL",))
 WITH_WADERS = Study(1996, 2001, excluded_groups=("PROMO",))
 PER_SPECIES = Study(1994, 2001, excluded_groups=("PROMO",))
+#: All seasons of the tables: with one point per season a curve needs each of them.
+CURVES = Study(1993, 2001, excluded_groups=("PROMO",), excluded_codes=("SMALL",))
+SPECIES_CURVES = Study(1993, 2001, excluded_groups=("PROMO",))
+CURVE_LIMITS = {"site_share_of_valley": (0, 0.5), "moving_means": (0, 2000), "site_types": (0, 1500)}
 
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -130,12 +134,9 @@ class SurveyTables:
         )
 
     def _seasons(self) -> DataFrame:
-        """One row per season of the samples.
-
-        Broadcast whatever the samples' size: a date has at most ten thousand years.
-        """
-        seasons = self._samples().select("season_key").distinct()
-        return F.broadcast(seasons.withColumn("season", season_label("season_key")))
+        """The season dimension: a row per season of four hundred years, as a calendar has them."""
+        seasons = self.spark.range(1800, 2200).selectExpr("CAST(id AS int) AS season_key")
+        return seasons.withColumn("season", season_label("season_key"))
 
     def taxa(self) -> DataFrame:
         return self.table("part").selectExpr(
@@ -207,6 +208,11 @@ class SurveyTables:
             extra=((self._surveys(), "survey_key"),), columns=(*COLUMNS, "survey")
         )
 
+    def counts_from_label(self) -> DataFrame:
+        """Counts whose season is known by its label only; some labels do not start with a year."""
+        lost = F.when(F.col("round") == "Maart", F.concat(F.lit("winter "), "season"))
+        return self.counts().withColumn("season", F.coalesce(lost, "season")).drop("season_start")
+
     def counts_without_group(self) -> DataFrame:
         return self.counts().drop("taxon_group_code", "taxon_group")
 
@@ -276,18 +282,12 @@ class SurveyTables:
             "if(p_type = 'PROMO', 'PROMO family', p_type) AS taxon_group",
         )
 
-    def second_files(self) -> DataFrame:
-        """The second source as two files, each wrangled with its area, then stacked."""
-        north = wrangle_second_source(
-            self._second_rows(("R",)), "Sigma-Estuarien", fixed.ROUNDS, SECOND_GROUPS
-        )
-        south = wrangle_second_source(
-            self._second_rows(("A",)), "Sigma-Wetland", fixed.ROUNDS, SECOND_GROUPS
-        )
-        return north.unionByName(south)
+    def second_raw(self) -> DataFrame:
+        """The second source with the names of its own."""
+        return self._second_rows(("R", "A"))
 
     def second(self, rule: str = "calendar_year") -> DataFrame:
-        """The same rows read once, the area worked out from the location."""
+        """The second source read once, the area worked out from the location."""
         return wrangle_second_source(
             self._second_rows(("R", "A")),
             relabel("location", {"NORTH": "Sigma-Estuarien", "SOUTH": "Sigma-Wetland"}),

@@ -72,7 +72,7 @@ classed AS (
 cluster_names(i, area_code, area_name) AS (
   VALUES (0, 'BW', 'Burchtse Weel'), (1, 'DM', 'Dijlemonding'), (2, 'DU', 'Durme'),
          (3, 'KM', 'Kalkense Meersen'), (4, 'KBR', 'Polders Kruibeke'),
-         (5, 'NG', 'Noordelijk Gebied'), (6, 'OV', 'Overige'), (7, 'WZ', 'Elders')
+         (5, 'NG', 'Haven bij Kruibeke'), (6, 'OV', 'Overige'), (7, 'WZ', 'Elders')
 ),
 clusters AS (
   SELECT area_code, area_name, 'A' AS area_type_code, 'area' AS area_type,
@@ -378,39 +378,153 @@ species_points AS (
   SELECT taxon, season_start, round, sum(individuals) AS total FROM valley GROUP BY ALL
 )"""
 
-# Residual scale: L at the points themselves, M = I - L.
-_SCALE = [
-    "nodes AS (SELECT series, pts.i AS p, pts.x AS x0, q FROM pts JOIN size USING (series))",
-    _weights("nl", "nodes", "series"),
-    """
+
+def _scale(by: str) -> list[str]:
+    """Residual scale: L at the points themselves, M = I - L."""
+    return [
+        f"nodes AS (SELECT {by}, pts.i AS p, pts.x AS x0, q FROM pts JOIN size USING ({by}))",
+        _weights("nl", "nodes", by),
+        f"""
 mm AS (
-  SELECT series, p, i, y, CASE WHEN p = i THEN 1 ELSE 0 END - l AS m FROM nl
+  SELECT {by}, p, i, y, CASE WHEN p = i THEN 1 ELSE 0 END - l AS m FROM nl
+),
+first_moment AS (
+  SELECT {by}, CASE WHEN count(m) = count(*) THEN sum(m * m) END AS d1 FROM mm GROUP BY {by}
 ),
-first_moment AS (SELECT series, sum(m * m) AS d1 FROM mm GROUP BY series),
 residuals AS (
-  SELECT series, sum(r * r) AS rss FROM (
-    SELECT series, p, sum(m * y) AS r FROM mm GROUP BY ALL) GROUP BY series
+  SELECT {by}, sum(r * r) AS rss FROM (
+    SELECT {by}, p, sum(m * y) AS r FROM mm GROUP BY ALL) GROUP BY {by}
 ),
 second_moment AS (
-  SELECT series, sum(v * v) AS d2 FROM (
-    SELECT a.series, a.p AS pa, b.p AS pb, sum(a.m * b.m) AS v
-    FROM mm a JOIN mm b ON a.series = b.series AND a.i = b.i GROUP BY ALL) GROUP BY series
+  SELECT {by}, sum(v * v) AS d2 FROM (
+    SELECT {by}, a.p AS pa, b.p AS pb, sum(a.m * b.m) AS v
+    FROM mm a JOIN mm b USING ({by}, i) GROUP BY ALL) GROUP BY {by}
 ),
 scale AS (
-  SELECT series, n, d1, d2, rss, sqrt(rss / d1) AS s, d1 * d1 / d2 AS df
-  FROM size JOIN first_moment USING (series) JOIN second_moment USING (series)
-  JOIN residuals USING (series)
+  SELECT {by}, n, d1, d2, rss, CASE WHEN d1 > 1e-9 * n THEN sqrt(rss / d1) END AS s,
+         CASE WHEN d1 > 1e-9 * n THEN d1 * d1 / d2 END AS df
+  FROM size JOIN first_moment USING ({by}) JOIN second_moment USING ({by})
+  JOIN residuals USING ({by})
 )""",
-]
-_QUANTILE = """
+    ]
+
+
+def _quantile(by: str) -> str:
+    """t as the angle at which the integral of cos^(df - 1) reaches 95% of that to a right angle.
+
+    Midpoint sums, with the end correction of their error.
+    """
+    return f"""
+angles AS (
+  SELECT {by}, s, df, k, step, pow(cos((k - 0.5) * step), df - 1) AS f,
+         0.475 * sqrt(pi()) * exp(lgamma(df / 2) - lgamma((df + 1) / 2)) AS wanted
+  FROM scale, (SELECT unnest(range(1, 40001)) AS k, pi() / 80000 AS step) WHERE df IS NOT NULL
+),
+upto AS (
+  SELECT *, step * sum(f) OVER (PARTITION BY {by} ORDER BY k) AS reached FROM angles
+),
 quantiles AS (
-  SELECT series, s, CASE WHEN df >= 3 THEN
-    z + (pow(z, 3) + z) / (4 * df)
-      + (5 * pow(z, 5) + 16 * pow(z, 3) + 3 * z) / (96 * df * df)
-      + (3 * pow(z, 7) + 19 * pow(z, 5) + 17 * pow(z, 3) - 15 * z) / (384 * pow(df, 3))
-      + (79 * pow(z, 9) + 776 * pow(z, 7) + 1482 * pow(z, 5) - 1920 * pow(z, 3) - 945 * z)
-        / (92160 * pow(df, 4)) END AS t
-  FROM scale, (SELECT 1.959964::DOUBLE AS z)
+  SELECT {by}, s, t FROM scale LEFT JOIN (
+    SELECT {by}, sqrt(df) * tan(e - over / pow(cos(e - over / f / 2), df - 1)) AS t
+    FROM (SELECT *, step * k AS e, reached - wanted
+                 - step * step / 24 * (df - 1) * pow(cos(step * k), df - 2) * sin(step * k) AS over
+          FROM upto WHERE reached >= wanted AND reached - step * f < wanted)) USING ({by})
+)"""
+
+
+def _band(source: str, by: str, *ctes: str) -> str:
+    return _query(
+        f"""
+SELECT {by}, CAST(p AS INTEGER) AS step, round(x0, 4) AS x, round(f, 4) AS fit,
+       round(s * sqrt(sq), 4) AS se, round(f - t * s * sqrt(sq), 4) AS lower,
+       round(f + t * s * sqrt(sq), 4) AS upper
+FROM (SELECT {by}, p, x0, CASE WHEN count(l) = count(*) THEN sum(l * y) END AS f,
+             CASE WHEN count(l) = count(*) THEN sum(l * l) END AS sq
+      FROM gl GROUP BY {by}, p, x0)
+JOIN quantiles USING ({by})""",
+        *ctes,
+        *_trend_ctes(source, by),
+        *_scale(by),
+        _quantile(by),
+    )
+
+
+# All seasons of the tables, for curves with one point per season.
+_ALL = [
+    "all_period AS (SELECT * FROM counts WHERE taxon_group <> 'PROMO')",
+    """
+all_valley AS (
+  SELECT p.*, c.area_class
+  FROM all_period p JOIN classed c ON p.location IS NOT DISTINCT FROM c.location
+)""",
+]
+_ALL_NW = [
+    *_ALL,
+    "all_period_nw AS (SELECT * FROM all_period WHERE taxon_group_code <> 'SMALL')",
+    "all_valley_nw AS (SELECT * FROM all_valley WHERE taxon_group_code <> 'SMALL')",
+]
+_ALL_CELLS = [*_ALL_NW, _cells("all_period_nw", "all_valley_nw")]
+_MEAN_POINTS = f"""
+mean_points AS (
+  SELECT 'mean_site' AS series, season_start, {_strict('avg', 'site_total')} AS total
+  FROM cells GROUP BY season_start
+  UNION ALL
+  SELECT 'mean_valley', season_start, {_strict('avg', 'valley_total')}
+  FROM cells GROUP BY season_start
+)"""
+_SHARE_POINTS = f"""
+share_points AS (
+  SELECT series, season_start, CASE WHEN share BETWEEN 0 AND 0.5 THEN share END AS total
+  FROM (SELECT 'mean_site_valley_share' AS series, season_start,
+               {_strict('avg', 'site_valley_share')} AS share
+        FROM cells GROUP BY season_start)
+)"""
+_CLASS_POINTS = """
+class_points AS (
+  SELECT area_class, season_start, avg(t) AS total FROM (
+    SELECT area_class, season_start, round, sum(individuals) AS t
+    FROM all_valley_nw GROUP BY ALL) GROUP BY ALL
+)"""
+_MOVING_POINTS = """
+moving_points AS (
+  SELECT area_class, season_start,
+         CASE WHEN moving_mean BETWEEN 0 AND 2000 THEN moving_mean END AS total
+  FROM moving
+)"""
+
+
+def _all_species(column: str) -> list[str]:
+    """Points per species and season: of the sites, as a mean or as their share of the valley."""
+    return [
+        *_ALL,
+        _SPECIES.replace("SELECT taxon, 1994", "SELECT taxon, 1993")
+        .replace("FROM valley GROUP", "FROM all_valley GROUP")
+        .replace("FROM period p", "FROM all_period p")
+        .replace("FROM valley p", "FROM all_valley p"),
+        f"""
+species_season AS (
+  SELECT taxon, season_start, {column} AS total
+  FROM (SELECT taxon, season_start, sum(individuals) AS t FROM listed_valley
+        WHERE area_class = 'Sigmagebied' GROUP BY ALL) s
+  LEFT JOIN (SELECT taxon, season_start, sum(individuals) AS t FROM listed_valley GROUP BY ALL) v
+  USING (taxon, season_start)
+)""",
+        """
+species_class AS (
+  SELECT taxon, area_class, season_start, sum(individuals) / 6 AS total
+  FROM listed_valley GROUP BY ALL
+)""",
+    ]
+
+
+_SITE_POINTS = """
+site_points AS (
+  SELECT site_type, season_start, CASE WHEN mean BETWEEN 0 AND 1500 THEN mean END AS total FROM (
+    SELECT m.season_start, a.area_name AS site_type, sum(m.individuals) / 6 AS mean
+    FROM merged m JOIN members_all a ON m.location IS NOT DISTINCT FROM a.location
+    WHERE taxon_group <> 'PROMO' AND season_start > 1993 AND season_start < 2001
+      AND a.area_name IN ('Sigma-Estuarien', 'Sigma-Wetland')
+    GROUP BY ALL)
 )"""
 
 
@@ -441,6 +555,9 @@ def oracle_sql() -> dict[str, str]:
             "WHERE taxon_group <> 'PROMO' AND taxon_group_code <> 'SMALL'"
         ),
         "period_counts": _query(f"SELECT {_COUNT} FROM period"),
+        "period_counts_from_label": _query(
+            f"SELECT {_COUNT} FROM period WHERE round <> 'Maart'"
+        ),
         "unknown_groups": _query(f"SELECT {_COUNT} FROM counts WHERE taxon_group = 'STANDARD'"),
         "rows_per_survey": _query(
             "SELECT survey, count(*) AS n_rows FROM counts GROUP BY survey"
@@ -636,6 +753,13 @@ SELECT k.area_name AS cluster, count(*) AS n_rows,
        CASE WHEN contains(k.area_name, 'Kruibeke') THEN 'KBR' ELSE k.area_name END AS short_name
 FROM valley_later v RIGHT JOIN clusters k ON v.location = k.location
 GROUP BY k.area_name"""
+        ),
+        "cluster_counts_renamed": _query(
+            """
+SELECT CASE WHEN contains(k.area_name, 'Kruibeke') THEN 'KBR' ELSE k.area_name END AS cluster,
+       count(*) AS n_rows
+FROM valley_later v RIGHT JOIN clusters k ON v.location = k.location
+GROUP BY ALL"""
         ),
         "cluster_means": _query(
             f"""
@@ -675,6 +799,31 @@ FROM top_counts a FULL JOIN top_second b ON a.position = b.position""",
             ),
             _ranked_cte("top_second", "second", "taxon <> 'blue anvil'"),
         ),
+        "rows_per_area_name": _query(
+            """
+SELECT area_name, CAST(sum(b) AS BIGINT) AS n_before, CAST(sum(a) AS BIGINT) AS n_after FROM (
+  SELECT area_name, 1 AS b, 0 AS a FROM joined
+  UNION ALL
+  SELECT CASE WHEN location = 'NATION_1' THEN 'Sigma-Estuarien' ELSE area_name END, 0, 1 FROM joined)
+GROUP BY area_name""",
+            _MERGED,
+            "joined AS (SELECT m.location, a.area_name FROM merged m JOIN members_all a "
+            "ON m.location IS NOT DISTINCT FROM a.location)",
+        ),
+        "replaced_location_rows": _query(
+            "SELECT season_start, count(*) AS n_rows FROM counts WHERE location = 'NATION_1' "
+            "GROUP BY season_start"
+        ),
+        "replaced_location_areas": _query(
+            "SELECT DISTINCT area_name FROM members WHERE location = 'NATION_1'"
+        ),
+        "listings": _query(
+            """
+SELECT DISTINCT 'survey' AS listing, survey AS value FROM counts
+UNION ALL SELECT DISTINCT 'group', p_type FROM part
+UNION ALL SELECT DISTINCT 'family',
+  CASE WHEN taxon_group = 'PROMO' THEN 'PROMO family' ELSE taxon_group END FROM second"""
+        ),
         "site_type_totals": _site_types("a.area_name"),
         "reclassified_totals": _site_types(
             "CASE WHEN m.location = 'NATION_1' THEN 'Sigma-Estuarien' ELSE a.area_name END"
@@ -683,23 +832,29 @@ FROM top_counts a FULL JOIN top_second b ON a.position = b.position""",
         "censored_trend": _trend("censored", "series", *_CELLS, _CENSORED),
         "class_trend": _trend("class_cells", "area_class", *_NO_WADERS, _CLASS_CELLS),
         "species_trend": _trend("species_points", "taxon", _SPECIES_POINTS),
-        "smoothed_band": _query(
-            """
-SELECT series, CAST(p AS INTEGER) AS step, round(x0, 4) AS x, round(f, 4) AS fit,
-       round(s * sqrt(sq), 4) AS se, round(f - t * s * sqrt(sq), 4) AS lower,
-       round(f + t * s * sqrt(sq), 4) AS upper
-FROM (SELECT series, p, x0, sum(l * y) AS f, sum(l * l) AS sq FROM gl GROUP BY ALL)
-JOIN quantiles USING (series)""",
-            *trend_points,
-            *_trend_ctes("series_points", "series"),
-            *_SCALE,
-            _QUANTILE,
-        ),
+        "smoothed_band": _band("series_points", "series", *trend_points),
         "residual_scale": _query(
             "SELECT series, n AS n_points, round(d1, 4) AS d1, round(d2, 4) AS d2, "
             "round(rss, 4) AS rss, round(s, 4) AS s, round(df, 4) AS df FROM scale",
             *trend_points,
             _points("series_points", "series"),
-            *_SCALE,
+            *_scale("series"),
+        ),
+        "winter_mean_trend": _band("mean_points", "series", *_ALL_CELLS, _MEAN_POINTS),
+        "share_mean_trend": _band("share_points", "series", *_ALL_CELLS, _SHARE_POINTS),
+        "class_mean_trend": _band("class_points", "area_class", *_ALL_NW, _CLASS_POINTS),
+        "moving_mean_trend": _band(
+            "moving_points",
+            "area_class",
+            *_ALL_NW,
+            _OVERLAP_CELLS.replace("valley_nw", "all_valley_nw"),
+            _MOVING,
+            _MOVING_POINTS,
+        ),
+        "species_mean_trend": _band("species_season", "taxon", *_all_species("s.t / 6")),
+        "species_share_trend": _band(
+            "species_season", "taxon", *_all_species("(s.t / 6) / (v.t / 6)")
         ),
+        "species_class_trend": _band("species_class", "taxon, area_class", *_all_species("s.t")),
+        "site_type_trend": _band("site_points", "site_type", _MERGED, _SITE_POINTS),
     }

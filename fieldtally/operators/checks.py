@@ -82,3 +82,12 @@ def assert_schema(df: DataFrame, expected: T.StructType) -> DataFrame:
         extra = [c for c in found if c not in wanted]
         raise ValueError(f"schema differs: missing {missing}, unexpected {extra}, or order")
     return df
+
+
+def listings(columns: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
+    """Distinct values of named columns, such as surveys, groups and families: ``listing``, ``value``."""
+    parts = [
+        df.select(F.lit(name).alias("listing"), F.col(column).alias("value")).distinct()
+        for name, (df, column) in columns.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -36,9 +36,14 @@ from fieldtally.functions.student import t_quantile_975
 
 #: Distinct x with positive weight that a quadratic needs.
 MIN_SUPPORT = 3
+#: A fit whose residuals have less freedom than this per point runs through its points: what is
+#: left of d1 is rounding, and the residuals tell nothing about their scale.
+SATURATED = 1e-9
 
 # One element per distinct x, in ascending order: x, points c, sum of y sy, squared deviations ss.
-_ENTRIES = "sort_array(collect_list(struct(x, c, sy, ss)))"
+# Points without x go here and not by a filter on the points: that would slip below the totals that
+# a plan shares between a ranking and its series, and their scan would run twice.
+_ENTRIES = "sort_array(filter(collect_list(struct(x, c, sy, ss)), e -> e.x IS NOT NULL))"
 
 # Shortest runs of entries that hold at least q points, by their first and last x. The q nearest
 # points of any place lie in one of them.
@@ -147,7 +152,7 @@ def _series(
         df.select(
             _series_key(by), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
         )
-        .filter("x IS NOT NULL AND y IS NOT NULL")
+        .filter("y IS NOT NULL")
         .groupBy("series", "x")
         .agg(
             F.expr("cast(count(1) AS double) AS c"),
@@ -246,6 +251,7 @@ def smoothed_trend(
 ) -> DataFrame:
     """Fitted curve per series on an even grid: ``step`` from 0, ``x``, ``fit``.
 
+    ``x`` has few distinct values, such as seasons: those of a series form one row.
     Null where fewer than three distinct x carry weight. Series with one distinct x are left out.
     """
     return _fits(_series(df, by, x, y, span, tasks), points).select(
@@ -282,8 +288,9 @@ def _residual_scale(series: DataFrame) -> DataFrame:
             "misfit": f"transform(numbers, j -> entries[j].sy / entries[j].c "
             f"- {_fitted('hat[j]')})",
             "rss": _over_entries("entries[j].ss + entries[j].c * misfit[j] * misfit[j]"),
-            "s": "if(d1 > 0, sqrt(rss / d1), NULL)",
-            "df": "try_divide(d1 * d1, d2)",
+            "free": f"d1 > n * {SATURATED!r}D",
+            "s": "if(free, sqrt(rss / d1), NULL)",
+            "df": "if(free, d1 * d1 / d2, NULL)",
         },
     )
 
@@ -296,7 +303,11 @@ def residual_scale(
     span: float = SMOOTH_SPAN,
     tasks: int | None = None,
 ) -> DataFrame:
-    """Per series of two or more x: ``n_points``, ``d1``, ``d2``, ``rss``, ``s`` and ``df``."""
+    """Per series of two or more x: ``n_points``, ``d1``, ``d2``, ``rss``, ``s`` and ``df``.
+
+    ``x`` has few distinct values, such as seasons, as in `smoothed_band`. A fit that runs through
+    all points leaves ``s`` and ``df`` empty.
+    """
     return _residual_scale(_series(df, by, x, y, span, tasks)).select(
         *_series_columns(by),
         F.col("n").cast("bigint").alias("n_points"),
@@ -317,7 +328,11 @@ def smoothed_band(
     points: int = SMOOTH_POINTS,
     tasks: int | None = None,
 ) -> DataFrame:
-    """Fitted curve with standard error and 95% band; null band below three degrees of freedom."""
+    """Fitted curve with standard error and 95% band; both null where a fit runs through its points.
+
+    ``x`` has few distinct values, such as seasons: those of a series meet in one row, each with
+    each. Points may be any number.
+    """
     scaled = _residual_scale(_series(df, by, x, y, span, tasks)).withColumn(
         "half", t_quantile_975("df") * F.col("s")
     )

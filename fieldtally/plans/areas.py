@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally import fixed_values as fixed
+from fieldtally.functions.missing import strict_sum_where
 from fieldtally.operators import shaping, totals, trend
-from fieldtally.operators.joins import chained_join, in_areas
+from fieldtally.operators.joins import chained_join, in_areas, null_safe_join
 from fieldtally.plans.study import Study, exclude_codes, period_counts, with_class
 
 CELL = ("season_start", "round")
@@ -50,18 +51,32 @@ def area_round_totals(counts: DataFrame, membership: DataFrame, study: Study) ->
 
 
 def joined_round_totals(counts: DataFrame, membership: DataFrame, study: Study) -> DataFrame:
-    """The same table from three separate totals and two full joins."""
-    region = exclude_codes(period_counts(counts, study), study)
-    valley = in_areas(region, with_class(membership, study))
-    site = valley.filter(F.col("area_class") == study.site_class)
-    joined = chained_join(
-        [
-            totals.round_totals(df, CELL, f"{name}_total")
-            for name, df in (("site", site), ("valley", valley), ("region", region))
-        ],
-        CELL,
-        "full",
+    """The same table from three separate totals and two full joins.
+
+    All three add up one table of cells per kind of location: how often it is a site, and how
+    often in the valley. Conditional sums, not filters on those keys, keep it one scan.
+    """
+    kept = exclude_codes(period_counts(counts, study), study)
+    weights = totals.area_weights(with_class(membership, study), _areas(study))
+    cells = (
+        null_safe_join(kept, weights, ["location"], "left")
+        .groupBy(*CELL, "site_copies", "valley_copies")
+        .agg(totals.strict_sum(totals.VALUE).alias(totals.VALUE))
     )
+
+    def total_of(area: str) -> DataFrame:
+        copies = F.lit(1) if area == "region" else F.coalesce(f"{area}_copies", F.lit(0))
+        return (
+            cells.groupBy(*CELL)
+            .agg(
+                strict_sum_where(copies > 0, F.col(totals.VALUE) * copies).alias(f"{area}_total"),
+                F.count_if(copies > 0).alias("n_cells"),
+            )
+            .filter(F.col("n_cells") > 0)
+            .drop("n_cells")
+        )
+
+    joined = chained_join([total_of(a) for a in ("site", "valley", "region")], CELL, "full")
     return totals.with_shares(joined, SHARES)
 
 
@@ -70,7 +85,11 @@ def winter_means(counts: DataFrame, membership: DataFrame, study: Study) -> Data
 
     A round missing in an area leaves that area's mean, maximum and share empty.
     """
-    cells = area_round_totals(counts, membership, study)
+    return winter_means_of(area_round_totals(counts, membership, study))
+
+
+def winter_means_of(cells: DataFrame) -> DataFrame:
+    """Winter means from round totals and their shares."""
     means = {**MEANS, **{f"mean_{share}": share for share in SHARES}}
     return totals.means_over_rounds(cells, ["season_start"], means, MAXIMA)
 

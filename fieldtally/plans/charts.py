@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, replace
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -22,6 +22,12 @@ from fieldtally.plans.study import (
 from fieldtally.sources.snapshots import write_chart_data, write_counts
 
 Limits = Mapping[str, tuple[float, float]]
+#: Writes a table that several charts are worked out from, and gives it as read back.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def _as_it_is(df: DataFrame, name: str) -> DataFrame:
+    return df
 
 
 @dataclass(frozen=True)
@@ -34,23 +40,25 @@ class Chart:
     pages: tuple[str, ...] = ()
     limits: tuple[float, float] | None = None
     smooth: bool = True
-    tasks: int = 8  # a chart has a few dozen series at most
 
     def curve(self) -> DataFrame:
         """Smoothed trend with its band; points outside the limits do not enter the fit."""
         points = self.points
         if self.limits is not None:
             points = trend.censor(points, self.y, *self.limits)
-        return trend.smoothed_band(
-            points, self.by, "season_start", self.y, tasks=self.tasks
-        )
+        return trend.smoothed_band(points, self.by, "season_start", self.y)
 
 
 def area_charts(
-    counts: DataFrame, membership: DataFrame, study: Study, limits: Limits
+    counts: DataFrame,
+    membership: DataFrame,
+    study: Study,
+    limits: Limits,
+    keep: Keep = _as_it_is,
 ) -> dict[str, Chart]:
     """Winter means and shares of the nested areas, and means per class."""
-    winter = areas.winter_means(counts, membership, study)
+    cells = keep(areas.area_round_totals(counts, membership, study), "round_totals")
+    winter = areas.winter_means_of(cells)
     columns = {
         "site_means": ("mean_site",),
         "valley_means": ("mean_valley",),
@@ -72,7 +80,7 @@ def area_charts(
         for name, series in columns.items()
     }
     charts["site_round_totals"] = Chart(
-        areas.area_round_totals(counts, membership, study).select(*areas.CELL, "site_total"),
+        cells.select(*areas.CELL, "site_total"),
         "site_total",
     )
     charts["class_means"] = Chart(
@@ -92,25 +100,30 @@ def counted_area_charts(counts, membership, study) -> dict[str, Chart]:
     }
 
 
-def target_charts(counts, membership, study) -> dict[str, Chart]:
+def target_charts(
+    counts, membership, study, limits: tuple[float, float] = fixed.LIMITS_MOVING_MEANS
+) -> dict[str, Chart]:
     return {
         "moving_means_and_target": Chart(
             areas.target_gap(counts, membership, study),
             "moving_mean",
             ("area_class",),
-            limits=fixed.LIMITS_MOVING_MEANS,
+            limits=limits,
         )
     }
 
 
-def composition_charts(counts, membership, cluster_table, study) -> dict[str, Chart]:
+def composition_charts(
+    counts, membership, cluster_table, study, keep: Keep = _as_it_is
+) -> dict[str, Chart]:
     per_cluster = clusters.cluster_means(counts, membership, cluster_table, study)
+    cells = keep(species.area_cells(counts, membership, study, "inner"), "species_cells")
     return {
         "site_composition": Chart(
-            species.stacked_composition(counts, membership, study), "mean", smooth=False
+            species.stacked_composition_of(cells, study), "mean", smooth=False
         ),
         "valley_composition": Chart(
-            species.stacked_composition(counts, membership, study, area="valley"),
+            species.stacked_composition_of(cells, study, area="valley"),
             "mean",
             smooth=False,
         ),
@@ -123,10 +136,15 @@ def composition_charts(counts, membership, cluster_table, study) -> dict[str, Ch
 
 
 def species_charts(
-    counts, membership, cluster_table, study, choice: species.SpeciesChoice
+    counts,
+    membership,
+    cluster_table,
+    study,
+    choice: species.SpeciesChoice,
+    keep: Keep = _as_it_is,
 ) -> dict[str, Chart]:
     """Means and shares per species, in one table per chart with a folder per species."""
-    shares = species.species_shares(counts, membership, study, choice)
+    shares = keep(species.species_shares(counts, membership, study, choice), "species_shares")
     charts = {
         f"species_{column}": Chart(
             shares.select(*species.SPECIES_SEASON, column), column, ("taxon",), ("taxon",)
@@ -153,15 +171,23 @@ def species_charts(
     return charts
 
 
-def site_type_charts(counts, membership, second, study) -> dict[str, Chart]:
+def site_type_charts(
+    counts,
+    membership,
+    second,
+    study,
+    location: str = fixed.REPLACED_LOCATION,
+    after_season: int = fixed.REPLACED_AFTER,
+    limits: tuple[float, float] = fixed.LIMITS_SITE_TYPES,
+) -> dict[str, Chart]:
     return {
         name: Chart(
             merged.site_type_totals(
-                counts, membership, second, study, reclassify=reclassify
+                counts, membership, second, study, location, after_season, reclassify=reclassify
             ),
             "mean",
             ("site_type",),
-            limits=fixed.LIMITS_SITE_TYPES,
+            limits=limits,
         )
         for name, reclassify in (
             ("site_types", None),
@@ -171,30 +197,47 @@ def site_type_charts(counts, membership, second, study) -> dict[str, Chart]:
 
 
 def all_charts(
-    counts: DataFrame, membership: DataFrame, cluster_table: DataFrame, second: DataFrame
+    counts: DataFrame,
+    membership: DataFrame,
+    cluster_table: DataFrame,
+    second: DataFrame,
+    keep: Keep = _as_it_is,
 ) -> dict[str, Chart]:
     """Every chart under its own name, for the preset studies."""
-    without = area_charts(counts, membership, WITHOUT_WADERS, fixed.LIMITS_WITHOUT_WADERS)
-    with_them = area_charts(counts, membership, WITH_WADERS, fixed.LIMITS_WITH_WADERS)
+
+    def kept(suffix: str) -> Keep:
+        return lambda df, name: keep(df, f"{name}_{suffix}")
+
+    without = area_charts(
+        counts, membership, WITHOUT_WADERS, fixed.LIMITS_WITHOUT_WADERS, kept("without_waders")
+    )
+    with_them = area_charts(
+        counts, membership, WITH_WADERS, fixed.LIMITS_WITH_WADERS, kept("with_waders")
+    )
     return {
         **{f"{name}_without_waders": chart for name, chart in without.items()},
         **{f"{name}_with_waders": chart for name, chart in with_them.items()},
         **counted_area_charts(counts, membership, WITHOUT_WADERS),
         **target_charts(counts, membership, WITHOUT_WADERS),
-        **composition_charts(counts, membership, cluster_table, WITH_WADERS),
+        **composition_charts(counts, membership, cluster_table, WITH_WADERS, keep),
         **species_charts(
-            counts, membership, cluster_table, PER_SPECIES, species.SpeciesChoice()
+            counts, membership, cluster_table, PER_SPECIES, species.SpeciesChoice(), keep
         ),
         **site_type_charts(counts, membership, second, WITH_WADERS),
     }
 
 
-def write_charts(charts: Mapping[str, Chart], base: str) -> None:
-    """Points of every chart, and the curve of the smoothed ones, as ``<name>_curve``."""
+def write_charts(charts: Mapping[str, Chart], base: str, day: date) -> None:
+    """Points of every chart, and the curve of the smoothed ones, as ``<name>_curve``.
+
+    A curve is fitted to the points as they were written, not to points worked out again.
+    """
     for name, chart in charts.items():
-        write_chart_data(chart.points, base, name, chart.pages)
+        path = write_chart_data(chart.points, base, day, name, chart.pages)
         if chart.smooth:
-            write_chart_data(chart.curve(), base, f"{name}_curve", chart.pages)
+            points = chart.points.sparkSession.read.schema(chart.points.schema).parquet(path)
+            curve = replace(chart, points=points).curve()
+            write_chart_data(curve, base, day, f"{name}_curve", chart.pages)
 
 
 def publish(
@@ -207,10 +250,18 @@ def publish(
 ) -> None:
     """Write all chart tables under ``base``, a folder every executor can reach.
 
-    Counts are folded once into a small table, written by season; the charts are worked out from
-    that table. An executor lost on the way costs its tasks, not another read of the counts.
+    Counts are folded once into a small table, written by season. Tables that several charts share
+    (round totals per study, species cells and shares) are worked out from it once and written
+    too. An executor lost on the way costs its tasks, not another read of the counts.
     """
+    spark = counts.sparkSession
     folded = totals.fold_counts(with_season_start(counts))
-    path = write_counts(folded, base, day, name="folded_counts")
-    cells = counts.sparkSession.read.parquet(path)
-    write_charts(all_charts(cells, membership, cluster_table, second), f"{base}/charts")
+    cells = spark.read.parquet(write_counts(folded, base, day, name="folded_counts"))
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        path = f"{base}/cells/snapshot={day.isoformat()}/table={name}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    found = all_charts(cells, membership, cluster_table, second, keep)
+    write_charts(found, f"{base}/charts", day)

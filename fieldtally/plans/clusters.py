@@ -41,6 +41,14 @@ def cluster_row_counts(
     )
 
 
+def cluster_counts_renamed(
+    counts: DataFrame, membership: DataFrame, clusters: DataFrame, study: Study
+) -> DataFrame:
+    """The same rows per short name: clusters that share one are counted together."""
+    rows = cluster_row_counts(counts, membership, clusters, study)
+    return rows.groupBy(F.col("short_name").alias("cluster")).agg(F.sum("n_rows").alias("n_rows"))
+
+
 def cluster_copies(
     membership: DataFrame,
     clusters: DataFrame,

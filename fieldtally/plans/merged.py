@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldtally import fixed_values as fixed
 from fieldtally.operators import merging, ranking, totals
+from fieldtally.operators.joins import null_safe_join
 from fieldtally.plans.study import Study, period_counts, with_season_start
 
 
@@ -39,6 +40,51 @@ def source_ranking(
     return ranking.rank_side_by_side(replaced, second, "taxon", n, ("counts", "second"))
 
 
+def replaced_rows(counts: DataFrame, location: str = fixed.REPLACED_LOCATION) -> DataFrame:
+    """Rows of one location per season: what the second source is to stand in for."""
+    own = with_season_start(counts).filter(F.col("location") == location)
+    return totals.row_counts(own, ["season_start"])
+
+
+def areas_of(membership: DataFrame, location: str = fixed.REPLACED_LOCATION) -> DataFrame:
+    """Names of the areas that a location is in."""
+    return membership.filter(F.col("location") == location).select("area_name").distinct()
+
+
+def rows_per_area_name(
+    counts: DataFrame,
+    membership: DataFrame,
+    second: DataFrame,
+    location: str = fixed.REPLACED_LOCATION,
+    after_season: int = fixed.REPLACED_AFTER,
+    reclassify: str = fixed.SITE_TYPES[0],
+) -> DataFrame:
+    """Rows of the merged counts per area name, before and after one location moves to another.
+
+    Rows are tallied per location, and memberships per location and name, before they meet.
+    """
+    merged = merged_counts(counts, second, location, after_season)
+    rows = F.coalesce(totals.rows_behind(merged), F.lit(1))  # the second source is not folded
+    tally = merged.groupBy("location").agg(F.sum(rows).alias("rows"))
+    members = merging.append_membership(membership, second)
+    moved = F.col("location").eqNullSafe(F.lit(location))
+    copies = members.groupBy("location", "area_name").agg(F.count(F.lit(1)).alias("copies"))
+    names = F.array(
+        F.struct(F.col("area_name").alias("area_name"), F.lit(1).alias("before"), F.lit(0).alias("after")),
+        F.struct(
+            F.when(moved, F.lit(reclassify)).otherwise(F.col("area_name")).alias("area_name"),
+            F.lit(0).alias("before"),
+            F.lit(1).alias("after"),
+        ),
+    )
+    named = copies.select("location", "copies", F.inline(names))
+    joined = null_safe_join(tally, named, ["location"], "inner")
+    each = F.col("rows") * F.col("copies")
+    return joined.groupBy("area_name").agg(
+        F.sum(each * F.col("before")).alias("n_before"), F.sum(each * F.col("after")).alias("n_after")
+    )
+
+
 def site_type_totals(
     counts: DataFrame,
     membership: DataFrame,

@@ -50,7 +50,7 @@ def top_concentration_species(counts, membership, study, value="mean", n=20) ->
     return top_concentrations(counts, membership, study, value, n).select("taxon").distinct()
 
 
-def _area_cells(counts, membership, study, how: str) -> DataFrame:
+def area_cells(counts, membership, study, how: str) -> DataFrame:
     """Individuals per species, season and kind of location.
 
     The kind is how often the location is a site and how often it is in the valley. Everything
@@ -90,7 +90,7 @@ def _top_of(cells: DataFrame, n: int) -> DataFrame:
 
 def top_species(counts: DataFrame, membership: DataFrame, study: Study, n: int) -> DataFrame:
     """The ``n`` most counted species of the valley over the whole period."""
-    return _top_of(_area_cells(counts, membership, study, "inner"), n)
+    return _top_of(area_cells(counts, membership, study, "inner"), n)
 
 
 def composition(
@@ -102,7 +102,17 @@ def composition(
     area: str = "site",
 ) -> DataFrame:
     """Per season and top species or rest: fixed-effort mean in the sites or the valley."""
-    cells = _area_cells(counts, membership, study, "inner")
+    return composition_of(area_cells(counts, membership, study, "inner"), study, n, rest, area)
+
+
+def composition_of(
+    cells: DataFrame,
+    study: Study,
+    n: int = 10,
+    rest: str = fixed.REST_LABEL,
+    area: str = "site",
+) -> DataFrame:
+    """The composition from species cells."""
     return (
         ranking.with_rest_bucket(cells, _top_of(cells, n), "taxon", rest, "species")
         .groupBy("season_start", "species")
@@ -117,8 +127,14 @@ def composition(
 
 def stacked_composition(counts, membership, study, n=10, rest=fixed.REST_LABEL, area="site"):
     """The composition as bar segments, one bar per season."""
+    cells = area_cells(counts, membership, study, "inner")
+    return stacked_composition_of(cells, study, n, rest, area)
+
+
+def stacked_composition_of(cells, study, n=10, rest=fixed.REST_LABEL, area="site"):
+    """The bar segments from species cells."""
     return shaping.stacked_segments(
-        composition(counts, membership, study, n, rest, area),
+        composition_of(cells, study, n, rest, area),
         "season_start",
         "species",
         "mean",
@@ -167,7 +183,7 @@ def _chosen(cells: DataFrame, parameters: DataFrame) -> DataFrame:
 
 def species_shares(counts, membership, study, choice: SpeciesChoice) -> DataFrame:
     """Per species and season with site counts: fixed-effort means and two ratios of means."""
-    cells = _area_cells(counts, membership, study, "left")
+    cells = area_cells(counts, membership, study, "left")
     chosen = _chosen(cells, choice.parameters(_top_of(cells, choice.n), study))
     means = (
         chosen.groupBy(*SPECIES_SEASON)

@@ -11,9 +11,6 @@ from fieldtally.operators.joins import null_safe_join
 from fieldtally.plans import areas
 from fieldtally.plans.study import Study, period_counts
 
-#: Tasks for fits of one series per area or class; species use all shuffle partitions.
-FEW_SERIES = 4
-
 
 def round_series(counts: DataFrame, membership: DataFrame, study: Study) -> DataFrame:
     """Round totals of site, valley and region as three series."""
@@ -29,7 +26,7 @@ def round_series(counts: DataFrame, membership: DataFrame, study: Study) -> Data
 def round_trend(counts, membership, study) -> DataFrame:
     """Trend of the round totals per area."""
     points = round_series(counts, membership, study)
-    return trend.smoothed_trend(points, ["series"], "season_start", "total", tasks=FEW_SERIES)
+    return trend.smoothed_trend(points, ["series"], "season_start", "total")
 
 
 def share_trend(counts, membership, study, limits: tuple[float, float]) -> DataFrame:
@@ -46,21 +43,20 @@ def share_trend(counts, membership, study, limits: tuple[float, float]) -> DataF
         ["series"],
         "season_start",
         "share",
-        tasks=FEW_SERIES,
     )
 
 
 def round_band(counts, membership, study) -> DataFrame:
     """The same trend with its 95% band."""
     points = round_series(counts, membership, study)
-    return trend.smoothed_band(points, ["series"], "season_start", "total", tasks=FEW_SERIES)
+    return trend.smoothed_band(points, ["series"], "season_start", "total")
 
 
 def class_trend(counts, membership, study) -> DataFrame:
     """Trend of the round totals per area class."""
     points = areas.class_round_totals(counts, membership, study)
     return trend.smoothed_trend(
-        points, ["area_class"], "season_start", "total", tasks=FEW_SERIES
+        points, ["area_class"], "season_start", "total"
     )
 
 

@@ -1,4 +1,8 @@
-"""Snapshots as files: exported CSV in, dated snapshots and season-partitioned counts out."""
+"""Snapshots as files: exported CSV in, dated snapshots and season-partitioned counts out.
+
+The CSV dialect is that of the exports: text in quotes, a quote inside it doubled, backslashes
+without meaning.
+"""
 
 from __future__ import annotations
 
@@ -22,43 +26,86 @@ def _typed(text: Column, kind: str) -> Column:
     return F.coalesce(text.try_cast("bigint"), whole)
 
 
+def _text(
+    spark: SparkSession, path: str, header: Mapping[str, tuple[str, str]], multiline: bool
+) -> DataFrame:
+    """Listed columns as they are written."""
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multiline)
+    raw = reader.csv(path)
+    absent = [name for name in header if name not in raw.columns]
+    if absent:
+        raise ValueError(f"columns not in {path}: {absent}")
+    return raw.select(*[blank_to_null(F.col(f"`{source}`")).alias(source) for source in header])
+
+
 def _read_csv(
-    spark: SparkSession, path: str, header: Mapping[str, tuple[str, str]]
+    spark: SparkSession,
+    path: str,
+    header: Mapping[str, tuple[str, str]],
+    multiline: bool = False,
 ) -> DataFrame:
     """Listed columns by header name, each with its declared type.
 
     Types are not inferred, which would read the files twice. Row-number columns without a name
     and columns not listed are left out. Empty text and ``NA`` become null, as does text that is
-    not of the declared type.
+    not of the declared type; `unparsed_cells` counts such text.
     """
-    raw = spark.read.option("header", True).csv(path)
-    absent = [name for name in header if name not in raw.columns]
-    if absent:
-        raise ValueError(f"columns not in {path}: {absent}")
-    return raw.select(
+    return _text(spark, path, header, multiline).select(
+        *[
+            _typed(F.col(f"`{source}`"), kind).alias(name)
+            for source, (name, kind) in header.items()
+        ]
+    )
+
+
+def unparsed_cells(
+    spark: SparkSession,
+    path: str,
+    header: Mapping[str, tuple[str, str]],
+    multiline: bool = False,
+) -> DataFrame:
+    """Per column: cells with text, and those of them that are not of the declared type. One pass."""
+    text = _text(spark, path, header, multiline)
+    counted = text.agg(
         *[
-            _typed(blank_to_null(F.col(f"`{source}`")), kind).alias(name)
+            F.struct(
+                F.count(f"`{source}`").alias("n_cells"),
+                F.count_if(
+                    F.col(f"`{source}`").isNotNull() & _typed(F.col(f"`{source}`"), kind).isNull()
+                ).alias("n_unparsed"),
+            ).alias(name)
             for source, (name, kind) in header.items()
         ]
     )
+    rows = [
+        F.struct(F.lit(name).alias("column"), F.col(f"{name}.n_cells"), F.col(f"{name}.n_unparsed"))
+        for name, _ in header.values()
+    ]
+    return counted.select(F.inline(F.array(*rows)))
 
 
 def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Counts are large: files stay splittable, so a text has no line break."""
     return _read_csv(spark, path, fixed.COUNTS_HEADER)
 
 
-def read_membership(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, fixed.MEMBERSHIP_HEADER)
+def read_membership(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """``multiline`` allows line breaks in quoted text; a file is then read by one task."""
+    return _read_csv(spark, path, fixed.MEMBERSHIP_HEADER, multiline)
 
 
-def read_second_source(spark: SparkSession, path: str) -> DataFrame:
-    return _read_csv(spark, path, fixed.SECOND_SOURCE_HEADER)
+def read_second_source(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """``multiline`` allows line breaks in quoted text; a file is then read by one task."""
+    return _read_csv(spark, path, fixed.SECOND_SOURCE_HEADER, multiline)
 
 
 def write_csv_snapshot(df: DataFrame, base: str, name: str, day: date) -> str:
     """CSV export into the folder of its date, nulls written as ``NA``; returns its path."""
     path = f"{base}/{name}/snapshot={day.isoformat()}"
-    df.write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
+    writer = df.write.mode("overwrite")
+    # Blanks at the ends of a text are kept; a backslash is a sign like any other.
+    writer = writer.options(header=True, nullValue="NA", quote='"', escape='"')
+    writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return path
 
 
@@ -86,14 +133,14 @@ def write_counts(counts: DataFrame, base: str, day: date, name: str = "counts")
 
 
 def write_chart_data(
-    df: DataFrame, base: str, chart: str, by: tuple[str, ...] = ()
+    df: DataFrame, base: str, day: date, chart: str, by: tuple[str, ...] = ()
 ) -> str:
-    """The table behind a chart, one folder per chart and per value of ``by`` (such as taxon).
+    """The table behind a chart of a day, with one folder per value of ``by`` (such as taxon).
 
-    Only the partitions written are replaced: other charts and other values stay.
+    The chart's folder of that day is replaced whole: a value that is gone leaves nothing behind.
     """
-    path = f"{base}/chart={chart}"
+    path = f"{base}/snapshot={day.isoformat()}/chart={chart}"
     writer = df.hint("rebalance", *by) if by else df
-    writer = writer.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = writer.write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy(*by) if by else writer).parquet(path)
     return path

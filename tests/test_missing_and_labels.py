@@ -102,9 +102,13 @@ def test_shorten(spark):
 
 def test_t_quantile_against_tables(spark):
     # fixed values: 97.5% points of t from printed tables
-    table = {3: 3.1824, 5: 2.5706, 10: 2.2281, 30: 2.0423, 120: 1.9799}
-    df = spark.createDataFrame([(float(v),) for v in table] + [(2.5,)], "v double")
+    table = {
+        1: 12.7062, 2: 4.3027, 3: 3.1824, 4: 2.7764, 5: 2.5706, 10: 2.2281, 30: 2.0423,
+        120: 1.9799, 1e9: 1.95996,
+    }
+    values = [(float(v),) for v in table] + [(1.37,), (6.5,), (None,), (1 - 1e-12,)]
+    df = spark.createDataFrame(values, "v double")
     found = {r[0]: r[1] for r in df.select("v", student.t_quantile_975("v")).collect()}
-    assert found.pop(2.5) is None
-    for v, quantile in table.items():
-        assert found[v] == pytest.approx(quantile, abs=5e-3 if v < 5 else 4e-4)
+    assert found.pop(None) is None
+    for v, quantile in found.items():
+        assert quantile == pytest.approx(table.get(v, student.quantile(max(v, 1))), abs=6e-5)

@@ -6,20 +6,24 @@ import compare
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from fieldtally.fixture import catalog
+from fieldtally.fixture import oracle as sql
 
-QUERIES = queries()
-ORACLE = oracle_sql()
+QUERIES = catalog.queries()
+ORACLE = sql.oracle_sql()
 
 #: Reads of the largest table: once, unless sources are compared or merged, or rows without a
 #: match are kept.
 READS = {
     "area_right_join": 2,
-    "joined_round_totals": 3,
-    "second_source": 2,
+    "listings": 2,
+    "rows_per_area_name": 3,
+    "replaced_location_areas": 0,
     "merge_sources": 2,
     "rank_side_by_side": 2,
     "site_type_totals": 3,
     "reclassified_totals": 3,
+    "site_type_trend": 3,
     "taxon_groups": 0,
     "area_membership": 0,
     "cluster_membership": 0,
@@ -27,8 +31,9 @@ READS = {
 }
 
 
-def test_every_query_has_sql():
+def test_every_query_has_sql_and_is_registered():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -103,7 +103,7 @@ def test_ingest_and_publish_from_the_command_line(spark, tmp_path, monkeypatch):
     second = tmp_path / "second.csv"
     second.write_text("location,species name,date,number,family\nP,duck,2014-01-05,12,x\n")
     published = []
-    monkeypatch.setattr(charts, "write_charts", lambda c, base: published.append((set(c), base)))
+    monkeypatch.setattr(charts, "write_charts", lambda c, base, day: published.append((set(c), base)))
     cli.main([
         "publish", "--counts", f"{out}/counts/snapshot=2025-01-23",
         "--areas", f"{out}/areas/snapshot=2025-01-23",
@@ -185,17 +185,58 @@ def test_counts_by_season_prune_partitions(spark, tmp_path):
     assert [r.individuals for r in late.collect()] == [2]
 
 
-def test_chart_data_replaces_only_what_it_writes(spark, tmp_path):
+def test_chart_data_of_a_day_is_replaced_whole(spark, tmp_path):
+    base, by = str(tmp_path), ("taxon",)
     df = spark.createDataFrame([("x", 1), ("y", 2)], "taxon string, v int")
-    path = snapshots.write_chart_data(df, str(tmp_path), "means", ("taxon",))
-    snapshots.write_chart_data(
-        spark.createDataFrame([("y", 3)], "taxon string, v int"), str(tmp_path), "means",
-        ("taxon",),
+    other = snapshots.write_chart_data(df, base, dt.date(2025, 1, 22), "means", by)
+    path = snapshots.write_chart_data(df, base, DAY, "means", by)
+    less = spark.createDataFrame([("y", 3)], "taxon string, v int")
+    assert snapshots.write_chart_data(less, base, DAY, "means", by) == path
+    assert [(r.taxon, r.v) for r in spark.read.parquet(path).collect()] == [("y", 3)]
+    assert spark.read.parquet(other).count() == 2
+
+
+ODD_TEXT = ['Polder "Noord", deel 2', 'Plas "De Put"', "back\\slash\\", "a,b", 'x "', "'", "é  x"]
+
+
+def test_odd_text_makes_the_round_trip(spark, tmp_path):
+    schema = ", ".join(f"{n} {k}" for n, k in fixed.MEMBERSHIP_HEADER.values())
+    rows = [("SEST", t, "t", "T", str(i), t, dt.date(1990, 1, 1), None) for i, t in enumerate(ODD_TEXT)]
+    df = spark.createDataFrame(rows, schema)
+    named = snapshots.with_exported_names(df, fixed.MEMBERSHIP_HEADER)
+    path = snapshots.write_csv_snapshot(named, str(tmp_path), "areas", DAY)
+    back = snapshots.read_membership(spark, path).collect()
+    assert sorted(map(tuple, back), key=str) == sorted(rows, key=str)
+
+
+def test_doubled_quotes_and_line_breaks(spark, tmp_path):
+    path = tmp_path / "second.csv"
+    path.write_text(
+        "id,date,species name,number,family,location\n"
+        '1,2018-10-14,"duck ""wild"", grey",3,Anatidae,"Polder ""Noord"", deel 2"\n'
+        '2,2018-10-14,goose,4,Anatidae,"two\nlines"\n'
     )
-    assert sorted((r.taxon, r.v) for r in spark.read.parquet(path).collect()) == [
-        ("x", 1),
-        ("y", 3),
+    found = snapshots.read_second_source(spark, str(path), multiline=True).orderBy("individuals").collect()
+    assert [(r.taxon, r.location) for r in found] == [
+        ('duck "wild", grey', 'Polder "Noord", deel 2'),
+        ("goose", "two\nlines"),
     ]
+    first = snapshots.read_second_source(spark, str(path)).where("individuals = 3").collect()
+    assert first[0].location == 'Polder "Noord", deel 2'
+
+
+def test_unparsed_cells_are_counted(spark, tmp_path):
+    path = tmp_path / "second.csv"
+    path.write_text(
+        "id,date,species name,number,family,location\n"
+        "1,10/01/2020,duck,3,Anatidae,Polder\n"
+        "2,2018-10-14,goose,many,NA,Polder\n"
+        "3,,goose,1e+05,Anatidae,\n"
+    )
+    cells = snapshots.unparsed_cells(spark, str(path), fixed.SECOND_SOURCE_HEADER)
+    found = {r["column"]: (r.n_cells, r.n_unparsed) for r in cells.collect()}
+    assert found["sample_date"] == (2, 1) and found["individuals"] == (3, 1)
+    assert found["taxon"] == (3, 0) and found["taxon_group"] == (2, 0) and found["location"] == (2, 0)
 
 
 def _sample(spark):
@@ -258,33 +299,31 @@ def test_plans_agree_on_folded_counts(spark):
         assert _rows(plan(full, m, of)) == _rows(plan(folded, m, of))
 
 
-def test_publish_writes_every_chart(spark, tmp_path, monkeypatch):
+def test_publish_writes_every_chart_and_aggregates_once(spark, tmp_path):
     full, m = _sample(spark), _areas(spark)
     clusters = members(spark, [("KBR", "est", "Polders van Kruibeke"), ("DU", "wet", "Durme")])
-
-    def plain(found):
-        """Without the charts that differ from others in their study only."""
-        return {n: c for n, c in found.items() if not n.endswith("_with_waders")}
-
-    write = charts.write_charts
-    monkeypatch.setattr(charts, "write_charts", lambda found, base: write(plain(found), base))
     spark.conf.set("spark.sql.shuffle.partitions", "2")  # dozens of small jobs
     charts.publish(full, m, clusters, _second(spark), str(tmp_path), DAY)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
-    wanted = plain(charts.all_charts(full, m, clusters, _second(spark)))
-    written = {p.name for p in Path(tmp_path, "charts").iterdir()}
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    reads = [p for p in plans if f"{tmp_path}/folded_counts" in p and f"{tmp_path}/c" in p]
+    assert 0 < len(reads) <= 16, len(reads)
+    wanted = charts.all_charts(full, m, clusters, _second(spark))
+    tmp_path = Path(tmp_path, "charts", f"snapshot={DAY.isoformat()}")
+    written = {p.name for p in tmp_path.iterdir()}
     assert written == {f"chart={n}" for n in wanted} | {
         f"chart={n}_curve" for n, c in wanted.items() if c.smooth
     }
     for name in ("site_means_without_waders", "species_by_cluster", "moving_means_and_target"):
-        back = spark.read.parquet(f"{tmp_path}/charts/chart={name}")
+        back = spark.read.parquet(f"{tmp_path}/chart={name}")
         points = wanted[name].points
         assert _rows(back.select(*points.columns)) == _rows(points)
-    folder = Path(tmp_path, "charts", "chart=species_mean_site")
+    folder = tmp_path / "chart=species_mean_site"
     assert {p.name for p in folder.iterdir() if p.is_dir()} == {
         "taxon=duck", "taxon=Kievit", "taxon=Wulp"
     }
     kievit = spark.read.parquet(f"{folder}/taxon=Kievit")
     assert kievit.agg(F.min("season_start")).collect()[0][0] == 1999
-    curve = spark.read.parquet(f"{tmp_path}/charts/chart=site_means_without_waders_curve")
+    curve = spark.read.parquet(f"{tmp_path}/chart=site_means_without_waders_curve")
     assert curve.count() == 80 and curve.filter("fit IS NULL OR se IS NULL").count() == 0

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldtally.functions import student
 from fieldtally.operators import trend
 
 
@@ -79,6 +80,27 @@ def test_residual_scale_equals_brute_force(series, name):
     assert row.df == pytest.approx(np.trace(product) ** 2 / np.trace(product @ product))
 
 
+@pytest.mark.parametrize(("n", "degrees"), [(6, None), (7, 2.0), (8, 2.0)])
+def test_short_series(spark, n, degrees):
+    """Six points are run through: no scale. From seven on there is a band, however wide."""
+    x, y = _noisy_sine(n)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
+    scale = trend.residual_scale(df, [], "x", "y").collect()[0]
+    band = trend.smoothed_band(df, [], "x", "y").orderBy("step").toPandas()
+    assert band.fit.to_numpy() == pytest.approx(_hat(x, np.linspace(x[0], x[-1], 80)) @ y)
+    if degrees is None:
+        assert abs(scale.d1) < 1e-9 and scale.s is None and scale.df is None
+        assert band.se.isna().all() and band.lower.isna().all()
+        return
+    residual = np.eye(n) - _hat(x, x)
+    product = residual @ residual.T
+    df_wanted = np.trace(product) ** 2 / np.trace(product @ product)
+    assert scale.df == pytest.approx(df_wanted) and 1 <= scale.df < 4
+    assert scale.s == pytest.approx(math.sqrt(((residual @ y) ** 2).sum() / np.trace(product)))
+    t = student.quantile(df_wanted)
+    assert ((band.upper - band.fit) / band.se).to_numpy() == pytest.approx(np.full(80, t))
+
+
 def test_trend_equals_the_curve_of_the_band(series):
     band = trend.smoothed_band(series, ["series"], "season", "y").select("series", "step", "fit")
     curve = trend.smoothed_trend(series, ["series"], "season", "y").select("series", "step", "fit")
