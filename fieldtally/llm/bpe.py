@@ -310,31 +310,40 @@ def encode(
     keep: list[str] | None = None,
     ids: str = "ids",
     offsets: str = "id_offsets",
+    decoded: str | None = None,
 ) -> DataFrame:
-    """The columns in `keep` (all, if not given) with two more.
+    """The columns in `keep` (all, if not given) with two or three more.
 
     ids (array of int): the text's token ids. offsets (array of int): the place in `ids` at which
-    each slice of the pre-tokenisation starts. No shuffle; each task reads its rows once.
+    each slice of the pre-tokenisation starts. decoded (binary), if it is named: the bytes that the
+    ids stand for, decoded in the same pass, so that a round trip takes one Python worker per task.
+    No shuffle; each task reads its rows once.
     """
     ship(docs.sparkSession)
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (ids, offsets)]
+    made = [ids, offsets, *([decoded] if decoded else [])]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
     frame, fields = with_text(docs, text, kept)
     schema = T.StructType(
         [
             *fields,
             T.StructField(ids, T.ArrayType(T.IntegerType(), False)),
             T.StructField(offsets, T.ArrayType(T.IntegerType(), False)),
+            *([T.StructField(decoded, T.BinaryType())] if decoded else []),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = rank_encoder(ranks_path)
+        encoder, table = rank_encoder(ranks_path), _token_bytes(ranks_path)
         for batch in batches:
             for a, b, texts in chunks(batch.column(0)):
                 found, n_ids, firsts, n_slices = encoder(texts)
                 columns = [batch.column(i + 1).slice(a, b - a) for i in range(len(kept))]
                 columns.append(lists(found.astype(np.int32), n_ids, pa.int32()))
                 columns.append(lists(firsts.astype(np.int32), n_slices, pa.int32()))
+                if decoded:
+                    bounds = np.append(0, np.cumsum(n_ids))
+                    back = [_join(found[i:j], *table) for i, j in pairwise(bounds.tolist())]
+                    columns.append(pa.array(back, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return frame.mapInArrow(run, schema)
