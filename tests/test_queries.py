@@ -47,6 +47,25 @@ def test_query(spark, testdata, oracle, name):
     assert "Python" not in plan and "ArrowEval" not in plan
 
 
+#: Types of the plans' own columns, before results are made comparable.
+TYPES = {
+    "season_start": "int", "individuals": "bigint", "sample_date": "date", "valid_from": "date",
+    "valid_to": "date", "round_order": "int", "max_site": "bigint", "max_valley": "bigint",
+    "max_region": "bigint", "site_total": "bigint", "valley_total": "bigint",
+    "region_total": "bigint", "total_counts": "bigint", "total_second": "bigint",
+    "cluster_order": "int", "n_rows": "bigint", "n_areas": "bigint", "mean": "double",
+    "winter_mean": "double", "moving_mean": "double", "fit": "double", "se": "double",
+    "lower": "double", "upper": "double", "step": "int", "position": "int", "n_points": "bigint",
+}
+
+
+@pytest.mark.parametrize("name", sorted(catalog.PLANS))
+def test_types_of_the_plans(spark, testdata, name):
+    kinds = dict(catalog.PLANS[name](catalog.Tables(spark, testdata)).dtypes)
+    assert {c: k for c, k in kinds.items() if c in TYPES} == {c: TYPES[c] for c in kinds if c in TYPES}
+    assert "void" not in kinds.values()
+
+
 def test_entry(spark, testdata):
     df = entry(spark)
     assert df.columns[0] == "season_start"

@@ -10,7 +10,7 @@ from rows import counts, members
 from fieldtally import __main__ as cli
 from fieldtally import fixed_values as fixed
 from fieldtally.operators import totals
-from fieldtally.plans import areas, charts, ingest, species, study
+from fieldtally.plans import areas, charts, clusters, ingest, merged, species, study
 from fieldtally.sources import snapshots, warehouse
 
 DAY = dt.date(2025, 1, 23)
@@ -287,13 +287,29 @@ def test_plans_agree_on_folded_counts(spark):
     assert folded.count() < full.count()
     of = study.WITHOUT_WADERS
     choice = species.SpeciesChoice()
+    groups = members(spark, [("KBR", "est", "Polders van Kruibeke"), ("DU", "wet", "Durme")])
+    second = _second(spark)
     for plan in (
         areas.winter_means,
+        areas.joined_round_totals,
         areas.class_winter_means,
+        areas.class_round_totals,
+        areas.moving_winter_mean,
         areas.counted_areas,
+        areas.counted_areas_by_class,
         species.species_season_stats,
+        species.top_concentrations,
         species.composition,
+        species.stacked_composition,
+        lambda c, a, s: species.top_species(c, a, s, 3),
         lambda c, a, s: species.species_shares(c, a, s, choice),
+        lambda c, a, s: species.species_by_class(c, a, s, choice),
+        lambda c, a, s: species.species_by_cluster(c, a, groups, s, choice),
+        lambda c, a, s: clusters.cluster_means(c, a, groups, s),
+        lambda c, a, s: clusters.cluster_counts_renamed(c, a, groups, s),
+        lambda c, a, s: merged.site_type_totals(c, a, second, s),
+        lambda c, a, s: merged.rows_per_area_name(c, a, second),
+        lambda c, a, s: merged.replaced_rows(c),
         lambda c, a, s: study.row_count_checks(c, a, s, {}),
     ):
         assert _rows(plan(full, m, of)) == _rows(plan(folded, m, of))
@@ -301,15 +317,15 @@ def test_plans_agree_on_folded_counts(spark):
 
 def test_publish_writes_every_chart_and_aggregates_once(spark, tmp_path):
     full, m = _sample(spark), _areas(spark)
-    clusters = members(spark, [("KBR", "est", "Polders van Kruibeke"), ("DU", "wet", "Durme")])
+    groups = members(spark, [("KBR", "est", "Polders van Kruibeke"), ("DU", "wet", "Durme")])
     spark.conf.set("spark.sql.shuffle.partitions", "2")  # dozens of small jobs
-    charts.publish(full, m, clusters, _second(spark), str(tmp_path), DAY)
+    charts.publish(full, m, groups, _second(spark), str(tmp_path), DAY)
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     runs = spark._jsparkSession.sharedState().statusStore().executionsList()
     plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
     reads = [p for p in plans if f"{tmp_path}/folded_counts" in p and f"{tmp_path}/c" in p]
     assert 0 < len(reads) <= 16, len(reads)
-    wanted = charts.all_charts(full, m, clusters, _second(spark))
+    wanted = charts.all_charts(full, m, groups, _second(spark))
     tmp_path = Path(tmp_path, "charts", f"snapshot={DAY.isoformat()}")
     written = {p.name for p in tmp_path.iterdir()}
     assert written == {f"chart={n}" for n in wanted} | {
