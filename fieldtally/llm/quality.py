@@ -9,8 +9,9 @@ speak for themselves. A document's own share is taken out of its site first. The
 
     log-odds = evidence + log-odds(path rate without the document) - log-odds(global rate).
 
-All measures are built-in functions. Hosts and paths are summed map-side before the shuffle, so a
-hot host is no hot task.
+All measures are built-in functions. They are worked out once and written to the shared folder,
+without the texts. Hosts and paths are summed map-side before the shuffle, so a hot host is no hot
+task.
 
 Defined cases: a null text counts as empty; a null host or path is a site of its own; documents
 without a label take part with their probability; several labels of one document count by their
@@ -21,13 +22,14 @@ the documents may have any name.
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.shared import named
+from fieldtally.llm.shared import named, written
 
 #: Labelled documents that the classifier is fitted on, at most (nearly): a sample by hash.
 FIT_ROWS = 20_000
@@ -40,17 +42,17 @@ def measures(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
 
-    def share(pattern: str) -> Column:
-        return F.length(F.regexp_replace(text, f"[^{pattern}]", "")) / size
+    def share(signs: str) -> Column:
+        return (F.length(text) - F.length(F.translate(text, signs, ""))) / size
 
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     n = F.greatest(F.size(words), F.lit(1))
     return {
-        "symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))) / size,
+        "symbols": share(SYMBOLS),
         "marks": share("!?,.;:"),
-        "capitals": share("A-Z"),
-        "digits": share("0-9"),
-        "blanks": share(r"\x20\x09-\x0D"),
+        "capitals": share(string.ascii_uppercase),
+        "digits": share(string.digits),
+        "blanks": share(" \t\n\x0b\f\r"),
         "repeated": 1 - F.size(F.array_distinct(words)) / n,
         "word_size": F.least(size / n, F.lit(30.0)) / 10,
         "n_words": F.log1p(F.size(words).cast("double")) / 5,
@@ -193,5 +195,5 @@ def judge(
         .agg(F.round(F.avg(label)).cast("int").alias("_label"))
     )
     rows = measured(docs, host, path, text, keep, F.col(id_col))
-    rows = rows.join(known, "_id", "left").drop("_id")
+    rows = written(rows.join(known, "_id", "left").drop("_id"), "quality")
     return combine(rows, fit(rows, fit_rows=fit_rows))
