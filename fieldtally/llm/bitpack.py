@@ -40,6 +40,8 @@ MARK = b"IDS1"
 BLOCK = 4096
 #: A segment is closed when it holds this many ids.
 SEGMENT = 1 << 20
+#: Up to so many shards, their starts (two numbers each) are broadcast on reading.
+MOST_SHARDS = 100_000
 
 
 def width_of(vocabulary_size: int) -> int:
@@ -180,13 +182,16 @@ def write(
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a dataset, with `start`: the ids of all documents before each segment."""
     rows = spark.read.parquet(path)
-    # One row per shard: few, whatever the size of the dataset.
     totals = rows.groupBy("shard").agg(F.sum("n_ids").alias("shard_ids"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(
         "shard", F.coalesce(F.sum("shard_ids").over(before), F.lit(0)).alias("shard_start")
     )
-    return rows.join(totals, "shard").withColumn("start", F.col("shard_start") + F.col("first_id"))
+    # One row per shard: few, whatever the size of the dataset. Where that holds they are sent to
+    # all tasks, since a join by shuffle would move the payloads.
+    few = len(totals.limit(MOST_SHARDS + 1).collect()) <= MOST_SHARDS
+    joined = rows.join(F.broadcast(totals) if few else totals, "shard")
+    return joined.withColumn("start", F.col("shard_start") + F.col("first_id"))
 
 
 def read(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
