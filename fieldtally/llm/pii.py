@@ -28,7 +28,6 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtally.llm.shared import chunks, named, ship, with_text

@@ -79,7 +79,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A document without id is in no fold and is learned from.
     model = language.fit(docs.where(~F.coalesce(_held_out(), F.lit(False))))
     held_out = F.coalesce(_held_out(), F.lit(False)).alias("held_out")
-    return language.identify(docs, model, keep=["doc_id"]).select("doc_id", held_out, "lang_pred", "score")
+    found = language.identify(docs, model, keep=["doc_id"])
+    return found.select("doc_id", held_out, "lang_pred", "score")
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
