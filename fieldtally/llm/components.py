@@ -1,9 +1,10 @@
 """Connected components of a graph given by its edges, by alternating large and small stars.
 
 Each round links every node's larger neighbours to its smallest one, then every node's smaller
-neighbours to the smallest. A minimum per node is combined map-side and joined back, so a node with
-very many neighbours is never gathered. Rounds are written to the shared folder; trees as shallow as
-those of the near-duplicate tiles take three or four.
+neighbours to the smallest. A minimum per node is combined map-side, written, and joined back: both
+sides of the join are then shuffled for it alone, so that adaptive execution can split a node with
+very many neighbours over tasks. Rounds are written to the shared folder; trees as shallow as those
+of the near-duplicate tiles take three or four.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
     sign = _sign(now)
     while sign[0]:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "edges")
+        down = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = (
             large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         ).union(down.select("a", F.col("m").alias("b")))
