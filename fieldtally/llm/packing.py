@@ -16,7 +16,6 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -34,7 +33,7 @@ OPEN = 64
 #: A window with fewer free places is emitted as it is, rather than filled with a smaller cut.
 LEAST_CUT = 8
 #: Partitions whose leftovers are merged together.
-GROUP = 64
+GROUP = 8
 
 Piece = tuple[int, int, int, int]  # document, start in it, length, offset in the window
 
