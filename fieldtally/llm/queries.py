@@ -95,7 +95,9 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shards.assign(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+    docs, path = table(spark, sf_dir, "documents"), folder(spark, "shards-written")
+    shards.write(docs, shards.assign(docs, limit=SHARD_BYTES), path)
+    return shards.contents(spark, path, docs.schema)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import compare
 from fieldtally.llm import oracle, queries, shards, vectors
+from fieldtally.llm.shared import folder
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +120,37 @@ def test_written_shards(spark, testdata, tmp_path):
     assert back.count() == docs.count()
     sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("b")).collect()
     assert len(sizes) > 4 and all(r.b <= 300_000 for r in sizes)
+
+
+@pytest.mark.parametrize("limit", [60, 100, 700, 10**6])
+def test_null_and_repeated_keys_are_written_once_each(spark, tmp_path, limit):
+    rows = [(7, f"text {i:04}") for i in range(300)] + [(8, "same text")] * 200 + [(9, "x" * 500)] * 2
+    rows += [(None, None), (None, "n"), (None, "n" * 40), (None, "n" * 41), (10, ""), (11, None)] * 3
+    rows = [(k, t, i) for i, (k, t) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int").repartition(3)
+    assigned = shards.assign(docs, limit)
+    shards.write(docs, assigned, str(tmp_path / "out"))
+    back = shards.read(spark, str(tmp_path / "out"), docs.schema)
+    assert sorted(back.drop("shard_").collect(), key=lambda r: r.shard) == rows
+    found = shards.contents(spark, str(tmp_path / "out"), docs.schema)
+    check_shards(found.collect(), limit)
+    assert found.columns == assigned.columns
+    order = dict(key=lambda r: [str(x) for x in r])
+    assert sorted(found.collect(), **order) == sorted(assigned.collect(), **order)
+
+
+def test_the_sharding_query_writes_every_document(spark, testdata, monkeypatch):
+    paths = []
+    monkeypatch.setattr(queries, "folder", lambda spark, name: paths.append(folder(spark, name)) or paths[-1])
+    rows = queries.queries()["op9_sharding"](spark, testdata).count()
+    docs = spark.read.parquet(f"{testdata}/documents.parquet")
+    back = shards.read(spark, paths[0], docs.schema).drop("shard")
+    assert rows == docs.count() and back.exceptAll(docs).isEmpty() and docs.exceptAll(back).isEmpty()
+
+
+def test_a_document_without_a_shard_is_no_silent_loss(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "x" * 50) for i in range(64)], "doc_id long, text string")
+    assigned = shards.assign(docs, 100)
+    other = assigned.where(F.col("shard") != assigned.agg(F.max("shard")).first()[0])
+    with pytest.raises(Exception, match="in no shard"):
+        shards.write(docs, other, str(tmp_path / "out"))
