@@ -41,8 +41,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted, without their frequent lines."""
-    return _sized(lines.cleaned(docs))
+    """Documents that pass the base rules and are not depleted, without their frequent lines.
+
+    A line's count of documents decides alone: a share would let it grow with its host.
+    """
+    return _sized(lines.cleaned(docs, share=None))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@
 Lines are normalised (lower case, runs of white space to one blank, none at the ends) and hashed.
 Per host and line the distinct documents are counted, where documents with the same text count once,
 so that copies of one text make no line frequent. A line is above the limits where more than
-`least_docs` documents of the host, and more than `share` of them, hold it. Such lines are removed
+`least_docs` documents of the host, and more than `share` of them, hold it; without a share the
+count alone decides, whatever the size of the host. Such lines are removed
 from every document but the first (smallest doc_id) of the host that has them, so that no content
 goes with its last copy. A document that loses more than `most_removed` of its words is depleted and
 rejected; so is one that fails the base rules (fewer than 50 words, or more than half of them in
@@ -121,7 +122,7 @@ def verdicts(
     host: str = "source",
     text: str = "text",
     least_docs: int = LEAST_DOCS,
-    share: float = SHARE,
+    share: float | None = SHARE,
     most_removed: float = MOST_REMOVED,
 ) -> DataFrame:
     """One row per document: KEY (id, host, two hashes of the text), COUNTS, base_failed,
@@ -139,15 +140,15 @@ def verdicts(
     found = lines.groupBy("_host", "h").agg(
         F.count_distinct("_t1", "_t2").alias("docs"), F.min("_id").alias("first")
     )
-    hosts = rows.where(F.col("_t2").isNotNull()).groupBy(F.col("_host").alias("_of")).agg(
-        F.count_distinct("_t1", "_t2").alias("all_docs")
-    )
-    above = (
-        found.where(F.col("docs") > least_docs)
-        .join(hosts, F.col("_host").eqNullSafe(F.col("_of")))
-        .where(F.col("docs") > share * F.col("all_docs"))
-        .select(F.col("_host").alias("_of"), F.col("h").alias("_h"), "first")
-    )
+    above = found.where(F.col("docs") > least_docs)
+    if share is not None:
+        hosts = rows.where(F.col("_t2").isNotNull()).groupBy(F.col("_host").alias("_of")).agg(
+            F.count_distinct("_t1", "_t2").alias("all_docs")
+        )
+        above = above.join(hosts, F.col("_host").eqNullSafe(F.col("_of"))).where(
+            F.col("docs") > share * F.col("all_docs")
+        )
+    above = above.select(F.col("_host").alias("_of"), F.col("h").alias("_h"), "first")
     gone = (
         lines.join(above, F.col("_host").eqNullSafe(F.col("_of")) & (F.col("h") == F.col("_h")))
         .where(~F.col("_id").eqNullSafe(F.col("first")) | F.col("_id").isNull())

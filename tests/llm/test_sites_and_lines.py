@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import compare
+import corpus_pipeline
 from fieldtally.llm import lines, oracle, quality, queries
 
 
@@ -76,6 +77,18 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert text[0] == docs[0][2] and text[1] == body(1) and len(text) == 20 + 1 + 3 + 9
 
 
+def test_a_line_goes_from_a_large_host_too(spark):
+    """Eight of 500 documents are less than 2%; they were let through by the share."""
+    line = "Licence of this text " + " ".join(f"s{k}" for k in range(30))
+    docs = [(i, "a", f"{line}\n{body(i)}" if i < 8 else body(i), 0) for i in range(500)]
+    docs += [(1000 + i, "b", f"{line}\n{body(1000 + i)}", 0) for i in range(5)]  # not above the count
+    frame = rows_of(spark, docs)
+    text = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, frame, "").collect()}
+    assert len(text) == len(docs)
+    assert sorted(i for i, t in text.items() if line in t) == [0, *range(1000, 1005)]
+    assert sum(r.n_removed_words > 0 for r in lines.verdicts(frame).collect()) == 0  # as the SQL has it
+
+
 def test_nulls_repeats_and_no_rows(spark):
     docs = [(1, None, None, 0), (None, "a", body(1), 0), (2, "a", body(2), 0), (2, "a", body(2), 0), (3, "a", "", 0)]
     frame = rows_of(spark, docs)
