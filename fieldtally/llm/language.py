@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fieldtally.llm.shared import chunks, code_points, mixed, ship, with_text
+from fieldtally.llm.shared import chunks, code_points, mixed, named, ship, with_text, written
 
 UNKNOWN = "und"
 #: Code points per n-gram; words are read with a blank on either side.
@@ -129,25 +129,38 @@ def fit(
     typical: float = TYPICAL,
     room: int = ROOM,
 ) -> Model:
-    """Learn from documents with a language: at most `fit_rows` (nearly) of each, by a hash of the text.
+    """Learn from documents with a language: at most `fit_rows` (nearly) of each.
 
+    Of more, every group of equal texts gives its part, rounded up or down by a hash of the text: the
+    text is read once and its n-grams count as often as the part says.
     Counting is distributed; the driver gets `grams` n-grams per language at most.
     """
     ship(docs.sparkSession)
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    rows = labelled.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"))
-    sizes = rows.groupBy("_lang").agg(F.count("*").alias("_rows"))
-    part = F.lit(float(fit_rows)) / F.col("_rows")
-    point = F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.join(F.broadcast(sizes), "_lang") if _few(sizes) else rows.join(sizes, "_lang")
-    sample = sample.where(point < part).select("_lang", "_text")
+    plain = [f.name for f in docs.schema if isinstance(f.dataType, T.AtomicType)]
+    same = [F.xxhash64(text).alias("_t1"), F.crc32(F.col(text)).alias("_t2")]
+    rows = labelled.select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), *same, F.xxhash64(*named(plain)).alias("_row"))
+    groups = rows.groupBy("_lang", "_t1", "_t2").agg(F.count("*").alias("_n"), F.min("_row").alias("_row"))
+    groups = written(groups, "language-texts")
+    sizes = groups.groupBy("_lang").agg(F.sum("_n").alias("_rows"))
+    part = F.least(F.lit(1.0), F.lit(float(fit_rows)) / F.col("_rows"))
+    point = F.pmod(F.col("_t1"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = groups.join(F.broadcast(sizes), "_lang") if _few(sizes) else groups.join(sizes, "_lang")
+    chosen = chosen.withColumn("_times", F.floor(F.col("_n") * part + point)).where(F.col("_times") > 0)
+    chosen = written(chosen.select("_lang", "_t1", "_t2", "_row", "_times"), "language-sample")
+    # One row of each group is joined, so that a group of copies is not gathered.
+    key = ["_lang", "_t1", "_t2"]
+    sample = rows.join(chosen, [*key, "_row"]).dropDuplicates(key).select("_lang", "_text", "_times")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in pc.unique(batch.column(0)).to_pylist():
-                own = batch.column(1).filter(pc.equal(batch.column(0), name))
-                for _, _, texts in chunks(own):
-                    codes, n = np.unique(grams_of(texts)[0], return_counts=True)
+                own = batch.filter(pc.equal(batch.column(0), name))
+                for a, b, texts in chunks(own.column(1)):
+                    codes, counts = grams_of(texts)
+                    times = np.repeat(own.column(2).slice(a, b - a).to_numpy(), counts)
+                    codes, which = np.unique(codes, return_inverse=True)
+                    n = np.bincount(which, weights=times, minlength=len(codes))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([name] * len(codes), pa.string()),

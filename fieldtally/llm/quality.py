@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from fieldtally.llm.shared import named, written
 
-#: Labelled documents that the classifier is fitted on, at most (nearly): a sample by hash.
+#: Labelled documents that the classifier is fitted on, at most (nearly): a sample by hash, in which
+#: documents with equal measures are one row with a weight.
 FIT_ROWS = 20_000
 SYMBOLS = "#*$%&|<>"
 MEASURES = ("symbols", "marks", "capitals", "digits", "blanks", "repeated", "word_size", "n_words", "lines")
@@ -72,12 +73,16 @@ class Classifier:
         return F.greatest(F.least(total, F.lit(12.0)), F.lit(-12.0))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> Classifier:
-    """Ridge logistic regression by Newton's method on scaled measures."""
+def logistic(
+    x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30, times: np.ndarray | None = None
+) -> Classifier:
+    """Ridge logistic regression by Newton's method on scaled measures; a row counts `times`."""
+    times = np.ones(len(y)) if times is None else times
     if len(y) == 0 or y.min() == y.max():
-        rate = (y.sum() + 0.5) / (len(y) + 1)
+        rate = ((times * y).sum() + 0.5) / (times.sum() + 1)
         return Classifier([0.0] * x.shape[1], float(np.log(rate / (1 - rate))))
-    mean, scale = x.mean(axis=0), x.std(axis=0)
+    mean = np.average(x, axis=0, weights=times)
+    scale = np.sqrt(np.average((x - mean) ** 2, axis=0, weights=times))
     scale[scale == 0] = 1.0
     a = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(a.shape[1])
@@ -85,8 +90,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (p - y) + penalty * w
-        curve = (a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty)
+        gradient = a.T @ (times * (p - y)) + penalty * w
+        curve = (a * (times * p * (1 - p))[:, None]).T @ a + np.diag(penalty)
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-8:
@@ -108,14 +113,18 @@ def measured(
 
 
 def fit(rows: DataFrame, label: str = "_label", fit_rows: int = FIT_ROWS) -> Classifier:
-    """Fit on measured rows with a label; rows beyond `fit_rows` are sampled by a hash of their measures."""
+    """Fit on measured rows with a label. Of more than `fit_rows`, every group of equal measures and label
+    gives its part, rounded up or down by a hash: copies count for what they are, in one row."""
     known = rows.where(F.col(label).isNotNull())
+    values = [F.col(f"_{m}") for m in MEASURES]
+    groups = known.groupBy(*values, F.col(label).cast("double").alias("_y")).agg(F.count("*").alias("_n"))
     n = known.count()
     if n > fit_rows:
-        point = F.pmod(F.xxhash64(*(f"_{m}" for m in MEASURES)), F.lit(1 << 30))
-        known = known.where(point < int(fit_rows / n * (1 << 30)))
-    part = known.select(*(f"_{m}" for m in MEASURES), F.col(label).cast("double")).toPandas().to_numpy(dtype=float)
-    return logistic(part[:, :-1], part[:, -1])
+        point = F.pmod(F.xxhash64(*values, "_y"), F.lit(1 << 30)) / float(1 << 30)
+        groups = groups.withColumn("_n", F.floor(F.col("_n") * (fit_rows / n) + point)).where(F.col("_n") > 0)
+    part = groups.select(*values, "_y", F.col("_n").cast("double")).toPandas().to_numpy(dtype=float)
+    part = part[np.lexsort(part.T)]  # sums in one order
+    return logistic(part[:, :-2], part[:, -2], times=part[:, -1])
 
 
 def _strength(groups: DataFrame, mean: Column) -> float:

@@ -72,3 +72,28 @@ def test_the_sample_is_bounded(spark):
     docs = docs.union(spark.createDataFrame([(9000, "une autre", "fr")], docs.schema))
     model = language.fit(docs, fit_rows=100)
     assert model.languages == ["en", "fr"]
+
+
+def test_copies_of_one_text_take_their_part_of_the_sample(spark, monkeypatch):
+    """A third of the rows is one text; by a hash of the text all of them went in, or none."""
+    seen = spark.sparkContext.accumulator(0)
+    whole = language.grams_of
+
+    def counted(texts):
+        seen.add(len(texts))
+        return whole(texts)
+
+    monkeypatch.setattr(language, "grams_of", counted)
+    got = []
+    build = language.build
+    monkeypatch.setattr(language, "build", lambda lang, gram, n, *a: got.append(dict(zip(gram, n))) or build(lang, gram, n, *a))
+    code = sum(ord(c) << 21 * i for i, c in enumerate("qqq"))
+    for copy in ("qqq", "qqq qqq", "qqq b"):
+        docs = spark.range(2000).selectExpr("id AS doc_id", f"if(id % 2 = 0, '{copy}', concat('word ', uuid())) AS text", "'en' AS lang")
+        docs = language.written(docs, "test-copies")
+        seen.value = 0
+        language.fit(docs, fit_rows=100)
+        assert 20 <= seen.value <= 100  # the copies are one of them
+        assert 49 <= got[-1][code] / copy.count("qqq") <= 51
+
+

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,26 @@ def test_quality_without_usable_labels(spark):
     rows = quality.judge(docs, labels, *args).collect()
     assert len(rows) == 3 and all(abs(r.p_quality - 0.5) < 1e-6 for r in rows)
     assert quality.judge(docs.where("doc_id > 9"), labels, *args).count() == 0
+
+
+def test_copies_take_their_part_of_the_fit(spark, monkeypatch):
+    """Half of the labelled rows have equal measures; by a hash of them all went in, or none."""
+    names = [f"_{m}" for m in quality.MEASURES]
+    fitted = []
+    monkeypatch.setattr(quality, "logistic", lambda x, y, times: fitted.append((x, y, times)))
+    for value in range(4):
+        rows = [(float(value if i % 2 else 100 + i), *[0.0] * (len(names) - 1), i % 3 // 2) for i in range(6000)]
+        frame = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names) + ", _label int")
+        quality.fit(frame, fit_rows=300)
+        x, y, times = fitted[-1]
+        assert len(y) <= 200 and 250 <= times.sum() <= 350
+        assert 148 <= times[x[:, 0] == value].sum() <= 152
+
+
+def test_a_weighted_fit_is_that_of_the_repeated_rows():
+    rnd = np.random.default_rng(1)
+    x, times = rnd.normal(size=(60, 9)), rnd.integers(1, 5, 60)
+    y = (x[:, 0] + rnd.normal(size=60) > 0).astype(float)
+    one = quality.logistic(x, y, times=times.astype(float))
+    other = quality.logistic(np.repeat(x, times, axis=0), np.repeat(y, times))
+    assert np.allclose([*one.weights, one.constant], [*other.weights, other.constant])
