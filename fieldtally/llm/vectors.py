@@ -144,7 +144,7 @@ def nearest(
         _up_to(down).alias("row"),
         "vec_id", "v", F.lit(0).cast("long").alias("tag"), F.lit(False).alias("is_query"),
     )
-    asked = rows.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("spread", F.xxhash64("vec_id"))
+    asked = rows.where(is_query).dropDuplicates(["vec_id", "v"]).withColumn("spread", F.xxhash64("vec_id", "v"))
     as_query = asked.select(
         _up_to(across).alias("column"),
         F.pmod("spread", F.lit(down)).alias("row"),

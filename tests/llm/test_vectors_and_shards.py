@@ -68,6 +68,24 @@ def test_repeated_rows_are_repeated_candidates(spark):
     assert sorted(map(tuple, found)) == [(0, 1, 3, 2.0), (0, 2, 3, 2.0)]
 
 
+def test_vectors_of_one_id_are_spread_over_blocks(spark, monkeypatch):
+    """All queries had one id's block; a tile then held all of its vectors."""
+    rnd = np.random.default_rng(6)
+    rows = [(20, rnd.normal(size=4).tolist()) for _ in range(400)] + [(i, rnd.normal(size=4).tolist()) for i in range(1, 9)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen = spark.sparkContext.accumulator(0)
+    whole = vectors.tile
+
+    def tile(q_ids, q, c_ids, c, k):
+        seen.add(int(len(q) > 100))
+        return whole(q_ids, q, c_ids, c, k)
+
+    monkeypatch.setattr(vectors, "tile", tile)
+    found = vectors.nearest(frame, F.col("vec_id") % 20 == 0, k=3, queries=50).collect()
+    assert len(found) == 400 * 3 and {r.vec_id for r in found} <= set(range(1, 9))
+    assert seen.value == 0
+
+
 def test_bounds_hold():
     rnd = np.random.default_rng(0)
     for scale in (1e-12, 1.0, 1e12):
