@@ -140,7 +140,7 @@ def write(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary.encoder(vocabulary_path)
+        encode = vocabulary.document_encoder(vocabulary_path)
         shard = TaskContext.get().partitionId()
         names, counts, parts, held = [], [], [], 0
         segment = first = 0
@@ -163,7 +163,7 @@ def write(
 
         for batch in batches:
             for a, b, texts in chunks(batch.column(2)):
-                ids, n, _, _ = encode(texts)
+                ids, n = encode(texts)
                 ids, bounds = vocabulary.with_end(ids, n, end_id)
                 names.append(batch.column(0).slice(a, b - a))
                 counts.append(n + 1)

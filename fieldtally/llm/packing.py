@@ -125,7 +125,7 @@ def pack(
     first = T.StructType([*schema.fields, T.StructField("open_group", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = vocabulary.encoder(vocabulary_path)
+        encode = vocabulary.document_encoder(vocabulary_path)
         part = TaskContext.get().partitionId()
         windows = Windows(window, open_windows, least_cut)
         kept: dict[int, tuple] = {}  # documents with a piece in an open window: id, ids, open pieces
@@ -152,7 +152,7 @@ def pack(
             id_kind = batch.column(0).type
             names = batch.column(0).to_pylist()
             for a, b, texts in chunks(batch.column(1)):
-                ids, n, _, _ = encode(texts)
+                ids, n = encode(texts)
                 ids, bounds = vocabulary.with_end(ids, n, end_id)
                 made: list[tuple] = []
                 for i in range(b - a):

@@ -56,6 +56,28 @@ def test_slices_of_the_other_library(tokenizer):
     assert split(ids, counts) == [e.ids for e in tokenizer.encode_batch(given, add_special_tokens=False)]
 
 
+END = "<|endoftext|>"
+
+
+def test_documents_are_encoded_as_by_the_library(spark):
+    """Special tokens in a text were encoded as ordinary text."""
+    library = Tokenizer.from_file(queries.VOCABULARY)
+    rnd = random.Random(3)
+    some = [f"a{END}b", END, END * 3, f" {END} x  ", f"{END}\n", "<|endoftext", f"<|endoftext{END}|>", f"{'w ' * 9000}{END}'s"]
+    mixed = ["".join(rnd.choice([END, *texts(40, k)]) for _ in range(5)) for k in range(60)]
+    for given in (some, ["", *some, ""], mixed, texts(50), []):
+        ids, counts = vocabulary.document_encoder(queries.VOCABULARY)(given)
+        wanted = [library.encode(t, add_special_tokens=False).ids for t in given]
+        assert counts.tolist() == [len(w) for w in wanted] and ids.tolist() == [i for w in wanted for i in w]
+    docs = spark.createDataFrame([(1, f"a{END}b"), (2, None)], "doc_id long, text string")
+    path = folder(spark, "test-special")
+    bitpack.write(docs, path, queries.VOCABULARY, end_id=2, shards=2)
+    want = {1: np.array([64, 50256, 65, 2], dtype="<u4").tobytes(), 2: np.array([2], dtype="<u4").tobytes()}
+    assert {r.doc_id: bytes(r.ids) for r in bitpack.read(spark, path).collect()} == want
+    rows = packing.pack(docs, queries.VOCABULARY, 2).collect()
+    assert {r.doc_id: bytes(r.ids) for r in rows} == want
+
+
 def test_offsets_decode_single_slices(tiktokens):
     text = "it's  been 12 days..."
     ids, _, firsts, n = bpe.rank_encoder(queries.RANKS)([text])
