@@ -19,7 +19,7 @@ from fieldtally.llm import jaccard, language, lines, packing, pii
 from fieldtally.llm.shared import fresh, named, table, written
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-#: Share of a document's n-grams that its language must know. Running text has 0.6 and more.
+#: Least score of a document, as a part of the usual score of its language's labelled documents.
 LEAST_SCORE = 0.4
 END_ID = 1
 
@@ -36,7 +36,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs)
     found, score = fresh("lang_pred", docs.columns), fresh("score", docs.columns)
     judged = language.identify(docs, model, lang_out=found, score_out=score)
-    known = (F.col(found) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)
+    of, usual = fresh("language", judged.columns), fresh("usual", judged.columns)
+    limits = language.usual_scores(docs, model).select(F.col("language").alias(of), F.col("usual").alias(usual))
+    judged = judged.join(limits, F.col(found) == F.col(of), "left")
+    least = LEAST_SCORE * F.coalesce(usual, F.lit(1.0))
+    known = (F.col(found) != language.UNKNOWN) & (F.col(score) >= least)
     return judged.where(known).select(*named(docs.columns))
 
 

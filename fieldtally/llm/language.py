@@ -37,8 +37,8 @@ UNKNOWN = "und"
 N = 3
 #: Documents learned from, per language at most (the fit is on a bounded sample).
 FIT_ROWS = 20_000
-#: N-grams listed per language at most, the most frequent first.
-GRAMS = 20_000
+#: Share of the n-gram occurrences of a language that its list covers at least, the most frequent first.
+COVER = 0.999
 #: An n-gram is listed where its frequency is at least this part of that in its foremost language.
 TYPICAL = 0.2
 PLACES = 3
@@ -125,7 +125,7 @@ def fit(
     text: str = "text",
     lang: str = "lang",
     fit_rows: int = FIT_ROWS,
-    grams: int = GRAMS,
+    cover: float = COVER,
     typical: float = TYPICAL,
     room: int = ROOM,
 ) -> Model:
@@ -133,7 +133,8 @@ def fit(
 
     Of more, every group of equal texts gives its part, rounded up or down by a hash of the text: the
     text is read once and its n-grams count as often as the part says.
-    Counting is distributed; the driver gets `grams` n-grams per language at most.
+    Counting is distributed; the driver gets the n-grams that cover the texts, whose number follows the
+    script: it is bounded by `fit_rows` texts per language.
     """
     ship(docs.sparkSession)
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -175,8 +176,14 @@ def fit(
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    ranked = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    listed = counted.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= grams)
+    counted = written(counted, "language-grams")
+    # By how often a gram occurs, so that no window holds all grams of a language.
+    levels = counted.groupBy("lang", "n").agg(F.sum("n").alias("occurrences"))
+    more = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    levels = levels.withColumn("before", F.coalesce(F.sum("occurrences").over(more), F.lit(0)))
+    levels = levels.withColumn("total", F.sum("occurrences").over(Window.partitionBy("lang")))
+    least = levels.where(F.col("before") < cover * F.col("total")).groupBy("lang").agg(F.min("n").alias("least"))
+    listed = counted.join(least, "lang").where(F.col("n") >= F.col("least"))
     table = listed.select("lang", "gram", "n").toPandas()
     return build(table["lang"].to_numpy(), table["gram"].to_numpy(), table["n"].to_numpy(), typical, room)
 
@@ -226,7 +233,7 @@ def identify(
             T.StructField(score_out, T.DoubleType()),
         ]
     )
-    # The model's size is bounded by `grams` and the number of languages, not by the documents.
+    # The model's size is bounded by the texts learned from per language, not by the documents.
     sent = spark.sparkContext.broadcast((model.languages, model.masks, model.false))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,3 +247,11 @@ def identify(
                 )
 
     return frame.mapInArrow(run, schema)
+
+
+def usual_scores(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """language, usual: the median score of the labelled documents that are identified as their language."""
+    label, score = F.col("language"), F.col("score")
+    labelled = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("language"), F.col(text).alias("text"))
+    own = identify(labelled, model, keep=["language"]).where(label == F.col("lang_pred"))
+    return written(own.groupBy("language").agg(F.percentile_approx(score, 0.5).alias("usual")), "language-scores")

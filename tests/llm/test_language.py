@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from fieldtally.llm import language, queries
 
 
@@ -97,3 +98,27 @@ def test_copies_of_one_text_take_their_part_of_the_sample(spark, monkeypatch):
         assert 49 <= got[-1][code] / copy.count("qqq") <= 51
 
 
+def signs(rnd, n):
+    return "".join(map(chr, rnd.integers(0x4E00, 0x9F00, n)))
+
+
+def test_a_script_with_many_grams_is_listed_and_kept(spark):
+    """150,000 n-grams: a list of 20,000 knew an eighth of each text, and all were rejected."""
+    rnd = np.random.default_rng(2)
+    rows = [(i, signs(rnd, 500), "zh") for i in range(300)] + [(1000 + i, f"the text of it {i}", "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert corpus_pipeline.language_id(spark, docs, "").count() == len(rows)
+
+
+def test_the_limit_is_that_of_the_language(spark, monkeypatch):
+    """Texts of which three tenths are common: all of the language score about as much."""
+    rnd = np.random.default_rng(3)
+    common = [signs(rnd, 10) for _ in range(15)]
+    rows = [(i, " ".join([*common, *(signs(rnd, 10) for _ in range(35))]), "zh") for i in range(400)]
+    rows += [(1000 + i, "the text of it is the same in every document", "en") for i in range(20)]
+    rows += [(2000, " ".join(signs(rnd, 10) for _ in range(50)), None)]  # nothing of it is known
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fit = language.fit
+    monkeypatch.setattr(language, "fit", lambda docs: fit(docs, fit_rows=40))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - {2000}
