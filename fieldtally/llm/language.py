@@ -37,6 +37,8 @@ UNKNOWN = "und"
 N = 3
 #: Documents learned from, per language at most (the fit is on a bounded sample).
 FIT_ROWS = 20_000
+#: Rows of the sample's keys (about 40 bytes each) that are sent to every task; more are shuffled with the texts.
+SENT = 500_000
 #: Share of the n-gram occurrences of a language that its list covers at least, the most frequent first.
 COVER = 0.999
 #: An n-gram is listed where its frequency is at least this part of that in its foremost language.
@@ -151,6 +153,8 @@ def fit(
     chosen = written(chosen.select("_lang", "_t1", "_t2", "_row", "_times"), "language-sample")
     # One row of each group is joined, so that a group of copies is not gathered.
     key = ["_lang", "_t1", "_t2"]
+    if chosen.count() <= SENT:
+        chosen = F.broadcast(chosen)
     sample = rows.join(chosen, [*key, "_row"]).dropDuplicates(key).select("_lang", "_text", "_times")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
