@@ -8,7 +8,22 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldtally.llm import bitpack, bpe, jaccard, language, lines, oracle, packing, pii, quality, shards, vectors
+from fieldtally.llm import (
+    bitpack,
+    bpe,
+    jaccard,
+    language,
+    lines,
+    negatives,
+    oracle,
+    packing,
+    pii,
+    prefix_trie,
+    quality,
+    shards,
+    superminhash,
+    vectors,
+)
 from fieldtally.llm.shared import folder, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -110,10 +125,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label, vec_id = F.col("label"), F.col("vec_id")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(table(spark, sf_dir, "embeddings"), vec_id % 100 == 0, moved)
+
+
+def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_pii, op2_quality, op3_packing, op4_jaccard, op5_binary_ids, op6_language, op7_lines, op8_neighbours, op9_sharding,
-        op10_byte_bpe,
+        op10_byte_bpe, op11_hard_negatives, op12_superminhash, op13_prefix_trie,
     )
     return {f.__name__: f for f in found}
 
