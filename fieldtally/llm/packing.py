@@ -7,8 +7,9 @@ up with a piece cut from the rest and emitted. What stays open at the end of a p
 afterwards, partitions in groups of fixed size, by cutting: a group leaves one partial sequence.
 
 Defined cases: a null text counts as empty, that is only the end id; repeated rows are packed again;
-a null doc_id stays null; an empty table gives no piece. A document longer than a window is cut, so
-memory follows the open windows and the longest single text.
+a null doc_id stays null, and ids of any type are passed on unchanged; an empty table gives no piece.
+A document longer than a window is cut. Of a document only the slices in open windows are kept, so a
+task holds its open windows and one chunk of texts, or the longest single text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -128,17 +128,19 @@ def pack(
         encode = vocabulary.document_encoder(vocabulary_path)
         part = TaskContext.get().partitionId()
         windows = Windows(window, open_windows, least_cut)
-        kept: dict[int, tuple] = {}  # documents with a piece in an open window: id, ids, open pieces
+        chunk: dict[int, tuple] = {}  # documents of the chunk at hand: id, ids
+        kept: dict[tuple[int, int], tuple] = {}  # slices in open windows: id, ids of the document, slice
         number = 0
 
         def rows(done, group_of) -> Iterator[tuple]:
             for sequence, pieces in done:
                 for document, start, length, offset in pieces:
-                    name, ids = kept[document]
-                    yield (
-                        name, start, length, len(ids), part << 32 | sequence, offset,
-                        ids[start : start + length].tobytes(), group_of,
-                    )
+                    if (document, start) in kept:
+                        name, total, ids = kept.pop((document, start))
+                    else:
+                        name, whole = chunk[document]
+                        total, ids = len(whole), whole[start : start + length]
+                    yield name, start, length, total, part << 32 | sequence, offset, ids.tobytes(), group_of
 
         def batch_of(made: list[tuple], names: pa.DataType) -> pa.RecordBatch:
             kinds = [names, *[pa.int64()] * 5, pa.binary(), pa.int32()]
@@ -156,36 +158,40 @@ def pack(
                 ids, bounds = vocabulary.with_end(ids, n, end_id)
                 made: list[tuple] = []
                 for i in range(b - a):
-                    kept[number] = names[a + i], ids[bounds[i] : bounds[i + 1]]
-                    made += rows(windows.add(number, len(kept[number][1])), None)
+                    chunk[number] = names[a + i], ids[bounds[i] : bounds[i + 1]]
+                    made += rows(windows.add(number, len(chunk[number][1])), None)
                     number += 1
                 yield batch_of(made, id_kind)
-                # Keep what open windows still need, as copies, and let go of the chunk.
-                needed = {p[0] for pieces in windows.content.values() for p in pieces}
-                kept = {d: (kept[d][0], kept[d][1].copy()) for d in needed}
+                # Slices in open windows are copied, once; the chunk is let go.
+                for pieces in windows.content.values():
+                    for document, start, length, _ in pieces:
+                        if (document, start) not in kept:
+                            name, whole = chunk[document]
+                            kept[document, start] = name, len(whole), whole[start : start + length].copy()
+                chunk.clear()
         if id_kind is not None:
             yield batch_of(list(rows(windows.left(), part // group)), id_kind)
 
     packed = written(frame.mapInArrow(run, first), "packing", compression="zstd")
 
-    def merge(left: pd.DataFrame) -> pd.DataFrame:
-        """Leftover pieces end to end, cut wherever a window is full."""
-        left = left.sort_values(["sequence_id", "offset"])
-        base = 1 << 62 | int(left["open_group"].iloc[0]) << 32
+    def merge(left: pa.Table) -> pa.Table:
+        """Leftover pieces end to end, cut wherever a window is full. Ids stay in Arrow, as they are."""
+        left = left.sort_by([("sequence_id", "ascending"), ("offset", "ascending")])
+        base = 1 << 62 | left["open_group"][0].as_py() << 32
+        starts, lengths, totals = (left[c].to_pylist() for c in ("start", "length", "doc_tokens"))
         at, made = 0, []
-        for row in left.itertuples(index=False):
-            done = 0
-            while done < row.length:
-                n = min(row.length - done, window - at % window)
-                made.append(
-                    (
-                        row[0], row.start + done, n, row.doc_tokens, base + at // window, at % window,
-                        row.ids[4 * done : 4 * (done + n)],
-                    )
-                )
+        for i, (start, length, total) in enumerate(zip(starts, lengths, totals, strict=True)):
+            done, content = 0, left["ids"][i].as_py()
+            while done < length:
+                n = min(length - done, window - at % window)
+                cut = content[4 * done : 4 * (done + n)]
+                made.append((i, start + done, n, total, base + at // window, at % window, cut))
                 done, at = done + n, at + n
-        return pd.DataFrame(made, columns=schema.names).astype({id_col: left[id_col].dtype})
+        of, *columns = zip(*made, strict=True)
+        names = left[id_col].take(pa.array(of))
+        arrays = [pa.array(c, k) for c, k in zip(columns, [*[pa.int64()] * 5, pa.binary()], strict=True)]
+        return pa.Table.from_arrays([names, *arrays], names=schema.names)
 
     finished = packed.where(F.col("open_group").isNull()).drop("open_group")
     leftover = packed.where(F.col("open_group").isNotNull())
-    return finished.unionByName(leftover.groupBy("open_group").applyInPandas(merge, schema))
+    return finished.unionByName(leftover.groupBy("open_group").applyInArrow(merge, schema))

@@ -12,7 +12,9 @@ to the span's boundaries and validates it:
     iban    after its cue: country, check digits and account with the right remainder
     key     an access key by its fixed beginning
     secret  the value given to a password, token or the like
+    account after its cue: 8 to 17 digits, one blank or hyphen between them at most, no word behind them
 
+Cues and schemes count in upper, lower or mixed case, beginnings of keys as they are written.
 Matches of one kind do not overlap and are found from the left; a match that fails validation is
 passed over as a whole. Places count code points, ends are exclusive.
 
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 from fieldtally.llm.shared import chunks, named, ship, with_text
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "login", "iban", "key", "secret")
+KINDS = (*BASE, "login", "iban", "key", "secret", "account")
 _ORDER = {kind: i for i, kind in enumerate(KINDS)}
 
 _DIGITS = frozenset("0123456789")
@@ -46,9 +48,14 @@ _DIALLED = _DIGITS | frozenset(" ().-")
 _VALUE = _WORD | frozenset("._~+/=!#$%^&*-")
 
 # Beginnings and cues.
-SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "postgres://", "mysql://", "redis://")
+SCHEMES = (
+    "http://", "https://", "ftp://", "ftps://", "sftp://", "ssh://", "postgres://", "postgresql://", "mysql://",
+    "mariadb://", "redis://", "rediss://", "mongodb://", "mongodb+srv://", "amqp://", "amqps://", "ldap://",
+    "ldaps://", "smtp://", "imap://", "ws://", "wss://",
+)
 KEY_BEGINNINGS = {"AKIA": 20, "ASIA": 20, "ghp_": 40, "gho_": 40}  # length of the whole key
 SECRET_CUES = ("password", "passwd", "secret", "token", "api_key", "apikey", "api-key")
+ACCOUNT_CUES = ("account number", "account no", "account nr", "acct number", "acct no", "kontonummer")
 
 Span = tuple[int, int, str]
 
@@ -59,16 +66,25 @@ def _anchors():
 
     automaton = ahocorasick.Automaton()
     found = {"@": "email", "+": "phone"} | dict.fromkeys("0123456789", "digit")
-    found |= {f(s): "login" for s in SCHEMES for f in (str.lower, str.upper)}
-    found |= {f("iban"): "iban" for f in (str.lower, str.upper)}
-    found |= dict.fromkeys(KEY_BEGINNINGS, "key")
-    found |= {f(c): "secret" for c in SECRET_CUES for f in (str.lower, str.upper, str.capitalize)}
+    found |= dict.fromkeys(SCHEMES, "login") | {"iban": "iban"} | dict.fromkeys(ACCOUNT_CUES, "account")
+    found |= dict.fromkeys(SECRET_CUES, "secret")
     for word, kind in found.items():
         automaton.add_word(word, (kind, word))
+    for word in KEY_BEGINNINGS:
+        automaton.add_word(word.lower(), ("key", word))
     automaton.make_automaton()
     return automaton
 
 
+_FOLD = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def _folded(text: str) -> str:
+    """The text in lower case, place by place."""
+    lowered = text.lower()
+    return lowered if len(lowered) == len(text) else text.translate(_FOLD)
+
+
 def _run(text: str, at: int, allowed: frozenset) -> int:
     n = len(text)
     while at < n and text[at] in allowed:
@@ -185,25 +201,45 @@ def _iban(text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
-def _key(text: str, at: int, size: int) -> tuple[int, int] | None:
-    if at and text[at - 1] in _WORD:
+_KEY = _WORD | {"_"}
+
+
+def _key(text: str, at: int, word: str, run: int) -> tuple[int, bool]:
+    """(end of the run of key characters from here, whether it is a key); run: end of the last such run."""
+    end = run if at < run else _run(text, at, _KEY)
+    right = text.startswith(word, at) and not (at and text[at - 1] in _WORD)
+    return end, right and end - at == KEY_BEGINNINGS[word]
+
+
+def _account(text: str, at: int) -> tuple[int, int] | None:
+    while at < len(text) and text[at] in " .:=#":
+        at += 1
+    if text[at : at + 1] not in _DIGITS or not text[at : at + 1]:
         return None
-    end = _run(text, at, _WORD | {"_"})
-    return (at, end) if end - at == size else None
+    end, n = at + 1, 1
+    while end < len(text) and n < 18:
+        if text[end] in _DIGITS:
+            end, n = end + 1, n + 1
+        elif text[end] in " -" and text[end + 1 : end + 2] in _DIGITS and text[end + 1 : end + 2]:
+            end, n = end + 2, n + 1
+        else:
+            break
+    behind = text[end : end + 1]
+    return (at, end) if 8 <= n <= 17 and not (behind and behind in _KEY) else None
 
 
-def _secret(text: str, at: int) -> tuple[int, int] | None:
+def _secret(text: str, at: int) -> tuple[int, int, bool]:
+    """(start and end of the value, whether it is a secret); both are `at` where nothing is given."""
+    begun = at
     at += text[at : at + 1] in ('"', "'")
     at = _run(text, at, frozenset(" "))
     if text[at : at + 1] not in (":", "="):
-        return None
+        return begun, begun, False
     at = _run(text, at + 1, frozenset(" "))
     at += text[at : at + 1] in ('"', "'")
     end = _run(text, at, _VALUE)
     value = text[at:end]
-    if len(value) < 8 or not any(c in _DIGITS for c in value):
-        return None
-    return at, end
+    return at, end, len(value) >= 8 and any(c in _DIGITS for c in value)
 
 
 def spans_of(text: str | None) -> list[Span]:
@@ -211,8 +247,9 @@ def spans_of(text: str | None) -> list[Span]:
     if not text:
         return []
     found: list[Span] = []
-    taken = dict.fromkeys(("email", "card", "ip", "login", "iban", "key", "secret"), 0)
-    for last, (kind, word) in _anchors().iter(text):
+    taken = dict.fromkeys(("email", "card", "ip", "login", "iban", "key", "secret", "account"), 0)
+    run = 0
+    for last, (kind, word) in _anchors().iter(_folded(text)):
         if kind == "digit":
             if last >= taken["card"]:
                 end, right = _card(text, last)
@@ -233,10 +270,18 @@ def spans_of(text: str | None) -> list[Span]:
             span = _login(text, last + 1)
         elif kind == "iban":
             span = _iban(text, last + 1)
+        elif kind == "account":
+            span = _account(text, last + 1)
         elif kind == "key":
-            span = _key(text, last + 1 - len(word), KEY_BEGINNINGS[word])
+            at = last + 1 - len(word)
+            run, right = _key(text, at, word, run)
+            span = (at, run) if right else None
         else:
-            span = _secret(text, last + 1)
+            at, end, right = _secret(text, last + 1)
+            span = (at, end) if right else None
+            # A cue inside a value that is none gets a part of that value, which is none either. Only a
+            # cue that ends with the value, or one place before, may be given something behind it.
+            taken["secret"] = max(taken["secret"], end - 2)
         if span:
             found.append((*span, kind))
             if kind != "phone":

@@ -163,6 +163,16 @@ def test_empty_tables(spark):
     assert bpe.encode(none, queries.RANKS).count() == 0
 
 
+def test_leftovers_keep_their_ids(spark):
+    big = [(2**60 + 1, "a b"), (2**60 + 3, "c"), (None, "d e f"), (2**60 + 5, None)]
+    docs = spark.createDataFrame(big, "doc_id long, text string").coalesce(1)
+    rows = packing.pack(docs, queries.VOCABULARY, 1).collect()
+    assert sorted(map(str, (r.doc_id for r in rows))) == sorted(str(i) for i, _ in big)
+    assert len({r.sequence_id for r in rows}) == 1
+    names = packing.pack(docs.selectExpr("cast(doc_id AS string) AS doc_id", "text"), queries.VOCABULARY, 1)
+    assert sorted(map(str, (r.doc_id for r in names.collect()))) == sorted(str(i) for i, _ in big)
+
+
 def check_packing(rows, wanted, window):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
