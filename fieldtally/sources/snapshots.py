@@ -1,7 +1,9 @@
 """Snapshots as files: exported CSV in, dated snapshots and season-partitioned counts out.
 
 The CSV dialect is that of the exports: text in quotes, a quote inside it doubled, backslashes
-without meaning.
+without meaning. Text in quotes may hold line breaks: `line_breaks` says how such files are read,
+"none" (there are none; one pass), "split" (two passes, every split of a file by its own task), or
+"file" (one task per file).
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from fieldtally import fixed_values as fixed
 from fieldtally.functions.labels import season_start
 from fieldtally.functions.missing import blank_to_null
+from fieldtally.sources import quoted
 
 
 def _typed(text: Column, kind: str) -> Column:
@@ -27,11 +30,13 @@ def _typed(text: Column, kind: str) -> Column:
 
 
 def _text(
-    spark: SparkSession, path: str, header: Mapping[str, tuple[str, str]], multiline: bool
+    spark: SparkSession, path: str, header: Mapping[str, tuple[str, str]], line_breaks: str
 ) -> DataFrame:
     """Listed columns as they are written."""
-    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=multiline)
-    raw = reader.csv(path)
+    if line_breaks not in ("none", "split", "file"):
+        raise ValueError(f"no way of reading line breaks: {line_breaks}")
+    reader = spark.read.options(header=True, quote='"', escape='"', multiLine=line_breaks == "file")
+    raw = quoted.read_text(spark, path) if line_breaks == "split" else reader.csv(path)
     absent = [name for name in header if name not in raw.columns]
     if absent:
         raise ValueError(f"columns not in {path}: {absent}")
@@ -42,7 +47,7 @@ def _read_csv(
     spark: SparkSession,
     path: str,
     header: Mapping[str, tuple[str, str]],
-    multiline: bool = False,
+    line_breaks: str = "none",
 ) -> DataFrame:
     """Listed columns by header name, each with its declared type.
 
@@ -50,7 +55,7 @@ def _read_csv(
     and columns not listed are left out. Empty text and ``NA`` become null, as does text that is
     not of the declared type; `unparsed_cells` counts such text.
     """
-    return _text(spark, path, header, multiline).select(
+    return _text(spark, path, header, line_breaks).select(
         *[
             _typed(F.col(f"`{source}`"), kind).alias(name)
             for source, (name, kind) in header.items()
@@ -63,9 +68,10 @@ def unparsed_cells(
     path: str,
     header: Mapping[str, tuple[str, str]],
     multiline: bool = False,
+    line_breaks: str = "none",
 ) -> DataFrame:
     """Per column: cells with text, and those of them that are not of the declared type. One pass."""
-    text = _text(spark, path, header, multiline)
+    text = _text(spark, path, header, "file" if multiline else line_breaks)
     counted = text.agg(
         *[
             F.struct(
@@ -84,19 +90,23 @@ def unparsed_cells(
     return counted.select(F.inline(F.array(*rows)))
 
 
-def read_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Counts are large: files stay splittable, so a text has no line break."""
-    return _read_csv(spark, path, fixed.COUNTS_HEADER)
+def read_counts(spark: SparkSession, path: str, line_breaks: str = "split") -> DataFrame:
+    """Counts are large: their files stay splittable, also with line breaks inside quoted text."""
+    return _read_csv(spark, path, fixed.COUNTS_HEADER, line_breaks)
 
 
-def read_membership(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """``multiline`` allows line breaks in quoted text; a file is then read by one task."""
-    return _read_csv(spark, path, fixed.MEMBERSHIP_HEADER, multiline)
+def read_membership(
+    spark: SparkSession, path: str, multiline: bool = False, line_breaks: str = "split"
+) -> DataFrame:
+    """``multiline`` says the same as line breaks read by file."""
+    return _read_csv(spark, path, fixed.MEMBERSHIP_HEADER, "file" if multiline else line_breaks)
 
 
-def read_second_source(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """``multiline`` allows line breaks in quoted text; a file is then read by one task."""
-    return _read_csv(spark, path, fixed.SECOND_SOURCE_HEADER, multiline)
+def read_second_source(
+    spark: SparkSession, path: str, multiline: bool = False, line_breaks: str = "split"
+) -> DataFrame:
+    """``multiline`` says the same as line breaks read by file."""
+    return _read_csv(spark, path, fixed.SECOND_SOURCE_HEADER, "file" if multiline else line_breaks)
 
 
 def write_csv_snapshot(df: DataFrame, base: str, name: str, day: date) -> str:
