@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.fixture import mapping as m
-from fieldtally.operators import checks, joins, merging, totals
+from fieldtally.operators import checks, differences, joins, merging, totals
 from fieldtally.operators.trend import residual_scale
 from fieldtally.plans import areas, charts, clusters, merged, species, study, trends
 from fieldtally.sources.warehouse import taxon_groups
@@ -17,6 +17,7 @@ Tables = m.SurveyTables
 CENSOR_LIMITS = (0, 0.5)
 TARGET = 500
 #: Rows of the sf0.01 tables; other sizes are reported as not agreeing.
+BUCKETS = 8
 EXPECTED_ROWS = {"all": 11189, "period": 8603, "valley": 7646}
 
 
@@ -61,6 +62,13 @@ def _area_curve(name: str):
 PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     # sources
     "star_counts": lambda t: t.star_counts(),
+    "bucketed_star_counts": lambda t: t.star_counts(BUCKETS),
+    "counts_by_csv": lambda t: t.counts_by_csv(),
+    "ordered_counts": lambda t: t.ordered_counts(("season", "-individuals")),
+    "changed_rows": lambda t: differences.changed_rows(t.earlier_counts(), t.counts_with_survey()),
+    "changes_per_survey": lambda t: differences.changes_per_group(
+        t.earlier_counts(), t.counts_with_survey(), ["survey"]
+    ),
     "taxon_groups": lambda t: taxon_groups(t.taxa()),
     "area_membership": lambda t: t.members(),
     "cluster_membership": lambda t: t.clusters(),

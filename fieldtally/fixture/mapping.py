@@ -14,7 +14,9 @@ from fieldtally.functions.labels import relabel, season_label, season_of_date, w
 from fieldtally.operators.merging import wrangle_second_source
 from fieldtally.plans.species import SpeciesChoice
 from fieldtally.plans.study import Study
-from fieldtally.sources.warehouse import COUNT_COLUMNS, membership, star_counts
+from fieldtally.session import shared_path
+from fieldtally.sources import ordered, snapshots
+from fieldtally.sources.warehouse import COUNT_COLUMNS, SAMPLE_KEY, membership, star_counts, write_bucketed
 
 STATUSES = ("F", "O")
 SKIP_COVERAGE = ("4-NOT SPECIFIED",)
@@ -147,11 +149,14 @@ class SurveyTables:
             "p_type AS taxon_group",
         )
 
-    def star_counts(self) -> DataFrame:
-        """The full star: six dimensions, fifteen columns."""
+    def star_counts(self, buckets: int | None = None) -> DataFrame:
+        """The full star: six dimensions, fifteen columns; of bucketed tables, if buckets are given."""
+        fact, samples = self._fact(), self._samples()
+        if buckets:
+            fact, samples = (write_bucketed(df, SAMPLE_KEY, buckets) for df in (fact, samples))
         return star_counts(
-            self._fact(),
-            self._samples(),
+            fact,
+            samples,
             [
                 (self._surveys(), "survey_key"),
                 (self._suppliers(), "location_key"),
@@ -203,6 +208,30 @@ class SurveyTables:
             columns,
         )
 
+    def earlier_counts(self) -> DataFrame:
+        """An earlier reading: other locations for one round, a lost and a doubled taxon, no coverage."""
+        counts = self.counts_with_survey()
+        moved = F.when(F.col("round") == "Maart", F.lit("NATION_0")).otherwise(F.col("location"))
+        coverage = F.when(F.col("coverage") != "5-LOW", F.col("coverage"))
+        copies = F.when(F.col("taxon") == "cold gear", 0).when(F.col("taxon") == "blue bolt", 2).otherwise(1)
+        once = F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("copy")
+        return counts.withColumns({"location": moved, "coverage": coverage}).select("*", once).drop("copy")
+
+    def counts_by_csv(self) -> DataFrame:
+        """Counts exported to CSV, with line breaks and quotes in a text, and read again by splits."""
+        text = F.concat(F.col("location"), F.lit('\n"plas", deel '), F.col("round_order").cast("string"))
+        counts = self.star_counts().withColumn("location", text)
+        lookup = {name: F.lit(None).cast("string") for name in ("taxon_group_code", "taxon_group")}
+        exported = snapshots.with_exported_names(counts.withColumns(lookup), fixed.COUNTS_HEADER)
+        path = shared_path(self.spark, "counts-csv")
+        exported.write.options(header=True, nullValue="NA", quote='"', escape='"').csv(path)
+        return snapshots.read_counts(self.spark, path).drop(*lookup)
+
+    def ordered_counts(self, keys: tuple[str, ...]) -> DataFrame:
+        """Counts written in the order of the keys, and read with their place."""
+        path = ordered.write_ordered(self.star_counts(), shared_path(self.spark, "ordered"), keys)
+        return ordered.read_ordered(self.spark, path)
+
     def counts_with_survey(self) -> DataFrame:
         return self.counts(
             extra=((self._surveys(), "survey_key"),), columns=(*COLUMNS, "survey")

@@ -115,6 +115,24 @@ valley_later AS (
 """
 
 
+_STAR = (
+    "SELECT substr(survey, 1, 3) AS survey_code, survey, "
+    "CAST(r_regionkey AS VARCHAR) AS region_code, r_name AS region, location_code, "
+    "location, season, round_code, round, round_order, "
+    "CAST(sample_date AS VARCHAR) AS sample_date, coverage, taxon, scientific_name, "
+    "individuals FROM counts"
+)
+
+# Two readings of the counts: the present one and an earlier one.
+_READINGS = (
+    "now AS (SELECT location_code, location, season_start, season, round_code, round, round_order, "
+    "CAST(sample_date AS VARCHAR) AS sample_date, coverage, taxon, scientific_name, individuals, "
+    "taxon_group_code, taxon_group, survey FROM counts)",
+    "earlier AS (SELECT * REPLACE (CASE WHEN round = 'Maart' THEN 'NATION_0' ELSE location END AS location, "
+    "nullif(coverage, '5-LOW') AS coverage) FROM (FROM now WHERE taxon <> 'cold gear' UNION ALL FROM now WHERE taxon = 'blue bolt'))",
+)
+
+
 def _query(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([_BASE, *ctes]) + "\n" + body
 
@@ -531,12 +549,33 @@ site_points AS (
 def oracle_sql() -> dict[str, str]:
     trend_points = [*_CELLS, _SERIES]
     return {
-        "star_counts": _query(
-            "SELECT substr(survey, 1, 3) AS survey_code, survey, "
-            "CAST(r_regionkey AS VARCHAR) AS region_code, r_name AS region, location_code, "
-            "location, season, round_code, round, round_order, "
-            "CAST(sample_date AS VARCHAR) AS sample_date, coverage, taxon, scientific_name, "
-            "individuals FROM counts"
+        "star_counts": _query(_STAR),
+        "bucketed_star_counts": _query(_STAR),
+        "counts_by_csv": _query(
+            "SELECT * REPLACE (location || chr(10) || '\"plas\", deel ' || CAST(round_order AS VARCHAR) AS location) "
+            f"FROM ({_STAR})"
+        ),
+        "ordered_counts": _query(
+            "SELECT *, row_number() OVER (ORDER BY season NULLS LAST, individuals DESC NULLS LAST, "
+            "survey_code NULLS LAST, survey NULLS LAST, region_code NULLS LAST, region NULLS LAST, "
+            "location_code NULLS LAST, location NULLS LAST, round_code NULLS LAST, round NULLS LAST, "
+            "round_order NULLS LAST, sample_date NULLS LAST, coverage NULLS LAST, taxon NULLS LAST, "
+            f"scientific_name NULLS LAST) AS place FROM ({_STAR})"
+        ),
+        "changed_rows": _query(
+            "SELECT *, count(*) AS n_gained, CAST(0 AS BIGINT) AS n_lost "
+            "FROM (FROM now EXCEPT ALL FROM earlier) GROUP BY ALL UNION ALL "
+            "SELECT *, CAST(0 AS BIGINT), count(*) FROM (FROM earlier EXCEPT ALL FROM now) GROUP BY ALL",
+            *_READINGS,
+        ),
+        "changes_per_survey": _query(
+            "SELECT b.survey, a.n AS n_old, b.n AS n_new, coalesce(g.n, 0) AS n_gained, coalesce(l.n, 0) AS n_lost "
+            "FROM b LEFT JOIN a USING (survey) LEFT JOIN g USING (survey) LEFT JOIN l USING (survey)",
+            *_READINGS,
+            "g AS (SELECT survey, count(*) AS n FROM (FROM now EXCEPT ALL FROM earlier) GROUP BY 1)",
+            "l AS (SELECT survey, count(*) AS n FROM (FROM earlier EXCEPT ALL FROM now) GROUP BY 1)",
+            "a AS (SELECT survey, count(*) AS n FROM earlier GROUP BY 1)",
+            "b AS (SELECT survey, count(*) AS n FROM now GROUP BY 1)",
         ),
         "taxon_groups": "SELECT p_name AS taxon, p_type AS taxon_group_code, "
         "p_type AS taxon_group FROM part",

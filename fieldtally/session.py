@@ -6,6 +6,7 @@ that was already configured keeps its own values.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
@@ -21,6 +22,10 @@ SETTINGS = {
     "spark.sql.files.maxPartitionBytes": "256MB",
     # Dimensions and memberships under this size are broadcast, larger ones are shuffled.
     "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    # Samples that pass their predicates are looked up in a Bloom filter while counts are read.
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1GB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
     # Dates and seasons must not depend on the zone of a machine.
     "spark.sql.session.timeZone": "UTC",
 }
@@ -31,3 +36,10 @@ def build_session(name: str, settings: Mapping[str, str] | None = None) -> Spark
     for key, value in {**SETTINGS, **(settings or {})}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that all executors share; beside the warehouse, if none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

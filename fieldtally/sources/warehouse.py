@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -69,6 +70,44 @@ def read_jdbc_table(
     return _renamed(df, table)
 
 
+#: The table of counts, that of samples, and the key by which they meet.
+FACT, SAMPLES, SAMPLE_KEY = "FactAnalyseSetOccurrence", "DimSample", "sample_key"
+
+
+def write_bucketed(
+    df: DataFrame, key: str, buckets: int, name: str | None = None, path: str | None = None
+) -> DataFrame:
+    """The frame as a table bucketed and sorted by a key, read back.
+
+    Each bucket is one file, made by one task: rows are dealt as the buckets are. Without a name a new
+    one is taken; without a path the table is in the warehouse.
+    """
+    spark = df.sparkSession
+    name = name or f"bucketed_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return spark.table(name)
+
+
+def with_buckets(
+    tables: Mapping[str, DataFrame], buckets: int, key: str = SAMPLE_KEY, base: str | None = None
+) -> dict[str, DataFrame]:
+    """The warehouse with counts and samples bucketed by the key they meet at.
+
+    For samples too large to broadcast that several readings join with the counts: the two tables are
+    shuffled once, here, and no join of them shuffles either side again. Spark builds a Bloom filter of
+    the samples that pass their predicates and applies it to the scan of the counts, where
+    `session.SETTINGS` allow it; its size is bounded by `runtime.bloomFilter.maxNumBits`. A bucket is
+    read by one task, so a sample with very many counts is better joined without buckets, where
+    adaptive execution splits it.
+    """
+    made = {
+        name: write_bucketed(tables[name], key, buckets, path=f"{base}/{name}" if base else None)
+        for name in (FACT, SAMPLES)
+    }
+    return {**tables, **made}
+
+
 def star_counts(
     fact: DataFrame,
     samples: DataFrame,
@@ -102,8 +141,8 @@ def star_counts(
 def warehouse_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """The counts of the warehouse: one fact table, six dimensions."""
     return star_counts(
-        tables["FactAnalyseSetOccurrence"],
-        tables["DimSample"],
+        tables[FACT],
+        tables[SAMPLES],
         [
             (tables["DimSurvey"], "survey_key"),
             (tables["DimLocationWV"], "location_key"),

@@ -16,6 +16,11 @@ ORACLE = sql.oracle_sql()
 #: match are kept.
 READS = {
     "area_right_join": 2,
+    "bucketed_star_counts": 0,
+    "counts_by_csv": 0,
+    "ordered_counts": 0,
+    "changed_rows": 2,
+    "changes_per_survey": 2,
     "listings": 2,
     "rows_per_area_name": 3,
     "replaced_location_areas": 0,
