@@ -13,6 +13,7 @@ from fieldtally import fixed_values as fixed
 from fieldtally.operators.merging import wrangle_second_source
 from fieldtally.plans.charts import publish
 from fieldtally.plans.ingest import ingest
+from fieldtally.plans.updates import publish_changes
 from fieldtally.session import build_session
 from fieldtally.sources import snapshots
 from fieldtally.sources.warehouse import read_tables
@@ -34,6 +35,10 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
         metavar="AREA=CSV",
         help="second source and the area it belongs to; may be repeated",
     )
+    two.add_argument(
+        "--before", type=date.fromisoformat, metavar="DAY",
+        help="a published day: only seasons whose counts differ from it are read",
+    )
     for job in (one, two):
         job.add_argument("--out", required=True, help="folder that every executor can reach")
         job.add_argument("--day", type=date.fromisoformat, default=date.today())
@@ -64,14 +69,16 @@ def main(argv: Sequence[str] | None = None) -> None:
         tables = read_tables(spark, args.warehouse, list(fixed.WAREHOUSE_COLUMNS))
         ingest(tables, args.out, args.day)
     else:
-        publish(
+        tables = (
             _counts(spark, args.counts),
             snapshots.read_membership(spark, args.areas),
             snapshots.read_membership(spark, args.clusters),
             _second(spark, args.second),
-            args.out,
-            args.day,
         )
+        if args.before:
+            publish_changes(*tables, args.out, args.day, args.before)
+        else:
+            publish(*tables, args.out, args.day)
 
 
 if __name__ == "__main__":

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldtally.fixture import mapping as m
-from fieldtally.operators import checks, differences, joins, merging, totals
+from fieldtally.operators import checks, checksums, differences, joins, merging, totals
 from fieldtally.operators.trend import residual_scale
 from fieldtally.plans import areas, charts, clusters, merged, species, study, trends
 from fieldtally.sources.warehouse import taxon_groups
@@ -69,6 +69,10 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "changes_per_survey": lambda t: differences.changes_per_group(
         t.earlier_counts(), t.counts_with_survey(), ["survey"]
     ),
+    "changed_seasons": lambda t: checksums.changed_parts(
+        *(checksums.checksums(df, ["season_start"]) for df in (t.earlier_counts(by_parity=True), t.counts_with_survey())),
+        ["season_start"],
+    ),
     "taxon_groups": lambda t: taxon_groups(t.taxa()),
     "area_membership": lambda t: t.members(),
     "cluster_membership": lambda t: t.clusters(),

@@ -208,9 +208,19 @@ class SurveyTables:
             columns,
         )
 
-    def earlier_counts(self) -> DataFrame:
-        """An earlier reading: other locations for one round, a lost and a doubled taxon, no coverage."""
+    def earlier_counts(self, by_parity: bool = False) -> DataFrame:
+        """An earlier reading: other locations for one round, a lost and a doubled taxon, no coverage.
+
+        ``by_parity``: in odd seasons alone, so that even ones are as they were.
+        """
         counts = self.counts_with_survey()
+        if by_parity:
+            odd = F.col("season_start") % 2 == 1
+            return self._earlier(counts.where(odd)).unionByName(counts.where(~odd))
+        return self._earlier(counts)
+
+    @staticmethod
+    def _earlier(counts: DataFrame) -> DataFrame:
         moved = F.when(F.col("round") == "Maart", F.lit("NATION_0")).otherwise(F.col("location"))
         coverage = F.when(F.col("coverage") != "5-LOW", F.col("coverage"))
         copies = F.when(F.col("taxon") == "cold gear", 0).when(F.col("taxon") == "blue bolt", 2).otherwise(1)

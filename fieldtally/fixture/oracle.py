@@ -577,6 +577,12 @@ def oracle_sql() -> dict[str, str]:
             "a AS (SELECT survey, count(*) AS n FROM earlier GROUP BY 1)",
             "b AS (SELECT survey, count(*) AS n FROM now GROUP BY 1)",
         ),
+        "changed_seasons": _query(
+            "SELECT DISTINCT season_start FROM ("
+            "(FROM now EXCEPT ALL FROM mixed) UNION ALL (FROM mixed EXCEPT ALL FROM now))",
+            *_READINGS,
+            "mixed AS (FROM earlier WHERE season_start % 2 = 1 UNION ALL FROM now WHERE season_start % 2 = 0)",
+        ),
         "taxon_groups": "SELECT p_name AS taxon, p_type AS taxon_group_code, "
         "p_type AS taxon_group FROM part",
         "area_membership": _query(f"SELECT {_MEMBER} FROM members"),

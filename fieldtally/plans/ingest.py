@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from fieldtally import fixed_values as fixed
 from fieldtally.operators.joins import natural_left_join
 from fieldtally.operators.totals import row_counts
+from fieldtally.plans.updates import write_checksums
 from fieldtally.sources.snapshots import with_exported_names, write_counts, write_csv_snapshot
 from fieldtally.sources.warehouse import membership, taxon_groups, warehouse_counts
 
@@ -33,6 +34,8 @@ def ingest(tables: Mapping[str, DataFrame], base: str, day: date) -> dict[str, s
     """
     bridge = tables["FactLocationGroup"]
     paths = {"counts": write_counts(grouped_counts(tables), base, day)}
+    spark = bridge.sparkSession
+    paths["checksums"] = write_checksums(spark.read.parquet(paths["counts"]), base, day)
     for name, codes in (("areas", fixed.AREA_CODES), ("clusters", fixed.CLUSTER_CODES)):
         rows = with_exported_names(membership(bridge, codes), fixed.MEMBERSHIP_HEADER)
         paths[name] = write_csv_snapshot(rows, base, name, day)

@@ -21,6 +21,7 @@ READS = {
     "ordered_counts": 0,
     "changed_rows": 2,
     "changes_per_survey": 2,
+    "changed_seasons": 3,
     "listings": 2,
     "rows_per_area_name": 3,
     "replaced_location_areas": 0,
