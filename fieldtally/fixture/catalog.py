@@ -182,6 +182,8 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
     "reclassified_totals": _site_types("Sigma-Estuarien"),
     # trends
     "smoothed_trend": _in_study(trends.round_trend, m.STUDY),
+    "blended_trend": _in_study(trends.blended_round_trend, m.STUDY),
+    "blended_species_trend": _in_study(trends.blended_species_trend, m.STUDY),
     "censored_trend": _in_study(trends.share_trend, m.STUDY, CENSOR_LIMITS),
     "class_trend": _in_study(trends.class_trend, m.STUDY),
     "species_trend": _in_study(trends.species_trend, m.STUDY),
@@ -212,7 +214,7 @@ PLANS: dict[str, Callable[[Tables], DataFrame]] = {
 FITTED = ("smoothed_trend", "censored_trend", "class_trend", "species_trend", "smoothed_band",
           "residual_scale", "winter_mean_trend", "share_mean_trend", "class_mean_trend",
           "moving_mean_trend", "species_mean_trend", "species_share_trend", "species_class_trend",
-          "site_type_trend")
+          "site_type_trend", "blended_trend", "blended_species_trend")
 
 
 #: Whole numbers that may be missing are compared as doubles: engines hand them on differently.

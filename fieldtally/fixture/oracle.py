@@ -378,6 +378,66 @@ FROM gl GROUP BY {by}, p, x0""",
     )
 
 
+def _blended(source: str, by: str, *ctes: str) -> str:
+    """Fits and slopes at the cells' ends, then cubics between them. Cells are ranges of sorted points."""
+    cells = f"""
+listed AS (
+  SELECT {by}, list(x ORDER BY x) AS xs, count(*) AS n, floor(count(*) * 0.75 * 0.2 + 1e-5) AS room
+  FROM pts GROUP BY {by} HAVING count(DISTINCT x) > 1
+),
+cell AS (
+  SELECT {by}, xs, room, CAST(1 AS BIGINT) AS a, n AS b, 0 AS level, NULL::DOUBLE AS cut FROM listed
+  UNION ALL
+  SELECT {by}, xs, room, part.a, part.b, level + 1, v
+  FROM (
+    SELECT *, unnest([{{'a': a, 'b': k}}, {{'a': k + 1, 'b': b}}]) AS part
+    FROM (
+      SELECT *, a - 1 + len(list_filter(xs[a:b], lambda e: e <= v)) AS k
+      FROM (SELECT *, (xs[a + (b - a) // 2] + xs[a + (b - a + 1) // 2]) / 2 AS v
+            FROM cell WHERE b - a + 1 > room AND level < 6)
+      WHERE xs[b] > v))
+),
+vertex AS (
+  SELECT {by}, x0, q, row_number() OVER (PARTITION BY {by} ORDER BY x0) AS p
+  FROM (
+    SELECT DISTINCT {by}, cut AS x0 FROM cell WHERE cut IS NOT NULL
+    UNION ALL SELECT {by}, lo - (hi - lo) * 0.1 FROM size WHERE m > 1
+    UNION ALL SELECT {by}, hi + (hi - lo) * 0.1 FROM size WHERE m > 1)
+  JOIN size USING ({by})
+)"""
+    ends = f"""
+ends AS (
+  SELECT {by}, p, x0, CASE WHEN count(l) = count(*) THEN sum(l * y) END AS f FROM vx GROUP BY ALL
+),
+slopes AS (
+  SELECT {by}, p, CASE WHEN max(support) >= 3 THEN
+    sum(w * y * (dx * (a0 * a4 - a2 * a2) - (a1 * a4 - a2 * a3) - dx * dx * (a0 * a3 - a1 * a2))
+        / (a0 * (a2 * a4 - a3 * a3) - a1 * (a1 * a4 - a2 * a3) + a2 * (a1 * a3 - a2 * a2))) END AS s
+  FROM vx_w JOIN vx_a USING ({by}, p) GROUP BY ALL
+),
+spans_ AS (
+  SELECT {by}, p, x0 AS v0, f AS f0, s AS s0, lead(x0) OVER w AS v1, lead(f) OVER w AS f1, lead(s) OVER w AS s1
+  FROM ends JOIN slopes USING ({by}, p) WINDOW w AS (PARTITION BY {by} ORDER BY p)
+),
+met AS (
+  SELECT {by}, g.p, g.x0, v1 - v0 AS h, (g.x0 - v0) / (v1 - v0) AS t, f0, s0, f1, s1
+  FROM grid g JOIN spans_ USING ({by}) WHERE g.x0 >= v0 AND g.x0 < v1
+)"""
+    base = _trend_ctes(source, by)[:2]
+    return _query(
+        f"""
+SELECT {by}, CAST(p AS INTEGER) AS step, round(x0, 4) AS x,
+       round((1 + 2 * t) * (1 - t) * (1 - t) * f0 + t * (1 - t) * (1 - t) * h * s0
+             + t * t * (3 - 2 * t) * f1 - t * t * (1 - t) * h * s1, 4) AS fit
+FROM met""",
+        *ctes,
+        *base,
+        cells,
+        _weights("vx", "vertex", by),
+        ends,
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 _SERIES = """
 series_points AS (
   SELECT 'site_total' AS series, season_start, site_total AS total FROM cells
@@ -877,6 +937,8 @@ UNION ALL SELECT DISTINCT 'family',
         "censored_trend": _trend("censored", "series", *_CELLS, _CENSORED),
         "class_trend": _trend("class_cells", "area_class", *_NO_WADERS, _CLASS_CELLS),
         "species_trend": _trend("species_points", "taxon", _SPECIES_POINTS),
+        "blended_trend": _blended("series_points", "series", *trend_points),
+        "blended_species_trend": _blended("species_points", "taxon", _SPECIES_POINTS),
         "smoothed_band": _band("series_points", "series", *trend_points),
         "residual_scale": _query(
             "SELECT series, n AS n_points, round(d1, 4) AS d1, round(d2, 4) AS d2, "

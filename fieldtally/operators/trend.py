@@ -195,6 +195,11 @@ def _fits(series: DataFrame, points: int, carried: Sequence[str] = ()) -> DataFr
         f"posexplode(transform(sequence(0, {last}), i -> lo + i * ((hi - lo) / {last}))) "
         "AS (step, x0)",
     )
+    return _fits_at(places, key)
+
+
+def _fits_at(places: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Fitted value, slope and sum of squared weights at places (key, entries, spans, step, x0)."""
     met = _steps(
         places.withColumn("h", F.expr(_reach("x0"))).selectExpr(
             *key, "step", "x0", "h", "inline(entries)"
@@ -234,6 +239,7 @@ def _fits(series: DataFrame, points: int, carried: Sequence[str] = ()) -> DataFr
             "k2": "a1 * a3 - a2 * a2",
             "det": f"if(support >= {MIN_SUPPORT}, a0 * k0 - a1 * k1 + a2 * k2, NULL)",
             "fit": "try_divide(b0 * k0 - b1 * k1 + b2 * k2, det)",
+            "slope": "try_divide(b1 * (a0 * a4 - a2 * a2) - b0 * k1 - b2 * (a0 * a3 - a1 * a2), det)",
             "squares": "try_divide(k0 * k0 * c0 - 2 * k0 * k1 * c1 "
             "+ (k1 * k1 + 2 * k0 * k2) * c2 - 2 * k1 * k2 * c3 + k2 * k2 * c4, det * det)",
         },

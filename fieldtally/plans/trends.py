@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions.missing import strict_sum
-from fieldtally.operators import shaping, totals, trend
+from fieldtally.operators import blended, shaping, totals, trend
 from fieldtally.operators.joins import null_safe_join
 from fieldtally.plans import areas
 from fieldtally.plans.study import Study, period_counts
@@ -29,6 +29,18 @@ def round_trend(counts, membership, study) -> DataFrame:
     return trend.smoothed_trend(points, ["series"], "season_start", "total")
 
 
+def blended_round_trend(counts, membership, study) -> DataFrame:
+    """The same trend from fits at a few vertices, blended between them."""
+    points = round_series(counts, membership, study)
+    return blended.blended_trend(points, ["series"], "season_start", "total")
+
+
+def blended_species_trend(counts, membership, study) -> DataFrame:
+    """The trend of every species, blended."""
+    points = species_round_totals(counts, membership, study)
+    return blended.blended_trend(points, ["taxon"], "season_start", "total")
+
+
 def share_trend(counts, membership, study, limits: tuple[float, float]) -> DataFrame:
     """Trend of the round shares; shares outside the limits do not enter the fit."""
     points = shaping.long_form(
