@@ -10,10 +10,18 @@ positives that the filter's fill leads one to expect: of N n-grams, hits h and f
 f, the share (h/N - f) / (1 - f). The largest corrected share decides, ties by language name; it is
 the score, between 0 and 1.
 
+The filter is sent to every task where the list is short enough (`LISTED` n-grams, counted before
+anything is collected). A longer one stays a table of masks by place, made by a distributed or: the
+n-grams of a document, each once, are then joined with it by place. Both ways give the same languages and
+scores.
+
+Combining marks (such as vowel signs) belong to the word of the letter before them.
+
 Defined cases: a text that is null or has no letter is `und` with score 0; rows without a language
 are not learned from, nor are texts without a letter; with nothing learned every text is `und`;
 repeated rows give repeated rows; an empty table gives an empty result; output columns replace
-input columns of the same name.
+input columns of the same name. Texts of any length are read whole; one longer than a chunk is a chunk of
+its own.
 """
 
 from __future__ import annotations
@@ -46,13 +54,28 @@ TYPICAL = 0.2
 PLACES = 3
 #: Places of the filter for each listed n-gram.
 ROOM = 16
+#: N-grams of all languages (24 bytes each) that the driver takes; their filter has 32 places for each at most.
+LISTED = 1_000_000
+#: Bytes of a filter that is sent to every task.
+FILTER_BYTES = 64 << 20
 
 
 @cache
-def _letters() -> np.ndarray:
-    every = np.zeros(0x110000, dtype=bool)
-    every[[i for i in range(0x110000) if unicodedata.category(chr(i))[0] == "L"]] = True
-    return every
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """(whether a code point is a letter, whether it is a combining mark)."""
+    kinds = np.array([ord(unicodedata.category(chr(i))[0]) for i in range(0x110000)], dtype=np.uint8)
+    return kinds == ord("L"), kinds == ord("M")
+
+
+def _in_words(points: np.ndarray) -> np.ndarray:
+    """Which code points belong to words: letters, and marks in a row behind a letter."""
+    letters, marks = _letters()
+    letter, mark = letters[points], marks[points]
+    if mark.any():
+        # The last place before each that is no mark decides.
+        at = np.maximum.accumulate(np.where(mark, 0, np.arange(len(points))))
+        return letter | (mark & letter[at])
+    return letter
 
 
 def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +83,7 @@ def grams_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     lowered = [(t or "").lower() for t in texts]
     points = code_points(" " + " ".join(lowered) + " " * (N - 1)).astype(np.uint64)
     sizes = np.array([len(t) + 1 for t in lowered], dtype=np.int64)
-    points[~_letters()[points]] = 32
+    points[~_in_words(points)] = 32
     last = len(points) - N + 1
     # An n-gram may reach over one separator only as its first or last code point.
     inner = np.ones(last, dtype=bool)
@@ -82,6 +105,8 @@ class Model:
     languages: list[str]
     masks: np.ndarray  # (places, bytes): bit l of a row is language l
     false: np.ndarray  # false positive rate of each language
+    size: int = 0  # places, where the masks are not here but in a table (place, byte, mask)
+    table: DataFrame | None = None
 
     def share(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(corrected share of each text and language, n-grams per text)."""
@@ -95,8 +120,11 @@ class Model:
                 seen = np.bincount(text_of * 256 + found[:, i], minlength=256 * len(texts))
                 part = seen.reshape(-1, 256) @ bits
                 hits[:, 8 * i : 8 * i + 8] = part[:, : hits.shape[1] - 8 * i]
+        return self.corrected(hits, counts), counts
+
+    def corrected(self, hits: np.ndarray, counts: np.ndarray) -> np.ndarray:
         share = hits / np.maximum(counts, 1)[:, None]
-        return np.clip((share - self.false) / (1 - self.false), 0, 1), counts
+        return np.clip((share - self.false) / (1 - self.false), 0, 1)
 
     def _lookup(self, codes: np.ndarray) -> np.ndarray:
         places = places_of(codes, len(self.masks))
@@ -109,8 +137,11 @@ class Model:
         share, counts = self.share(texts)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
+        return self.chosen(share, counts)
+
+    def chosen(self, share: np.ndarray, counts: np.ndarray) -> tuple[list[str], np.ndarray]:
         best = share.argmax(axis=1)
-        score = np.where(counts > 0, share[np.arange(len(texts)), best], 0.0)
+        score = np.where(counts > 0, share[np.arange(len(counts)), best], 0.0)
         names = [self.languages[b] if n else UNKNOWN for b, n in zip(best, counts, strict=True)]
         return names, score
 
@@ -135,8 +166,8 @@ def fit(
 
     Of more, every group of equal texts gives its part, rounded up or down by a hash of the text: the
     text is read once and its n-grams count as often as the part says.
-    Counting is distributed; the driver gets the n-grams that cover the texts, whose number follows the
-    script: it is bounded by `fit_rows` texts per language.
+    Counting is distributed; the driver gets the n-grams that cover the texts, if they are `LISTED` at most
+    and their filter takes `FILTER_BYTES` at most. Otherwise it gets the names of the languages alone.
     """
     ship(docs.sparkSession)
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -188,13 +219,48 @@ def fit(
     levels = levels.withColumn("total", F.sum("occurrences").over(Window.partitionBy("lang")))
     least = levels.where(F.col("before") < cover * F.col("total")).groupBy("lang").agg(F.min("n").alias("least"))
     listed = counted.join(least, "lang").where(F.col("n") >= F.col("least"))
-    table = listed.select("lang", "gram", "n").toPandas()
+    listed = written(listed.select("lang", "gram", "n"), "language-listed")
+    count, languages = listed.agg(F.count("*"), F.count_distinct("lang")).collect()[0]
+    if count > LISTED or _size(count, room) * -(-languages // 8) > FILTER_BYTES:
+        return build_table(listed, typical, room)
+    table = listed.toPandas()
     return build(table["lang"].to_numpy(), table["gram"].to_numpy(), table["n"].to_numpy(), typical, room)
 
 
 def _few(sizes: DataFrame, most: int = 10_000) -> bool:
     """Whether the table of languages is small enough to send to every task."""
-    return len(sizes.limit(most + 1).collect()) <= most
+    return sizes.limit(most + 1).count() <= most
+
+
+def _size(grams: int, room: int) -> int:
+    """Places of a filter of so many different n-grams."""
+    return 1 << max(10, int(room * grams - 1).bit_length())
+
+
+def build_table(listed: DataFrame, typical: float, room: int) -> Model:
+    """The filter of (lang, gram, n) as a table: bits of each place are or-ed by a grouped aggregation."""
+    spark = listed.sparkSession
+    languages = sorted(row["lang"] for row in listed.select("lang").distinct().collect())
+    if not languages:
+        return build(*[np.zeros(0)] * 3, typical, room)
+    numbers = spark.createDataFrame(list(enumerate(languages)), "number int, lang string")
+    size = _size(listed.select("gram").distinct().count(), room)
+    totals = listed.groupBy("lang").agg(F.sum("n").alias("total")).join(numbers, "lang")
+    frequent = listed.join(totals, "lang").select("gram", "number", (F.col("n") / F.col("total")).alias("part"))
+    foremost = frequent.groupBy("gram").agg(F.max("part").alias("most"))
+    kept = frequent.join(foremost, "gram").where(F.col("part") >= typical * F.col("most")).select("gram", "number")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place in places_of(batch.column(0).to_numpy().astype(np.uint64), size):
+                yield pa.RecordBatch.from_arrays([pa.array(place), batch.column(1)], names=["place", "number"])
+
+    bits = written(kept.mapInArrow(placed, "place long, number int").distinct(), "language-bits")
+    fill = dict(bits.groupBy("number").agg(F.count("*")).collect())
+    bit = F.expr("shiftleft(1, number % 8)")
+    table = bits.groupBy("place", F.floor(F.col("number") / 8).alias("byte")).agg(F.bit_or(bit).alias("mask"))
+    false = np.array([(fill.get(i, 0) / size) ** PLACES for i in range(len(languages))])
+    return Model(languages, np.zeros((0, 0), dtype=np.uint8), false, size, written(table, "language-filter"))
 
 
 def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, typical: float, room: int) -> Model:
@@ -208,7 +274,7 @@ def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, typical: float, roo
     foremost = np.zeros(len(every))
     np.maximum.at(foremost, which, frequency)
     kept = frequency >= typical * foremost[which]
-    size = 1 << max(10, int(room * len(every) - 1).bit_length())
+    size = _size(len(every), room)
     masks = np.zeros((size, -(-len(languages) // 8)), dtype=np.uint8)
     bit = (1 << (number[kept] % 8)).astype(np.uint8)
     for place in places_of(every[which[kept]], size):
@@ -225,7 +291,10 @@ def identify(
     lang_out: str = "lang_pred",
     score_out: str = "score",
 ) -> DataFrame:
-    """The columns in `keep` (all, if not given) with the language and its score. No shuffle."""
+    """The columns in `keep` (all, if not given) with the language and its score.
+
+    No shuffle, unless the model is a table.
+    """
     spark = docs.sparkSession
     ship(spark)
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (lang_out, score_out)]
@@ -237,7 +306,9 @@ def identify(
             T.StructField(score_out, T.DoubleType()),
         ]
     )
-    # The model's size is bounded by the texts learned from per language, not by the documents.
+    if model.table is not None:
+        return _identified_by_join(frame, schema, model)
+    # `fit` has checked the size of the masks.
     sent = spark.sparkContext.broadcast((model.languages, model.masks, model.false))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,6 +324,75 @@ def identify(
     return frame.mapInArrow(run, schema)
 
 
+def _identified_by_join(frame: DataFrame, schema: T.StructType, model: Model) -> DataFrame:
+    """The same as `identify` for (text, kept columns), by a join of n-grams with the table of masks."""
+    size, last = model.size, len(frame.columns)
+    rows = written(frame.withColumn("_row", F.monotonically_increasing_id()), "language-rows")
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, texts in chunks(batch.column(0)):
+                codes, counts = grams_of(texts)
+                row = np.repeat(batch.column(1).slice(a, b - a).to_numpy(), counts)
+                total = np.repeat(counts, counts)
+                # Each n-gram of a row once, with how often it occurs.
+                order = np.lexsort((codes, row))
+                codes, row, total = codes[order], row[order], total[order]
+                new = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (row[1:] != row[:-1])][: len(codes)])
+                times = np.diff(np.r_[new, len(codes)])
+                codes, row, total = codes[new], row[new], total[new]
+                places = np.sort(np.stack(places_of(codes, size)), axis=0)
+                distinct = np.ones(places.shape, dtype=bool)
+                distinct[1:] = places[1:] != places[:-1]
+                asked = distinct.sum(axis=0)
+                for place, one in zip(places, distinct, strict=True):
+                    columns = [row, codes.astype(np.int64), times, total, asked, place]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c[one].astype(np.int64)) for c in columns],
+                        names=["_row", "gram", "times", "total", "asked", "place"],
+                    )
+
+    asked = rows.select("c0", "_row").mapInArrow(
+        looked_up, "_row long, gram long, times long, total long, asked long, place long"
+    )
+    masks = (
+        asked.join(model.table, "place")
+        .groupBy("_row", "gram", "byte")
+        .agg(
+            F.bit_and("mask").alias("mask"), F.count("*").alias("found"), F.any_value("asked").alias("asked"),
+            F.any_value("times").alias("times"), F.any_value("total").alias("total"),
+        )
+        .where("found = asked AND mask <> 0")
+    )
+    # At most 255 masks of each byte, whatever the length of the text.
+    seen = masks.groupBy("_row", "byte", "mask").agg(F.sum("times").alias("times"), F.any_value("total").alias("total"))
+    seen = seen.groupBy("_row").agg(
+        F.collect_list(F.array("byte", "mask", "times")).alias("_hits"), F.any_value("total").alias("_total")
+    )
+    # Rows of which no n-gram was found still have their number of n-grams.
+    totals = asked.groupBy("_row").agg(F.any_value("total").alias("_grams"))
+    joined = rows.join(totals, "_row", "left").join(seen, "_row", "left").drop("_row", "_total")
+    names, false = model.languages, model.false
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Model(names, np.zeros((0, 0), dtype=np.uint8), false)
+        for batch in batches:
+            hits = np.zeros((batch.num_rows, len(names)))
+            counts = pc.fill_null(batch.column(last), 0).to_numpy(zero_copy_only=False)
+            for i, found in enumerate(batch.column(last + 1).to_pylist()):
+                for byte, mask, times in found or []:
+                    for bit in range(8):
+                        if mask >> bit & 1:
+                            hits[i, 8 * byte + bit] += times
+            chosen, score = known.chosen(known.corrected(hits, counts), counts)
+            columns = [batch.column(i + 1) for i in range(last - 1)]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(chosen, pa.string()), pa.array(score)], names=schema.names
+            )
+
+    return joined.mapInArrow(scored, schema)
+
+
 def usual_scores(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
     """language, usual: the median score of the labelled documents that are identified as their language."""
     label, score = F.col("language"), F.col("score")

@@ -122,3 +122,49 @@ def test_the_limit_is_that_of_the_language(spark, monkeypatch):
     monkeypatch.setattr(language, "fit", lambda docs: fit(docs, fit_rows=40))
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
     assert kept == {r[0] for r in rows} - {2000}
+
+
+def test_a_filter_too_large_to_send_gives_the_same(spark, monkeypatch):
+    rows = [
+        (1, "the cat sat on the mat", "en", 5), (2, "le chat est sur la table", "fr", 6), (3, "the dog ate it", "en", 7),
+        (4, "der hund ist im haus", "de", 8), (5, None, "de", 1), (6, "1 2 3", None, 1), (7, "zzz qqq", None, 2),
+        (8, "le chien et le chat", None, 3), (8, "le chien et le chat", None, 3),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, _row int")
+    model = language.fit(docs)
+    wanted = [tuple(r) for r in language.identify(docs, model).collect()]
+    usual = [tuple(r) for r in language.usual_scores(docs, model).collect()]
+    monkeypatch.setattr(language, "LISTED", 10)
+    large = language.fit(docs)
+    assert large.table is not None and large.languages == model.languages
+    assert np.allclose(large.false, model.false)
+    by_join = [tuple(r) for r in language.identify(docs, large).collect()]
+    assert sorted(by_join, key=str) == sorted(wanted, key=str)
+    assert sorted(map(tuple, language.usual_scores(docs, large).collect())) == sorted(usual)
+    assert language.fit(docs.where("lang = 'none'")).languages == []
+
+
+def test_score_is_that_of_plain_sets(spark):
+    def grams(text):
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        return [f" {w} "[i : i + 3] for w in words for i in range(len(w))]
+
+    rows = [(1, "the cat sat on the mat", "en"), (2, "le chat est sur la table", "fr"), (3, "the dog ate le chat", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    lists = {"en": set(grams(rows[0][1])), "fr": set(grams(rows[1][1]))}
+    for r in language.identify(docs, language.fit(docs, cover=1.0, typical=0.0)).collect():
+        own = grams(r.text)
+        share = {name: sum(g in s for g in own) / len(own) for name, s in lists.items()}
+        best = max(sorted(share), key=share.get)
+        # A filter of some thousand places finds hardly anything that is not in it.
+        assert r.lang_pred == best and abs(r.score - share[best]) < 0.05
+
+
+def test_marks_stay_in_their_words():
+    def words(text):
+        codes, _ = language.grams_of([text])
+        return ["".join(chr(int(c) >> 21 * i & 0x1FFFFF) for i in range(3)) for c in codes]
+
+    assert words("हिन्दी भाषा") == [" हि", "हिन", "िन्", "न्द", "्दी", "दी ", " भा", "भाष", "ाषा", "षा "]
+    assert words("\u0301\u0301 1") == [] and words("e\u0301a") == [" e\u0301", "e\u0301a", "\u0301a "]
+    assert len(words("ภาษาไทยที่")) == 10
