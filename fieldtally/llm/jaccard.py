@@ -12,18 +12,24 @@ of 0.8 or more.
    matches so far give a posterior of the similarity (uniform prior); a pair is dropped as soon as
    the posterior probability of reaching the threshold falls below the tolerance (1e-9). A tile
    emits a spanning forest of the pairs that pass, never the pairs.
-4. The forests' components hold all pairs that are left. Their classes meet once more in tiles of
-   bounded size, are pruned in the same way, and the rest is verified exactly on whole shingle sets.
-   A tile emits, per class, how many classes and documents it is linked to, and a forest of links.
-5. Components of the links are the near-duplicate classes.
+4. The forests' components hold all pairs that are left. Texts on a common template, of which no two
+   are linked, can make one large component there. So classes of a component get 384 more values and
+   meet once more in tiles, by signatures alone; the same posterior over 512 values drops pairs up to
+   a similarity of about 0.69. The components of what stays are finer.
+5. Classes of a finer component meet in tiles of bounded size with their whole shingle sets. Pairs
+   pass the signatures again and are verified exactly. A tile emits, per class, how many classes and
+   documents it is linked to, and a forest of links. Components of the links are the near-duplicate
+   classes.
 
 So no join ever makes a row per pair, and a group of copies, or of near copies, of any size is
-spread over tiles. Texts are shuffled once, sets of candidates twice. Tables between steps are
+spread over tiles. Texts are shuffled once, sets of candidates three times. Tables between steps are
 written to the shared folder.
 
 Defined cases: a text that is null or has no word is linked to nothing; repeated rows are copies
-of each other; a null doc_id takes part, and class_id is null where no member has an id; an empty
-table gives an empty result. Shingles are compared by 64-bit hashes.
+of each other; doc_id may have any type with an order; a null doc_id takes part, is never the
+smallest, and class_id is null where no member has an id; very long texts are read whole, and their
+sets compared whole; an empty table gives an empty result; further columns are ignored, whatever
+their names. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,6 +42,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldtally.llm.components import components
 from fieldtally.llm.shared import chunks, code_points, fresh, mixed, named, ship, written
@@ -44,6 +51,8 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
+#: Values of a class whose first HASHES values agree with another's.
+LONG = 512
 #: Values compared at a time.
 STEP = 16
 TOLERANCE = 1e-9
@@ -68,7 +77,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def _constants() -> tuple[np.ndarray, np.ndarray]:
     """(value of each code point, multiplier of each hash function)."""
     values = mixed(np.arange(1, 0x110001, dtype=np.uint64))
-    return values, mixed(np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(32)) | np.uint64(1)
+    return values, mixed(np.arange(1, LONG + 1, dtype=np.uint64) << np.uint64(32)) | np.uint64(1)
 
 
 def shingles_of(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +106,21 @@ def shingles_of(texts: list[str | None], words: int = WORDS) -> tuple[np.ndarray
     return made, n
 
 
-def signatures(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """MinHash values (texts with shingles, HASHES)."""
+def signatures(shingles: np.ndarray, counts: np.ndarray, first: int = 0, last: int = HASHES) -> np.ndarray:
+    """MinHash values of the hash functions from `first` to before `last` (texts with shingles, values)."""
     _, factors = _constants()
     starts = (np.cumsum(counts) - counts)[counts > 0]
-    made = np.empty((len(starts), HASHES), dtype=np.uint64)
-    for k, factor in enumerate(factors):
+    made = np.empty((len(starts), last - first), dtype=np.uint64)
+    for k, factor in enumerate(factors[first:last]):
         made[:, k] = np.minimum.reduceat(shingles * factor, starts)
     return made
 
 
+def short(signature: np.ndarray) -> np.ndarray:
+    """The values by 8 bits."""
+    return (mixed(signature) >> np.uint64(56)).astype(np.uint8)
+
+
 def band_keys(signature: np.ndarray) -> np.ndarray:
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signature), BANDS)).copy()
     parts = signature.reshape(len(signature), BANDS, ROWS)
@@ -116,7 +130,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 @cache
-def least_matches(threshold: float, tolerance: float) -> np.ndarray:
+def least_matches(threshold: float, tolerance: float, values: int = HASHES) -> np.ndarray:
     """[k]: matches needed among the first (k + 1) * STEP values for a pair to stay.
 
     Values are compared by 8 bits, so two differing ones match with probability 1/256. The
@@ -125,7 +139,7 @@ def least_matches(threshold: float, tolerance: float) -> np.ndarray:
     s = (np.arange(4000) + 0.5) / 4000
     p = s + (1 - s) / 256
     needed = []
-    for n in range(STEP, HASHES + 1, STEP):
+    for n in range(STEP, values + 1, STEP):
         least = n
         for m in range(n, -1, -1):
             log = m * np.log(p) + (n - m) * np.log1p(-p)
@@ -142,7 +156,7 @@ def _stays(a: np.ndarray, b: np.ndarray, n_a, n_b, threshold: float, tolerance:
     least, most = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     left = np.flatnonzero(least >= threshold * most - 1e-9)
     matches = np.zeros(len(left), dtype=np.int64)
-    for k, needed in enumerate(least_matches(threshold, tolerance)):
+    for k, needed in enumerate(least_matches(threshold, tolerance, a.shape[1])):
         if not len(left):
             break
         part = slice(k * STEP, (k + 1) * STEP)
@@ -202,8 +216,17 @@ def _tiled(rows: DataFrame, key: str, size: Column, block: int) -> DataFrame:
 
 def _prepared(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """doc_id, text hash, node (class of equal shingle sets, null without words), set size, bands, signature."""
-    frame = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
-    schema = "doc_id long, t long, node long, n int, bands array<long>, sig binary"
+    frame = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("t"), F.col(text).alias("x"))
+    schema = T.StructType(
+        [
+            frame.schema["doc_id"],
+            T.StructField("t", T.LongType()),
+            T.StructField("node", T.LongType()),
+            T.StructField("n", T.IntegerType()),
+            T.StructField("bands", T.ArrayType(T.LongType())),
+            T.StructField("sig", T.BinaryType()),
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,11 +240,11 @@ def _prepared(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                     own = np.unique(made[bounds[i] : bounds[i + 1]])
                     size[i], node[i] = len(own), _node(own)
                 bands = np.zeros((b - a, BANDS), dtype=np.int64)
-                short = np.zeros((b - a, HASHES), dtype=np.uint8)
+                sig = np.zeros((b - a, HASHES), dtype=np.uint8)
                 if full.any():
                     signature = signatures(made, counts)
                     bands[full] = band_keys(signature).view(np.int64)
-                    short[full] = (mixed(signature) >> np.uint64(56)).astype(np.uint8)
+                    sig[full] = short(signature)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
@@ -231,7 +254,7 @@ def _prepared(docs: DataFrame, id_col: str, text: str) -> DataFrame:
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel())
                         ),
-                        pa.array([row.tobytes() for row in short], pa.binary()),
+                        pa.array([row.tobytes() for row in sig], pa.binary()),
                     ],
                     names=["doc_id", "t", "node", "n", "bands", "sig"],
                 )
@@ -252,7 +275,7 @@ def _forests(buckets: DataFrame, threshold: float, tolerance: float) -> DataFram
         for rows, bounds in _groups(batches):
             node = rows.column(2).to_numpy()
             n = rows.column(3).to_numpy()
-            sig = _binary(rows.column(4))[0].reshape(-1, HASHES)
+            sig = _binary(rows.column(4))[0].reshape(len(node), -1)
             sizes = np.diff(bounds)
             two = bounds[:-1][sizes == 2]
             passed = two[_stays(sig[two], sig[two + 1], n[two], n[two + 1], threshold, tolerance)]
@@ -279,7 +302,7 @@ def _reached(sig, n, threshold: float, tolerance: float) -> Iterator[tuple[int,
         i = waiting.pop()
         if not len(new):
             break
-        to = np.broadcast_to(sig[i], (len(new), HASHES))
+        to = np.broadcast_to(sig[i], (len(new), sig.shape[1]))
         stays = _stays(to, sig[new], n[i], n[new], threshold, tolerance)
         if stays.any():
             yield i, new[stays]
@@ -295,7 +318,7 @@ def _verified(tiles: DataFrame, threshold: float, tolerance: float) -> DataFrame
         for rows, bounds in _groups(batches):
             node, part = rows.column(2).to_numpy(), rows.column(3).to_numpy()
             n, docs = rows.column(4).to_numpy().astype(np.int64), rows.column(5).to_numpy()
-            sig = _binary(rows.column(6))[0].reshape(-1, HASHES)
+            sig = _binary(rows.column(6))[0].reshape(len(node), -1)
             content, places = _binary(rows.column(7))
             sets, places = content.view(np.uint64), places // 8
             columns: list[list[np.ndarray]] = [[], [], [], []]
@@ -346,7 +369,7 @@ def _links(part, n, sig, sets, places, threshold, tolerance) -> Iterator[tuple[i
         later = np.arange(i + 1, len(n))
         if not one:
             later = later[part[later] != part[i]]
-        to = np.broadcast_to(sig[i], (len(later), HASHES))
+        to = np.broadcast_to(sig[i], (len(later), sig.shape[1]))
         later = later[_stays(to, sig[later], n[i], n[later], threshold, tolerance)]
         if not len(later):
             continue
@@ -366,7 +389,8 @@ def _links(part, n, sig, sets, places, threshold, tolerance) -> Iterator[tuple[i
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(comp, node, size, n, docs, sig, text) to the same with the sorted shingle set for the text."""
+    """(comp, node, size, n, docs, sig, text) to the same with LONG values and, for the text, its sorted
+    shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -377,9 +401,15 @@ def _sets(rows: DataFrame) -> DataFrame:
                 own = [np.unique(made[bounds[i] : bounds[i + 1]]) for i in range(b - a)]
                 # A repeated doc_id may come with another text of the same hash; that is not the class.
                 right = pa.array([_node(s) == w for s, w in zip(own, wanted[a:b], strict=True)])
+                more = np.zeros((b - a, LONG - HASHES), dtype=np.uint8)
+                sizes = np.array([len(s) for s in own])
+                if sizes.any():
+                    more[sizes > 0] = short(signatures(np.concatenate(own), sizes, HASHES, LONG))
+                first = batch.column(5).slice(a, b - a).to_pylist()
                 part = pa.RecordBatch.from_arrays(
                     [
-                        *(batch.column(i).slice(a, b - a) for i in range(6)),
+                        *(batch.column(i).slice(a, b - a) for i in range(5)),
+                        pa.array([f + m.tobytes() for f, m in zip(first, more, strict=True)], pa.binary()),
                         pa.array([s.tobytes() for s in own], pa.binary()),
                     ],
                     names=["comp", "node", "size", "n", "docs", "sig", "shingles"],
@@ -441,9 +471,19 @@ def join(
             F.col("first.doc_id").alias("_id"), F.col("first.t").alias("_t"),
         )
     )
-    texts = docs.select(F.col(id_col).cast("long").alias("_d"), F.xxhash64(text).alias("_h"), F.col(text).alias("x"))
+    texts = docs.select(F.col(id_col).alias("_d"), F.xxhash64(text).alias("_h"), F.col(text).alias("x"))
     found = texts.join(wanted, F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")))
     sets = _sets(found.select("comp", "node", "size", "n", "docs", "sig", "x")).dropDuplicates(["node"])
+    sets = written(sets, "sets")
+
+    # Finer components, by signatures alone.
+    tiles = _tiled(sets.select("comp", "node", "size", "n", "sig"), "comp", F.col("size"), block)
+    tiles = tiles.select("comp", "tile", "node", "n", "sig")
+    tiles = tiles.repartition("comp", "tile").sortWithinPartitions("comp", "tile", "node")
+    finer = written(components(_forests(tiles, threshold, tolerance)).withColumnRenamed("label", "comp"), "finer")
+    counts = finer.groupBy("comp").agg(F.count("*").alias("size"))
+    sets = sets.drop("comp", "size").join(finer.join(counts, "comp"), "node")
+
     tiles = _tiled(sets, "comp", F.col("size"), verified)
     tiles = tiles.select("comp", "tile", "node", "part", "n", "docs", "sig", "shingles")
     tiles = tiles.repartition("comp", "tile").sortWithinPartitions("comp", "tile", "node")
@@ -488,14 +528,15 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     One of several rows with the same doc_id and text stays.
     """
     id_name, hash_name = fresh("id", docs.columns), fresh("t", docs.columns)
-    own_id = F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63))
-    keyed = docs.withColumn(id_name, own_id).withColumn(hash_name, F.xxhash64(text))
+    keyed = docs.withColumn(id_name, F.col(id_col)).withColumn(hash_name, F.xxhash64(text))
     blank = F.length(F.translate(F.coalesce(F.col(text), F.lit("")), " \t\n\x0b\f\r", "")) == 0
+    first_id, first_hash = fresh("first_id", docs.columns), fresh("first_t", docs.columns)
     first = (
         join(docs, id_col, text, **limits)
         .where("stays")
-        .select(own_id.alias(id_name), F.col("t").alias(hash_name))
+        .select(F.col(id_col).alias(first_id), F.col("t").alias(first_hash))
         .distinct()
     )
-    kept = keyed.where(~blank).join(first, [id_name, hash_name]).dropDuplicates([id_name, hash_name])
+    same = F.col(id_name).eqNullSafe(F.col(first_id)) & (F.col(hash_name) == F.col(first_hash))
+    kept = keyed.where(~blank).join(first, same).dropDuplicates([id_name, hash_name])
     return kept.select(*named(docs.columns)).union(keyed.where(blank).select(*named(docs.columns)))

@@ -126,6 +126,60 @@ def test_the_posterior_keeps_pairs_at_the_threshold():
     assert (np.diff(needed) >= 0).all()
 
 
+def templated(n=1200, words=300, same=0.75):
+    """Texts that share runs of a common text; no two are linked."""
+    base = [f"b{i}" for i in range(words)]
+    own = int(words * (1 - same))
+    return [" ".join(base[: words - own] + [f"o{k}x{i}" for i in range(own)]) for k in range(n)]
+
+
+def test_few_texts_on_a_template_pass_the_long_signature():
+    texts = templated()
+    made, counts = jaccard.shingles_of(texts)
+    long = jaccard.short(jaccard.signatures(made, counts, 0, jaccard.LONG))
+    a, b = map(np.array, zip(*combinations(range(len(texts)), 2), strict=True))
+    first, second = set(made[: counts[0]].tolist()), set(made[counts[0] : counts[:2].sum()].tolist())
+    assert 0.57 < len(first & second) / len(first | second) < 0.63
+    passed = []
+    for sig in (long[:, : jaccard.HASHES], long):
+        rate = 0
+        for part in np.array_split(np.arange(len(a)), 40):
+            stays = jaccard._stays(sig[a[part]], sig[b[part]], counts[a[part]], counts[b[part]], 0.8, jaccard.TOLERANCE)
+            rate += stays.sum()
+        passed.append(rate / len(a))
+    assert passed[0] > 0.2 and passed[1] < 0.01
+    reached = [len(others) for _, others in jaccard._reached(long, counts, 0.8, jaccard.TOLERANCE)]
+    assert sum(reached) < len(texts) / 10
+
+
+def test_texts_on_a_template_and_links_among_them(spark):
+    texts = templated(n=300)
+    texts += [t + " end" for t in texts[:5]]
+    docs = list(enumerate(texts))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = jaccard.join(frame, block=64, verified=32).collect()
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_texts) for r in rows} == brute(docs)
+
+
+def test_the_long_posterior_keeps_pairs_at_the_threshold():
+    needed = jaccard.least_matches(0.8, jaccard.TOLERANCE, jaccard.LONG)
+    assert len(needed) == jaccard.LONG // jaccard.STEP
+    hits = np.random.default_rng(2).random((100_000, jaccard.LONG)) < 0.8
+    total = hits.cumsum(axis=1, dtype=np.int16)[:, jaccard.STEP - 1 :: jaccard.STEP]
+    assert ((total >= needed).all(axis=1)).mean() > 0.99999
+
+
+def test_keys_of_any_type(spark):
+    docs = corpus(seed=5)
+    expected = brute([(f"k{i:04}", t) for i, t in docs])
+    frame = spark.createDataFrame([(f"k{i:04}", t) for i, t in docs], "doc_id string, text string")
+    found = jaccard.join(frame)
+    assert found.schema["class_id"].dataType.simpleString() == "string"
+    assert {r.doc_id: (r.class_id, r.n_links, r.n_texts) for r in found.collect()} == expected
+    kept = {r.doc_id for r in jaccard.without_copies(frame).collect()}
+    assert kept == {label for label, _, _ in expected.values()}
+
+
 @pytest.mark.parametrize("shape", ["chain", "star", "random", "none"])
 def test_components(spark, shape):
     rnd = random.Random(shape)
