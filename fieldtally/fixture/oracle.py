@@ -451,6 +451,12 @@ censored AS (
         UNION ALL SELECT 'site_region_share', season_start, site_region_share FROM cells
         UNION ALL SELECT 'valley_region_share', season_start, valley_region_share FROM cells)
 )"""
+_WEEKLY = """
+weekly AS (
+  SELECT taxon_group, date_diff('day', DATE '1970-01-01', CAST(sample_date AS DATE)) // 7 AS season_start,
+         sum(individuals) AS total
+  FROM period GROUP BY ALL
+)"""
 _SPECIES_POINTS = """
 species_points AS (
   SELECT taxon, season_start, round, sum(individuals) AS total FROM valley GROUP BY ALL
@@ -510,12 +516,12 @@ quantiles AS (
 )"""
 
 
-def _band(source: str, by: str, *ctes: str) -> str:
+def _band(source: str, by: str, *ctes: str, digits: int = 4) -> str:
     return _query(
         f"""
-SELECT {by}, CAST(p AS INTEGER) AS step, round(x0, 4) AS x, round(f, 4) AS fit,
-       round(s * sqrt(sq), 4) AS se, round(f - t * s * sqrt(sq), 4) AS lower,
-       round(f + t * s * sqrt(sq), 4) AS upper
+SELECT {by}, CAST(p AS INTEGER) AS step, round(x0, {digits}) AS x, round(f, {digits}) AS fit,
+       round(s * sqrt(sq), {digits}) AS se, round(f - t * s * sqrt(sq), {digits}) AS lower,
+       round(f + t * s * sqrt(sq), {digits}) AS upper
 FROM (SELECT {by}, p, x0, CASE WHEN count(l) = count(*) THEN sum(l * y) END AS f,
              CASE WHEN count(l) = count(*) THEN sum(l * l) END AS sq
       FROM gl GROUP BY {by}, p, x0)
@@ -527,6 +533,71 @@ JOIN quantiles USING ({by})""",
     )
 
 
+def _spline(source: str, by: str, penalties: str, *ctes: str) -> str:
+    """Normal equations from every point's four splines, solved by elimination for each penalty."""
+
+    def splines(of: str) -> str:
+        return f"""
+  SELECT *, unnest([
+    {{'j': cell + 1, 'v': pow(1 - t, 3) / 6}}, {{'j': cell + 2, 'v': (3 * pow(t, 3) - 6 * t * t + 4) / 6}},
+    {{'j': cell + 3, 'v': (1 + 3 * t + 3 * t * t - 3 * pow(t, 3)) / 6}}, {{'j': cell + 4, 'v': pow(t, 3) / 6}}
+  ], recursive := true)
+  FROM (SELECT *, place - cell AS t
+        FROM (SELECT *, CAST(least(floor(place), 9) AS BIGINT) AS cell FROM {of}))"""
+
+    return _query(
+        f"""
+SELECT {by}, CAST(p AS INTEGER) AS step, round(any_value(x0), 4) AS x, round(sum(v * b), 4) AS fit,
+       round(any_value(penalty), 4) AS penalty, round(any_value(edf), 4) AS edf
+FROM on_grid JOIN taken USING ({by}) JOIN coefficients USING ({by}, penalty, j)
+GROUP BY {by}, p""",
+        *ctes,
+        _points(source, by),
+        f"""
+on_points AS ({splines(f"(SELECT {by}, i, y, (x - lo) / (hi - lo) * 10 AS place FROM pts JOIN size USING ({by}) WHERE m > 1)")}
+),
+on_grid AS ({splines(f"(SELECT {by}, p, p / 79.0::DOUBLE * 10 AS place, lo + p * ((hi - lo) / 79) AS x0 FROM size, (SELECT unnest(range(80)) AS p) WHERE m > 1)")}
+),
+places AS (SELECT unnest(range(1, 14)) AS j),
+bends AS (
+  SELECT a.j, b.j AS k, sum(CASE r - a.j WHEN 0 THEN 1 WHEN -1 THEN -2 WHEN -2 THEN 1 ELSE 0 END
+                          * CASE r - b.j WHEN 0 THEN 1 WHEN -1 THEN -2 WHEN -2 THEN 1 ELSE 0 END) AS bend
+  FROM places a, places b, (SELECT unnest(range(1, 12)) AS r) GROUP BY ALL
+),
+products AS (
+  SELECT {by}, a.j, b.j AS k, sum(a.v * b.v) AS v FROM on_points a JOIN on_points b USING ({by}, i) GROUP BY ALL
+),
+right_side AS (SELECT {by}, j, sum(v * y) AS r FROM on_points GROUP BY ALL),
+matrix_rows AS (
+  SELECT {by}, penalty, j, list(coalesce(v, 0) + penalty * bend ORDER BY k)
+         || [coalesce(any_value(r), 0)] || list(coalesce(v, 0) ORDER BY k) AS cells
+  FROM (SELECT DISTINCT {by} FROM on_points) CROSS JOIN bends
+  CROSS JOIN (SELECT unnest({penalties}) AS penalty)
+  LEFT JOIN products USING ({by}, j, k) LEFT JOIN right_side USING ({by}, j) GROUP BY {by}, penalty, j
+),
+eliminated AS (
+  SELECT {by}, penalty, 1 AS p, list(cells ORDER BY j) AS m FROM matrix_rows GROUP BY ALL
+  UNION ALL
+  SELECT {by}, penalty, p + 1, list_transform(m, lambda own, i: CASE WHEN i = p
+      THEN list_transform(own, lambda v: v / m[p][p])
+      ELSE list_transform(own, lambda v, j: v - own[p] / m[p][p] * m[p][j]) END)
+  FROM eliminated WHERE p <= 13
+),
+coefficients AS (
+  SELECT {by}, penalty, j, m[j][14] AS b, m[j][14 + j] AS f FROM eliminated, places WHERE p = 14
+),
+scores AS (
+  SELECT {by}, penalty, edf, n * rss / pow(n - edf, 2) AS score
+  FROM (SELECT {by}, penalty, sum(f) AS edf FROM coefficients GROUP BY ALL)
+  JOIN (SELECT {by}, penalty, sum(pow(y - fit, 2)) AS rss
+        FROM (SELECT {by}, penalty, i, any_value(y) AS y, sum(v * b) AS fit
+              FROM on_points JOIN coefficients USING ({by}, j) GROUP BY ALL) GROUP BY ALL) USING ({by}, penalty)
+  JOIN size USING ({by})
+),
+taken AS (SELECT {by}, arg_min(penalty, score) AS penalty, arg_min(edf, score) AS edf FROM scores GROUP BY {by})""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 # All seasons of the tables, for curves with one point per season.
 _ALL = [
     "all_period AS (SELECT * FROM counts WHERE taxon_group <> 'PROMO')",
@@ -940,6 +1011,18 @@ UNION ALL SELECT DISTINCT 'family',
         "blended_trend": _blended("series_points", "series", *trend_points),
         "blended_species_trend": _blended("species_points", "taxon", _SPECIES_POINTS),
         "smoothed_band": _band("series_points", "series", *trend_points),
+        "weekly_spline": _spline(
+            "weekly", "taxon_group", "list_transform(range(-4, 13), lambda k: pow(10, k / 2.0::DOUBLE))", _WEEKLY
+        ),
+        "round_spline": _spline("series_points", "series", "[1.0::DOUBLE]", *trend_points),
+        "weekly_band": _band("weekly", "taxon_group", _WEEKLY, digits=3),
+        "weekly_residual_scale": _query(
+            "SELECT taxon_group, n AS n_points, round(d1, 4) AS d1, round(d2, 4) AS d2, "
+            "round(rss, 4) AS rss, round(s, 4) AS s, round(df, 4) AS df FROM scale",
+            _WEEKLY,
+            _points("weekly", "taxon_group"),
+            *_scale("taxon_group"),
+        ),
         "residual_scale": _query(
             "SELECT series, n AS n_points, round(d1, 4) AS d1, round(d2, 4) AS d2, "
             "round(rss, 4) AS rss, round(s, 4) AS s, round(df, 4) AS df FROM scale",

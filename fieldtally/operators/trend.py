@@ -139,10 +139,14 @@ def _series_columns(by: Sequence[str]) -> list[Column]:
     return [F.col("series").getField(c).alias(c) for c in by]
 
 
-def _series(
-    df: DataFrame, by: Sequence[str], x: str, y: str, span: float, tasks: int | None
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _gathered(
+    df: DataFrame, by: Sequence[str], x: str, y: str, tasks: int | None
 ) -> DataFrame:
-    """One row per series: entries, number of points n, q, and the shortest spans of q points.
+    """One row per series of two or more distinct x: its entries.
 
     The columns that name a series travel as the struct ``series``, so they may have any name.
     Series are spread over ``tasks``, by default all shuffle partitions: their rows are few but
@@ -160,16 +164,20 @@ def _series(
             F.expr("var_pop(y) * count(1) AS ss"),
         )
     )
-    if tasks is None:
-        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = (
-        points.repartition(tasks, "series")
+    return (
+        points.repartition(tasks or shuffle_partitions(df), "series")
         .groupBy("series")
         .agg(F.expr(_ENTRIES).alias("entries"))
         .filter("size(entries) > 1")
     )
+
+
+def _series(
+    df: DataFrame, by: Sequence[str], x: str, y: str, span: float, tasks: int | None
+) -> DataFrame:
+    """One row per series: entries, number of points n, q, and the shortest spans of q points."""
     return _steps(
-        gathered,
+        _gathered(df, by, x, y, tasks),
         {
             "n": _sum("transform(entries, e -> e.c)"),
             "q": f"floor(n * {span!r}D + 1e-5D)",
@@ -337,7 +345,7 @@ def smoothed_band(
     """Fitted curve with standard error and 95% band; both null where a fit runs through its points.
 
     ``x`` has few distinct values, such as seasons: those of a series meet in one row, each with
-    each. Points may be any number.
+    each. Points may be any number. `wide_band.wide_band` is the same for many distinct x.
     """
     scaled = _residual_scale(_series(df, by, x, y, span, tasks)).withColumn(
         "half", t_quantile_975("df") * F.col("s")

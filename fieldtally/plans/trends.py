@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.functions.missing import strict_sum
-from fieldtally.operators import blended, shaping, totals, trend
+from fieldtally.operators import blended, shaping, spline, totals, trend, wide_band
 from fieldtally.operators.joins import null_safe_join
 from fieldtally.plans import areas
 from fieldtally.plans.study import Study, period_counts
@@ -64,6 +64,38 @@ def round_band(counts, membership, study) -> DataFrame:
     return trend.smoothed_band(points, ["series"], "season_start", "total")
 
 
+def weekly_totals(counts, study) -> DataFrame:
+    """Per taxon group and week (of seven days, counted from 1970): individuals in all areas."""
+    week = F.floor(F.datediff("sample_date", F.lit("1970-01-01").cast("date")) / 7)
+    return (
+        period_counts(counts, study)
+        .groupBy("taxon_group", week.alias("week"))
+        .agg(strict_sum(F.col(totals.VALUE)).alias("total"))
+    )
+
+
+def weekly_band(counts, study, block: int) -> DataFrame:
+    """Trend of the weekly totals with its 95% band: many distinct x, worked out in tiles."""
+    return wide_band.wide_band(weekly_totals(counts, study), ["taxon_group"], "week", "total", block=block)
+
+
+def weekly_residual_scale(counts, study, block: int) -> DataFrame:
+    """Degrees of freedom and scale behind the weekly band."""
+    points = weekly_totals(counts, study)
+    return wide_band.wide_residual_scale(points, ["taxon_group"], "week", "total", block=block)
+
+
+def weekly_spline(counts, study) -> DataFrame:
+    """Trend of the weekly totals as a spline, its smoothing by cross-validation."""
+    return spline.spline_trend(weekly_totals(counts, study), ["taxon_group"], "week", "total")
+
+
+def round_spline(counts, membership, study, penalty: float) -> DataFrame:
+    """Trend of the round totals per area as a spline of fixed smoothing."""
+    points = round_series(counts, membership, study)
+    return spline.spline_trend(points, ["series"], "season_start", "total", penalties=[penalty])
+
+
 def class_trend(counts, membership, study) -> DataFrame:
     """Trend of the round totals per area class."""
     points = areas.class_round_totals(counts, membership, study)

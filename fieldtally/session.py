@@ -6,11 +6,13 @@ that was already configured keeps its own values.
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SETTINGS = {
     # Merge small and split hot shuffle partitions at run time.
     "spark.sql.adaptive.enabled": "true",
@@ -38,6 +40,14 @@ def build_session(name: str, settings: Mapping[str, str] | None = None) -> Spark
     return builder.getOrCreate()
 
 
+def share_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from the driver's own path, where they share it."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new place in the folder that all executors share; beside the warehouse, if none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)

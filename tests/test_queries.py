@@ -36,6 +36,8 @@ READS = {
     "area_classes": 0,
 }
 
+IN_ARROW = {"weekly_band", "weekly_residual_scale", "weekly_spline", "round_spline"}
+
 
 def test_every_query_has_sql_and_is_registered():
     assert set(QUERIES) == set(ORACLE)
@@ -51,6 +53,8 @@ def test_query(spark, testdata, oracle, name):
     assert sum("l_" in s for s in scans) == READS.get(name, 1)
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert "Python" not in plan and "ArrowEval" not in plan
+    # Blocks of the tiled band and small systems of equations go to numpy, nothing else does.
+    assert ("InArrow" in plan) == (name in IN_ARROW)
 
 
 #: Types of the plans' own columns, before results are made comparable.
