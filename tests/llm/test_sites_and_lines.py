@@ -1,6 +1,9 @@
 """Line frequency and site quality: SQL, hand-made cases and held-out labels."""
 
+import math
+import random
 import re
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -161,3 +164,60 @@ def test_a_weighted_fit_is_that_of_the_repeated_rows():
     one = quality.logistic(x, y, times=times.astype(float))
     other = quality.logistic(np.repeat(x, times, axis=0), np.repeat(y, times))
     assert np.allclose([*one.weights, one.constant], [*other.weights, other.constant])
+
+
+def _prior_worth(n, s, mean):
+    """Documents that a prior of these means is worth, by the spread of the groups' rates beyond chance."""
+    n, s, mean = np.array(n, float), np.array(s, float), np.broadcast_to(mean, len(n)).astype(float)
+    by_chance = mean * (1 - mean)
+    spread = (n * (s / n - mean) ** 2).sum() - by_chance.sum()
+    excess = spread / max(n.sum() - (n**2).sum() / n.sum(), 1.0)
+    if len(n) < 2 or excess <= 0:
+        return 1e6
+    return float(np.clip((n * by_chance).sum() / n.sum() / excess - 1, 1.0, 1e6))
+
+
+def test_rates_of_hosts_and_paths_are_recomputed(spark):
+    """Sites of different quality, nested, some with one document, a null host, a host of a third of all rows."""
+    rnd = random.Random(11)
+    sites = {("good", p): (0.95, 8) for p in "abcd"} | {("bad", p): (0.1, 8) for p in "abcd"}
+    sites |= {("mixed", "up"): (0.95, 70), ("mixed", "down"): (0.05, 70), ("mixed", None): (0.5, 2)}
+    sites |= {("big", "x"): (0.6, 90), (None, "y"): (0.3, 5)} | {(f"single{i}", "z"): (0.5, 1) for i in range(12)}
+    docs, labels = [], []
+    for (host, path), (rate, n) in sites.items():
+        for _ in range(n):
+            i, good = len(docs), rnd.random() < rate
+            # Texts tell little: a label shows in them only now and then.
+            words = [rnd.choice(["the", "cat", "of", "house", "and", "tree", "a", "river"]) for _ in range(rnd.randrange(30, 80))]
+            words += ["###"] * rnd.randrange(0, 3 if good else 6)
+            docs.append((i, " ".join(words), host, path))
+            if rnd.random() < 0.8:
+                labels.append((i, int(good)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, host string, path string")
+    known = dict(labels)
+    rows = quality.judge(
+        frame, spark.createDataFrame(labels, "doc_id long, quality int"), F.col("host"), F.col("path"), ["doc_id", "host", "path"]
+    ).collect()
+    assert len(rows) == len(docs)
+    share = {r.doc_id: float(known[r.doc_id]) if r.doc_id in known else 1 / (1 + math.exp(-r.evidence)) for r in rows}
+    of_path, of_host = defaultdict(list), defaultdict(list)
+    for r in rows:
+        of_path[r.host, r.path].append(share[r.doc_id])
+        of_host[r.host].append(share[r.doc_id])
+    rate = (sum(share.values()) + 0.5) / (len(share) + 1)
+    host_worth = _prior_worth([len(v) for v in of_host.values()], [sum(v) for v in of_host.values()], rate)
+    whole = {h: (sum(v) + host_worth * rate) / (len(v) + host_worth) for h, v in of_host.items()}
+    path_worth = _prior_worth(
+        [len(v) for v in of_path.values()], [sum(v) for v in of_path.values()], [whole[h] for h, _ in of_path]
+    )
+    assert host_worth < 100 and path_worth < 100
+    for r in rows:
+        # A document does not vouch for itself.
+        others = [sum(v) - share[r.doc_id] for v in (of_host[r.host], of_path[r.host, r.path])]
+        host = (others[0] + host_worth * rate) / (len(of_host[r.host]) - 1 + host_worth)
+        path = (others[1] + path_worth * host) / (len(of_path[r.host, r.path]) - 1 + path_worth)
+        odds = r.evidence + math.log(path / (1 - path)) - math.log(rate / (1 - rate))
+        assert r.host_rate == pytest.approx(host, abs=1e-6) and r.path_rate == pytest.approx(path, abs=1e-6)
+        assert r.p_quality == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-6)
+    by = {(h, p): np.mean([r.path_rate for r in rows if (r.host, r.path) == (h, p)]) for h, p in sites}
+    assert by["good", "a"] > by["bad", "a"] + 0.3 and by["mixed", "up"] > by["mixed", "down"] + 0.3
