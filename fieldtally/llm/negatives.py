@@ -5,12 +5,13 @@ window below that of the positive. Vectors become whole numbers, floor(256 * x);
 product.
 
 1. Rows get the place of their vector on a Hilbert curve through all dimensions and are written as
-   Parquet blocks in the order of label and curve. A block carries the smallest and largest value of
-   every dimension, and of the label: its zone map.
+   Parquet blocks in the order of label, curve and id. A block carries the smallest and largest value
+   of every dimension, of the label and of the id: its zone map.
 2. Anchors, in the same order, form groups. Zone maps alone (the blocks' columns of vectors are not
    read) give, by interval arithmetic, the least and the largest score of each anchor with each block.
    A block is read for an anchor if its interval meets what the anchor looks for, and reaches the
-   least score of some block that is sure to hold enough rows.
+   least score of some block that is sure to hold enough rows. A block that can only tie with it, by
+   larger ids, is not read; so of very many copies of a vector only the first few blocks are.
 3. The chosen blocks meet the groups that need them in tiles of bounded size. A tile multiplies each
    anchor with its own blocks alone and keeps the best few; heaps of tiles are merged by rank.
 4. This runs twice: for the positives (blocks that hold the anchor's label), then for the windows, whose
@@ -55,8 +56,9 @@ BITS = 4
 STRIP = 64
 #: Square of a vector's length from which on scores are not exact in double precision.
 LONGEST = float(1 << 53)
+_LAST = np.iinfo(np.int64).max
 
-ROWS = "block long, n int, size int, n_ids int, low array<int>, high array<int>, labels array<long>"
+ROWS = "block long, n int, size int, n_ids int, low array<int>, high array<int>, labels array<long>, names array<long>"
 PACKED = "vec_ids binary, own binary, codes binary"
 
 
@@ -147,13 +149,14 @@ def _packed(rows: DataFrame, parts: int, size: int) -> DataFrame:
                 "low": codes.min(axis=0),
                 "high": codes.max(axis=0),
                 "labels": [int(label.min()), int(label.max())],
+                "names": [int(vec_ids.min()), int(vec_ids.max())],
                 "vec_ids": vec_ids.astype(np.int64).tobytes(),
                 "own": label.astype(np.int64).tobytes(),
                 "codes": codes.tobytes(),
             }
             made += 1
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 2, pa.list_(pa.int64())]
-            kinds += [pa.binary()] * 3
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 2]
+            kinds += [*[pa.list_(pa.int64())] * 2, *[pa.binary()] * 3]
             arrays = [pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names=list(row))
 
@@ -198,11 +201,13 @@ class Group:
             self.low = -((-3 * score) // 10).astype(np.float64)
             self.high = (9 * score // 10).astype(np.float64)
 
-    def needs(self, low, high, labels, size, n_ids) -> np.ndarray:
+    def needs(self, low, high, labels, names, size, n_ids) -> np.ndarray:
         """Which anchor (row) must read which of the blocks (column) with these zone maps."""
         up, down = np.maximum(self.codes, 0), np.minimum(self.codes, 0)
         most, least = up @ high.T + down @ low.T, up @ low.T + down @ high.T
-        slack = 1 + 1e-9 * np.maximum(np.abs(most), np.abs(least))
+        # Sums of whole numbers are exact below 2^53, whatever their order.
+        sums = np.abs(self.codes) @ np.maximum(np.abs(low), np.abs(high)).T
+        slack = np.where(sums < LONGEST / 2, 0.0, 1 + 1e-9 * sums)
         most, least = (most + slack)[self.of], (least - slack)[self.of]
         own = self.own[self.of][:, None]
         # Zone map of the label: blocks of the anchor's label alone, and blocks without it.
@@ -213,9 +218,11 @@ class Group:
         else:
             may, sure = ~only, without & (size >= self.k)
         sure &= (most <= self.high[:, None]) & (least >= self.low[:, None])
-        floor = np.where(sure, least, -np.inf).max(axis=1, initial=-np.inf)
-        floor = np.maximum(floor, self.low)
-        chosen = may & (most >= floor[:, None]) & (least <= self.high[:, None])
+        reached = np.where(sure, least, -np.inf).max(axis=1, initial=-np.inf)[:, None]
+        # Enough rows have that score at least, and ids up to `last`.
+        last = np.where(sure & (least == reached), names[:, 1], _LAST).min(axis=1, initial=_LAST)[:, None]
+        beaten = (most < reached) | ((most == reached) & (names[:, 0] > last))
+        chosen = may & ~beaten & (most >= self.low[:, None]) & (least <= self.high[:, None])
         needed = np.zeros((len(self.ids), len(size)), dtype=bool)
         np.logical_or.at(needed, self.of, chosen)
         return needed
@@ -238,7 +245,7 @@ class Group:
 
 
 MET = "home long, tile long, kind int, block long, n int, vec_ids binary, own binary, codes binary, wants array<array<long>>"
-ZONED = f"{MET}, size int, n_ids int, low array<int>, high array<int>, labels array<long>"
+ZONED = f"{MET}, size int, n_ids int, low array<int>, high array<int>, labels array<long>, names array<long>"
 
 
 def _group_of(tile: pa.RecordBatch, k: int) -> tuple[Group, pa.RecordBatch] | None:
@@ -259,7 +266,7 @@ def _chosen(blocks: DataFrame, groups: DataFrame, k: int, counts: tuple[int, int
 
     zones = blocks.select(
         numbers(n_groups).alias("home"), F.pmod(F.xxhash64("block"), F.lit(across)).alias("tile"), F.lit(1).alias("kind"),
-        "block", "n", "size", "n_ids", "low", "high", "labels",
+        "block", "n", "size", "n_ids", "low", "high", "labels", "names",
     )
     fronts = groups.select(
         "home", numbers(across).alias("tile"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"),
@@ -281,9 +288,8 @@ def _chosen(blocks: DataFrame, groups: DataFrame, k: int, counts: tuple[int, int
                 continue
             column = {name: rows.column(i) for i, name in enumerate(fields)}
             low, high = (flat(column[c])[0].reshape(-1, dimension).astype(np.float64) for c in ("low", "high"))
-            needed = group.needs(
-                low, high, flat(column["labels"])[0].reshape(-1, 2), column["size"].to_numpy(), column["n_ids"].to_numpy()
-            )
+            labels, names = (flat(column[c])[0].reshape(-1, 2) for c in ("labels", "names"))
+            needed = group.needs(low, high, labels, names, column["size"].to_numpy(), column["n_ids"].to_numpy())
             some = np.flatnonzero(needed.any(axis=0))
             bits = np.packbits(needed[:, some].T, axis=1)
             yield pa.RecordBatch.from_arrays(
