@@ -11,7 +11,7 @@ of 0.8 or more.
    every two blocks meet. In a tile, the values of two signatures are compared a few at a time. The
    matches so far give a posterior of the similarity (uniform prior); a pair is dropped as soon as
    the posterior probability of reaching the threshold falls below the tolerance (1e-9). A tile
-   emits a spanning forest of the pairs that pass, never the pairs.
+   emits a spanning forest of the pairs that pass, as stars, never the pairs.
 4. The forests' components hold all pairs that are left. Texts on a common template, of which no two
    are linked, can make one large component there. So classes of a component get 384 more values and
    meet once more in tiles, by signatures alone; the same posterior over 512 values drops pairs up to
@@ -268,8 +268,16 @@ def _node(own: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _star(node: np.ndarray, tree: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node of their tree), for all but the smallest; tree: number of each node's tree."""
+    least = np.full(len(node), np.iinfo(np.int64).max)
+    np.minimum.at(least, tree, node)
+    rest = np.flatnonzero(node != least[tree])
+    return node[rest], least[tree[rest]]
+
+
 def _forests(buckets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(a, b): per tile of (key, tile, node, n, sig), a spanning forest of the pairs that pass."""
+    """(a, b): per tile of (key, tile, node, n, sig), a spanning forest of the pairs that pass, as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in _groups(batches):
@@ -282,9 +290,12 @@ def _forests(buckets: DataFrame, threshold: float, tolerance: float) -> DataFram
             left, right = [node[passed]], [node[passed + 1]]
             for at in np.flatnonzero(sizes > 2):
                 a, b = bounds[at], bounds[at + 1]
+                tree = np.arange(b - a)
                 for i, others in _reached(sig[a:b], n[a:b], threshold, tolerance):
-                    left.append(np.full(len(others), node[a + i]))
-                    right.append(node[a + others])
+                    tree[others] = tree[i]
+                nodes, least = _star(node[a:b], tree)
+                left.append(nodes)
+                right.append(least)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"]
             )
@@ -312,7 +323,7 @@ def _reached(sig, n, threshold: float, tolerance: float) -> Iterator[tuple[int,
 
 def _verified(tiles: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """Per tile of (comp, tile, node, part, n, docs, sig, set): rows (node, classes, docs) of what a
-    class is linked to in this tile, and rows (node, other) of a forest of the links."""
+    class is linked to in this tile, and rows (node, other) of a forest of the links, as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, bounds in _groups(batches):
@@ -343,13 +354,9 @@ def _verified(tiles: DataFrame, threshold: float, tolerance: float) -> DataFrame
                     others[i] += docs[own][j].sum()
                     classes[j] += 1
                     others[j] += docs[own][i]
-                    apart = j[label[j] != label[i]]
-                    # One link to each tree not joined yet.
-                    _, first = np.unique(label[apart], return_index=True)
-                    for other in apart[first]:
-                        if label[other] != label[i]:
-                            put(node[own][[i]], node[own][[other]], np.zeros(1, np.int64), np.zeros(1, np.int64))
-                            label[label == label[other]] = label[i]
+                    label[np.isin(label, label[j])] = label[i]
+                nodes, least = _star(node[own], label)
+                put(nodes, least, np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64))
                 some = classes > 0
                 put(node[own][some], node[own][some], classes[some], others[some])
             if columns[0]:

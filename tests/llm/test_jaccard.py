@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldtally.llm import components as graph
 from fieldtally.llm import jaccard, queries
 from fieldtally.llm.components import components
+from fieldtally.llm.shared import written
 
 
 def shingles(text):
@@ -195,3 +197,24 @@ def test_components(spark, shape):
             label[a] = label[b] = min(label[a], label[b])
     found = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.node: r.label for r in found} == label and len(found) == len(label)
+
+
+def test_edges_that_are_stars_take_no_round(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(graph, "written", lambda df, name: steps.append(name) or written(df, name))
+    edges = [(5, 1), (1, 9), (9, 1), (8, 2), (7, 7), (2, 2), (None, 3), (4, None)]
+    found = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == [(1, 1), (2, 2), (5, 1), (7, 7), (8, 2), (9, 1)]
+    assert steps == ["edges"]
+
+
+def test_forests_of_tiles_are_stars(spark):
+    # Neighbours in this chain pass, others do not: all lead to the smallest all the same.
+    sig = np.zeros((6, 128), dtype=np.uint8)
+    for i in range(6):
+        sig[i, 14 * i :] = 1
+    nodes = [30, 50, 10, 40, 60, 20]
+    rows = [(1, 0, node, 100, row.tobytes()) for node, row in zip(nodes, sig, strict=True)]
+    tiles = spark.createDataFrame(rows, "key long, tile long, node long, n int, sig binary").coalesce(1)
+    found = jaccard._forests(tiles, 0.8, 1e-9).collect()
+    assert sorted(map(tuple, found)) == [(node, 10) for node in sorted(nodes) if node != 10]
