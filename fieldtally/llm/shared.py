@@ -20,8 +20,17 @@ ROOT = str(Path(__file__).resolve().parents[2])
 CHUNK = 1 << 19
 
 
+#: Bytes of rows that go to a Python worker, or come back, at a time; one longer row still goes whole.
+BATCH = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package by the driver's own path, where they share it."""
+    """Let Python workers find this package by the driver's own path, where they share it.
+
+    Rows go to them by BATCH bytes where the session has Spark's own 64 MB, which both sides hold several times.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == f"{64 << 20}b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH}b")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:

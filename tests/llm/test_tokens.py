@@ -6,12 +6,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fieldtally.llm import bitpack, bpe, packing, queries, vocabulary
+from fieldtally.llm import bitpack, bpe, packing, queries, shared, vocabulary
 from fieldtally.llm.shared import folder
 
 ALPHABETS = [
@@ -239,3 +240,23 @@ def test_registered_queries(spark, testdata, tokenizer, tiktokens):
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
     rows = made["op3_packing"](spark, testdata).collect()
     assert sum(r.length for r in rows) == start
+
+
+def test_rows_go_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "b"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.unset(name)
+        shared.ship(spark)
+        texts = spark.range(9000).coalesce(1).selectExpr("repeat('x', 2000) AS x")
+        rows = texts.mapInArrow(sizes, "n long, b long").collect()
+        assert sum(r.n for r in rows) == 9000 and max(r.b for r in rows) < 1.2 * shared.BATCH
+        spark.conf.set(name, "1000000")
+        shared.ship(spark)
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.set(name, before)
