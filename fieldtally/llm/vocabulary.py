@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 from functools import cache
 
@@ -55,7 +56,7 @@ def encoder(path: str) -> SliceEncoder:
 
     def encode(words: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     return SliceEncoder(_classes(), encode)
 
